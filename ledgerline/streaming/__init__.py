@@ -1,0 +1 @@
+"""Every job here is a quarterly batch; there are no streaming operators to offer."""
