@@ -26,6 +26,11 @@ def usable(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_number(text: Column) -> Column:
     """Read a number written with Latin (or mixed) separators; null when it is not a number.
 
@@ -34,23 +39,25 @@ def parse_number(text: Column) -> Column:
     digits after a period is a thousands group too. Parentheses around the text make it negative.
     """
     bare = F.translate(strip(text), " " + NBSP, "")
-    negative = bare.startswith("(") & bare.endswith(")")
-    core = F.trim(bare, F.lit("()"))
-    comma, period = F.instr(core, ","), F.instr(core, ".")
-    tail = F.substring_index(core, ".", -1)
-    no_marks = F.translate(core, ".,", "")
-    no_commas = F.translate(core, ",", "")
-    no_periods = F.translate(core, ".", "")
-    plain = (
-        F.when((comma > 0) & (period > 0) & (period < comma), F.translate(no_periods, ",", "."))
-        .when((comma > 0) & (period > 0) & tail.rlike("^[0-9]{3}$"), no_marks)
-        .when((comma > 0) & (period > 0), no_commas)
-        .when(comma > 0, F.translate(core, ",", "."))
-        .when((period > 0) & (F.length(tail) == 3), no_periods)
-        .otherwise(core)
-    )
-    value = F.when(plain.rlike(NUMBER_SHAPE), plain.try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+
+    def separators(core: Column) -> Column:
+        comma, period = F.instr(core, ","), F.instr(core, ".")
+        tail = F.substring_index(core, ".", -1)
+        no_periods = F.translate(core, ".", "")
+        with_commas = (
+            F.when(period == 0, F.translate(core, ",", "."))
+            .when(period < comma, F.translate(no_periods, ",", "."))
+            .when(tail.rlike("^[0-9]{3}$"), F.translate(core, ".,", ""))
+            .otherwise(F.translate(core, ",", ""))
+        )
+        return F.when(comma > 0, with_commas).when((period > 0) & (F.length(tail) == 3), no_periods).otherwise(core)
+
+    def value(signed: Column) -> Column:
+        size = once(once(F.trim(signed, F.lit("()")), separators),
+                    lambda plain: F.when(plain.rlike(NUMBER_SHAPE), plain.try_cast("double")))
+        return F.when(signed.startswith("(") & signed.endswith(")"), -size).otherwise(size)
+
+    return once(bare, value)
 
 
 def strip_footnote(cell: Column) -> Column:

@@ -22,7 +22,7 @@ def carry_forward(
     summaries.
     """
     names = list(values)
-    block_names = [f"_block{i}" for i in range(len(blocks))]
+    block_names = [f"_block{len(blocks)}_{i}" for i in range(len(blocks))]
     staged = df.withColumns({**{f"_in_{n}": c for n, c in values.items()}, **dict(zip(block_names, blocks))})
     if not blocks:
         return _fill(staged, group, order, names, inclusive).drop(*[f"_in_{n}" for n in names])

@@ -72,12 +72,11 @@ def column_of_year(cells: Column, year: Column) -> Column:
 
 def rightmost_number(cells: Column) -> Column:
     """Last cell after the first that reads as a number."""
-    numbers = F.transform(F.slice(cells, F.lit(2), F.size(cells)), parse_number)
-    return F.try_element_at(F.filter(numbers, lambda v: v.isNotNull()), F.lit(-1))
+    return _last_known(F.transform(F.slice(cells, F.lit(2), F.size(cells)), parse_number))
 
 
-def _amount_at(cells: Column, position: Column) -> Column:
-    return parse_number(strip_footnote(F.get(cells, position)))
+def _last_known(numbers: Column) -> Column:
+    return F.try_element_at(F.filter(numbers, lambda v: v.isNotNull()), F.lit(-1))
 
 
 def cell_rows(cells: DataFrame) -> DataFrame:
@@ -91,30 +90,34 @@ def cell_rows(cells: DataFrame) -> DataFrame:
     rows = cells.filter(F.size("cells") >= 2).withColumn("is_header", is_header_row(row) & known_year)
     at = F.when(F.col("is_header"), column_of_year(row, year))
     at_before = F.when(F.col("is_header"), column_of_year(row, year - 1))
-    rows = rows.withColumns({"at": at, "at_before": at_before})
+    rows = rows.withColumns({"hit": at, "hit_before": at_before})
     rows = carry_forward(
         rows, ["doc"], ["page", "table_no", "row_no"],
         {
-            "year_col": F.col("at"),
-            "before_col": F.when(F.col("at").isNotNull() & (F.col("at") != F.col("at_before")), F.col("at_before")),
+            "year_col": F.col("hit"),
+            "before_col": F.when(F.col("hit").isNotNull() & (F.col("hit") != F.col("hit_before")), F.col("hit_before")),
         },
         [F.floor(F.col("page") / PAGE_BLOCK),
          F.struct("page", "table_no", F.floor(F.col("row_no") / ROW_BLOCK).alias("rows"))],
     )
-    first = strip(F.coalesce(F.get(row, F.lit(0)), F.lit("")))
-    second = strip(F.coalesce(F.get(row, F.lit(1)), F.lit("")))
-    label = F.when(first != "", first).when((second != "") & _empty_number(parse_number(second)), second)
+    data = rows.filter(~F.col("is_header")).withColumns({
+        "numbers": F.transform(row, parse_number),
+        "amounts": F.transform(row, lambda c: parse_number(strip_footnote(c))),
+        "first": strip(F.coalesce(F.get(row, F.lit(0)), F.lit(""))),
+        "second": strip(F.coalesce(F.get(row, F.lit(1)), F.lit(""))),
+    })
+    numbers, amounts = F.col("numbers"), F.col("amounts")
+    second_is_text = (F.col("second") != "") & _empty_number(F.get(numbers, F.lit(1)))
+    label = F.when(F.col("first") != "", F.col("first")).when(second_is_text, F.col("second"))
     col, before = F.col("year_col"), F.col("before_col")
-    named = F.when(
-        col < F.size(row),
-        F.coalesce(_amount_at(row, col), F.when(col > 0, _amount_at(row, F.greatest(col - 1, F.lit(0))))),
-    )
-    data = rows.filter(~F.col("is_header")).withColumn("label", label).filter(F.length("label") >= 4)
+    beside = F.when(col > 0, F.get(amounts, F.greatest(col - 1, F.lit(0))))
+    named = F.when(col < F.size(row), F.coalesce(F.get(amounts, col), beside))
+    rest = F.slice(numbers, F.lit(2), F.size(numbers))
     return data.select(
-        "doc", "country", "fiscal_year", "page", "table_no", "row_no", "label",
-        F.coalesce(named, rightmost_number(row)).alias("value"),
-        F.when(before < F.size(row), _amount_at(row, before)).alias("value_before"),
-    ).filter(F.col("value").isNotNull())
+        "doc", "country", "fiscal_year", "page", "table_no", "row_no", label.alias("label"),
+        F.coalesce(named, _last_known(rest)).alias("value"),
+        F.when(before < F.size(row), F.get(amounts, before)).alias("value_before"),
+    ).filter(F.col("value").isNotNull() & (F.length("label") >= 4))
 
 
 def fallback_columns(cells: DataFrame) -> DataFrame:

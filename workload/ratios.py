@@ -14,8 +14,7 @@ from workload.registry import query
 FIN = duck(FINANCIALS)
 
 # The check's own statement of the ratios: nullif for empty denominators, a self join for the look-back.
-KPI_CTES = f"""
-fin AS ({FIN}),
+KPI_STEPS = """
 p AS (
   SELECT f.*, lag(revenue) OVER w AS revenue_1, lag(total_assets) OVER w AS assets_1, lag(inventory) OVER w AS inventory_1,
     lag(receivables) OVER w AS receivables_1, lag(accounts_payable) OVER w AS payable_1,
@@ -55,6 +54,7 @@ k AS (
       - (accounts_payable + coalesce(payable_1, accounts_payable)) / 2 / nullif(cogs, 0) * 365 AS cash_conversion_cycle
   FROM p LEFT JOIN base USING (ticker, fiscal_year))
 """
+KPI_CTES = f"fin AS ({FIN}), {KPI_STEPS}"
 
 
 def rounded(df, names):
