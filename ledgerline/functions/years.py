@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ledgerline.functions.numbers import once
+
 
 EARLIEST_LINK_YEAR = 2015
 EARLIEST_FILE_YEAR = 2018
@@ -63,9 +65,10 @@ def year_of_file(name: Column, as_of) -> Column:
 def year_in_cell(year: Column, cell: Column) -> Column:
     """The cell names the year in full, or as two digits after a hyphen or space."""
     full = year.cast("string")
+    two = F.substring(full, 3, 4)
     text = F.coalesce(cell, F.lit(""))
-    short = F.concat(F.lit(r"[-\s]"), F.substring(full, 3, 4), F.lit(r"\b"))
-    return text.contains(full) | F.regexp_like(text, short)
+    ending = F.regexp_like(text, F.concat(F.lit(r"[-\s]"), two, F.lit(r"\b")))
+    return text.contains(full) | (text.contains(two) & ending)
 
 
 def header_years(text: Column, as_of, span: int = 800) -> Column:
@@ -74,26 +77,29 @@ def header_years(text: Column, as_of, span: int = 800) -> Column:
     The two latest years found are the columns. Their order comes from the first line that holds both,
     else from where each first stands.
     """
-    head = F.substring(text, 1, span)
-    years = F.array_sort(F.array_distinct(F.transform(
-        F.regexp_extract_all(head, F.lit(r"\b(20[12]\d)\b"), F.lit(1)), lambda s: s.cast("int"))))
-    latest = F.try_element_at(years, F.lit(-1))
-    before = F.try_element_at(years, F.lit(-2))
+    now = F.year(as_date(as_of))
 
     def at(t: Column, year: Column) -> Column:
         return F.regexp_instr(t, F.concat(F.lit(r"\b"), year.cast("string"), F.lit(r"\b")))
 
-    both = F.try_element_at(
-        F.filter(F.split(head, "\n"), lambda line: (at(line, latest) > 0) & (at(line, before) > 0)), F.lit(1)
-    )
-    order = F.coalesce(at(both, latest) < at(both, before), at(head, latest) < at(head, before))
-    now = F.year(as_date(as_of))
-    return F.struct(
-        F.coalesce(latest, now - 1).alias("current"),
-        F.when(before.isNotNull(), before).when(latest.isNotNull(), latest - 1).otherwise(now - 2)
-        .alias("previous"),
-        F.when(before.isNotNull(), order).otherwise(F.lit(False)).alias("current_is_left"),
-    )
+    def in_order(head: Column, latest: Column, before: Column) -> Column:
+        lines = F.filter(F.split(head, "\n"), lambda line: line.contains(latest.cast("string")) & (
+            at(line, latest) > 0) & (at(line, before) > 0))
+        return once(F.coalesce(F.get(lines, F.lit(0)), head), lambda line: at(line, latest) < at(line, before))
+
+    def judge(found: Column) -> Column:
+        head, latest, before = found["head"], F.get(found["years"], F.lit(0)), F.get(found["years"], F.lit(1))
+        return F.struct(
+            F.coalesce(latest, now - 1).alias("current"),
+            F.coalesce(before, latest - 1, now - 2).alias("previous"),
+            F.coalesce(F.when(before.isNotNull(), in_order(head, latest, before)), F.lit(False)).alias("current_is_left"),
+        )
+
+    def years_of(head: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(head, F.lit(r"\b(20[12]\d)\b"), F.lit(1)), lambda s: s.cast("int"))
+        return F.struct(head.alias("head"), F.sort_array(F.array_distinct(found), asc=False).alias("years"))
+
+    return once(once(F.substring(text, 1, span), years_of), judge)
 
 
 def whole_year(start: Column, end: Column) -> Column:

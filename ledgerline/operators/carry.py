@@ -1,8 +1,9 @@
 """Carry the last known value forward in a long ordered group without putting the group into one task.
 
 A window over a whole report would sort it in a single task, and one report may hold a large share of
-all rows. Rows are therefore filled inside blocks of bounded size; what a block takes over from the
-blocks before it is found from one summary row per block, and those summaries are blocked again.
+all rows. Rows are therefore filled inside blocks of bounded size. What a block takes over from the
+blocks before it is found from one summary row per block and enters the block as a row of its own, so
+the rows themselves are exchanged once and never joined.
 """
 
 from __future__ import annotations
@@ -10,39 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def carry_forward(
-    df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], blocks: list[Column],
-    inclusive: bool = True,
-) -> DataFrame:
-    """Add, for each entry of ``values``, its last non-null value up to the row (before it, unless inclusive).
+def carry_forward(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], block: Column) -> DataFrame:
+    """Add, for each entry of ``values``, its last non-null value up to and including the row.
 
-    ``blocks`` are expressions from coarse to fine. Together with ``group`` they cut the rows into blocks,
-    and sorting by them must agree with sorting by ``order``. Each level is summed up by the next coarser
-    one, so no task sees more than one block's rows, one coarse block's summaries, or one group's coarsest
-    summaries.
+    ``block`` cuts a group into runs of the sort order, for instance every sixteen pages. One task holds
+    the rows of one block, or the summaries of one group.
     """
     names = list(values)
-    block_names = [f"_block{len(blocks)}_{i}" for i in range(len(blocks))]
-    staged = df.withColumns({**{f"_in_{n}": c for n, c in values.items()}, **dict(zip(block_names, blocks))})
-    if not blocks:
-        return _fill(staged, group, order, names, inclusive).drop(*[f"_in_{n}" for n in names])
-
-    whole = group + block_names
-    filled = _fill(staged, whole, order, names, inclusive)
-    tails = staged.groupBy(*whole).agg(*[
-        F.max_by(F.col(f"_in_{n}"), F.when(F.col(f"_in_{n}").isNotNull(), F.struct(*order))).alias(f"_tail_{n}")
+    inputs = {f"_in_{n}": c for n, c in values.items()}
+    staged = df.withColumns({**inputs, "_block": block})
+    where = [*group, "_block"]
+
+    # Values are rare, so only rows that have one are sorted for the summaries.
+    some = F.coalesce(*[F.col(f"_in_{n}").cast("string") for n in names]).isNotNull()
+    last_in_block = staged.filter(some).groupBy(*where).agg(*[
+        F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), F.struct(*order))).alias(f"_in_{n}")
         for n in names])
-    before = carry_forward(
-        tails, group, block_names, {f"_from_{n}": F.col(f"_tail_{n}") for n in names},
-        [F.col(b) for b in block_names[:-1]], inclusive=False,
-    ).select(*whole, *[f"_from_{n}" for n in names])
+    summaries = staged.select(*where).distinct().join(last_in_block, where, "left")
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = summaries.select(
+        *where, *[F.last(f"_in_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in names],
+        F.lit(True).alias("_seed")).filter(some)
+
+    rows = staged.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+    so_far = Window.partitionBy(*where).orderBy(F.desc("_seed"), *order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        filled.join(before, whole, "left")
-        .withColumns({n: F.coalesce(n, f"_from_{n}") for n in names})
-        .drop(*block_names, *[f"_in_{n}" for n in names], *[f"_from_{n}" for n in names])
+        rows.withColumns({n: F.last(f"_in_{n}", ignorenulls=True).over(so_far) for n in names})
+        .filter(~F.col("_seed")).drop("_seed", "_block", *inputs)
     )
-
-
-def _fill(df: DataFrame, group: list[str], order: list[str], names: list[str], inclusive: bool) -> DataFrame:
-    frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return df.withColumns({n: F.last(f"_in_{n}", ignorenulls=True).over(frame) for n in names})

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline import dimensions, fixed
+from ledgerline.computed import computed
 from ledgerline.functions.numbers import strip
 from ledgerline.functions.text import fold, is_noise_label, regex_quote
 
@@ -52,8 +53,8 @@ def map_labels(
     nothing.
     """
     spark = df.sparkSession
-    staged = df.withColumn("_plain", plain_label(F.col(label)))
-    staged = staged.withColumn("_by_words", field_by_words(F.col("_plain"), synonyms))
+    staged = computed(df, {"_plain": plain_label(F.col(label))})
+    staged = computed(staged, {"_by_words": field_by_words(F.col("_plain"), synonyms)})
     cut = F.when(F.col("_by_words").isNull() & (F.length("_plain") >= 8), F.col("_plain"))
     prefixes = dimensions.synonym_prefixes(spark, _key(synonyms))
     staged = staged.join(F.broadcast(prefixes), cut == F.col("prefix"), "left")

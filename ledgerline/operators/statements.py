@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline import fixed
-from ledgerline.functions.numbers import parse_number, strip, strip_footnote
+from ledgerline.computed import computed
+from ledgerline.functions.numbers import once, parse_number, strip, strip_footnote
 from ledgerline.functions.text import (
     is_non_current, is_scanned_page, lines_of, section_of,
 )
@@ -19,8 +20,8 @@ from ledgerline.functions.years import header_years, year_in_cell
 from ledgerline.operators.carry import carry_forward
 from ledgerline.operators.labels import map_labels, score_extractions
 
-PAGE_BLOCK = 64
-ROW_BLOCK = 512
+PAGE_BLOCK = 1024
+CELL_PAGE_BLOCK = 16
 SCAN_PAGES = 20
 
 
@@ -36,10 +37,10 @@ class Extraction:
 
 def page_sections(pages: DataFrame) -> DataFrame:
     """Section of each page: its own heading, else the last one before it, else ``unknown``."""
-    own = pages.select("doc", "page", section_of(F.col("text")).alias("heading"))
+    own = computed(pages, {"heading": section_of(F.col("text"))}, ["doc", "page"])
     carried = carry_forward(
         own, ["doc"], ["page"], {"section": F.col("heading")},
-        [F.floor(F.col("page") / PAGE_BLOCK)])
+        F.floor(F.col("page") / PAGE_BLOCK))
     return carried.select("doc", "page", F.coalesce("section", F.lit("unknown")).alias("section"))
 
 
@@ -63,6 +64,14 @@ def is_header_row(cells: Column) -> Column:
     return F.forall(rest, lambda c: c.isNull() | strip(c).rlike(r"^\d{4}$") | _empty_number(parse_number(c)))
 
 
+def _is_header(cells: Column, numbers: Column) -> Column:
+    """The same test with the cells' numbers at hand."""
+    n = F.size(cells)
+    blank = F.zip_with(F.slice(cells, F.lit(2), n), F.slice(numbers, F.lit(2), n),
+                       lambda c, v: c.isNull() | strip(c).rlike(r"^\d{4}$") | _empty_number(v))
+    return F.forall(blank, lambda b: b)
+
+
 def column_of_year(cells: Column, year: Column) -> Column:
     """Position (from 0) of the first cell naming the year; null when none does."""
     named = F.transform(cells, lambda c: year_in_cell(year, c))
@@ -86,38 +95,34 @@ def cell_rows(cells: DataFrame) -> DataFrame:
     empty, the cell to its left counts, then the rightmost number of the row.
     """
     year, row = F.col("fiscal_year"), F.col("cells")
-    known_year = F.coalesce(year, F.lit(0)) != 0
-    rows = cells.filter(F.size("cells") >= 2).withColumn("is_header", is_header_row(row) & known_year)
-    at = F.when(F.col("is_header"), column_of_year(row, year))
-    at_before = F.when(F.col("is_header"), column_of_year(row, year - 1))
-    rows = rows.withColumns({"hit": at, "hit_before": at_before})
+    known_year = F.coalesce(year != 0, F.lit(False))
+    named = F.when(known_year, column_of_year(row, year))
+    # Few rows name the year, and only those are tested for being a header here.
+    here = F.when(named.isNotNull() & is_header_row(row), named)
+    before_here = column_of_year(row, year - 1)
     rows = carry_forward(
-        rows, ["doc"], ["page", "table_no", "row_no"],
-        {
-            "year_col": F.col("hit"),
-            "before_col": F.when(F.col("hit").isNotNull() & (F.col("hit") != F.col("hit_before")), F.col("hit_before")),
-        },
-        [F.floor(F.col("page") / PAGE_BLOCK),
-         F.struct("page", "table_no", F.floor(F.col("row_no") / ROW_BLOCK).alias("rows"))],
-    )
-    data = rows.filter(~F.col("is_header")).withColumns({
-        "numbers": F.transform(row, parse_number),
-        "amounts": F.transform(row, lambda c: parse_number(strip_footnote(c))),
-        "first": strip(F.coalesce(F.get(row, F.lit(0)), F.lit(""))),
-        "second": strip(F.coalesce(F.get(row, F.lit(1)), F.lit(""))),
-    })
+        cells.filter(F.size("cells") >= 2), ["doc"], ["page", "table_no", "row_no"],
+        {"year_col": here, "before_col": F.when(here != before_here, before_here)},
+        F.floor(F.col("page") / CELL_PAGE_BLOCK))
+    rows = computed(rows, {"numbers": F.transform(row, parse_number)})
+    rows = computed(rows, {"is_header": known_year & _is_header(row, F.col("numbers"))}, where=lambda r: ~r["is_header"])
+    rows = computed(rows, {"amounts": F.transform(row, lambda c: parse_number(strip_footnote(c)))})
     numbers, amounts = F.col("numbers"), F.col("amounts")
-    second_is_text = (F.col("second") != "") & _empty_number(F.get(numbers, F.lit(1)))
-    label = F.when(F.col("first") != "", F.col("first")).when(second_is_text, F.col("second"))
+    first = strip(F.coalesce(F.get(row, F.lit(0)), F.lit("")))
+    second = strip(F.coalesce(F.get(row, F.lit(1)), F.lit("")))
+    second_is_text = (second != "") & _empty_number(F.get(numbers, F.lit(1)))
     col, before = F.col("year_col"), F.col("before_col")
     beside = F.when(col > 0, F.get(amounts, F.greatest(col - 1, F.lit(0))))
     named = F.when(col < F.size(row), F.coalesce(F.get(amounts, col), beside))
-    rest = F.slice(numbers, F.lit(2), F.size(numbers))
-    return data.select(
-        "doc", "country", "fiscal_year", "page", "table_no", "row_no", label.alias("label"),
-        F.coalesce(named, _last_known(rest)).alias("value"),
-        F.when(before < F.size(row), F.get(amounts, before)).alias("value_before"),
-    ).filter(F.col("value").isNotNull() & (F.length("label") >= 4))
+    return computed(
+        rows,
+        {
+            "label": F.when(first != "", first).when(second_is_text, second),
+            "value": F.coalesce(named, _last_known(F.slice(numbers, F.lit(2), F.size(numbers)))),
+            "value_before": F.when(before < F.size(row), F.get(amounts, before)),
+        },
+        ["doc", "country", "fiscal_year", "page", "table_no", "row_no"],
+        lambda r: r["value"].isNotNull() & (F.length(r["label"]) >= 4))
 
 
 def fallback_columns(cells: DataFrame) -> DataFrame:
@@ -128,29 +133,6 @@ def fallback_columns(cells: DataFrame) -> DataFrame:
         "warning", F.lit("fallback_year_column_used"))
 
 
-def _first_found(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
-    return rows.filter(F.col(value).isNotNull()).groupBy("doc", "country", "fiscal_year", "canonical").agg(
-        F.min_by(F.struct(F.col(value).alias("value"), "page", "section"), F.struct(*order)).alias("v")
-    ).select("doc", "country", "fiscal_year", "canonical", "v.*")
-
-
-def _largest(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """Largest amount per field; the first found of equal size."""
-    size = F.struct((-F.abs(F.col(value))).alias("size"), *[F.col(c) for c in order])
-    return rows.filter(F.col(value).isNotNull()).groupBy("doc", "country", "fiscal_year", "canonical").agg(
-        F.min_by(F.struct(F.col(value).alias("value"), "page", "section"), size).alias("v")
-    ).select("doc", "country", "fiscal_year", "canonical", "v.*")
-
-
-def _extraction(rows: DataFrame, current: DataFrame, before: DataFrame | None, method: str) -> Extraction:
-    values = current.withColumns({"method": F.lit(method), "comparative": F.lit(False)})
-    if before is not None:
-        values = values.unionByName(before.withColumns({"method": F.lit(method), "comparative": F.lit(True)}))
-    unmatched = rows.filter(F.col("canonical").isNull()).withColumns(
-        {"company": F.col("doc"), "pdf": F.col("doc")})
-    return Extraction(values, unmatched)
-
-
 def _with_sections(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
     if pages is None:
         return rows.withColumn("section", F.lit("unknown"))
@@ -158,13 +140,36 @@ def _with_sections(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
         "section", F.coalesce("section", F.lit("unknown")))
 
 
+def _extraction(rows: DataFrame, rank: list[Column], method: str, pages: DataFrame | None) -> Extraction:
+    """One value per report, year and field: the row that comes first by ``rank``.
+
+    A row offers its value for the report's year and, where ``before`` is given, ``value_before`` for that
+    year; both go through one aggregation. Sections are looked up for the chosen rows only.
+    """
+    def offer(year: str, value: str, comparative: bool) -> Column:
+        return F.struct(F.col(year).alias("fiscal_year"), F.col(value).alias("value"), F.lit(comparative).alias("comparative"))
+
+    offers = [offer("fiscal_year", "value", False)]
+    if "before" in rows.columns:
+        offers.append(offer("before", "value_before", True))
+    known = rows.filter(F.col("canonical").isNotNull())
+    rest = [c for c in known.columns if c not in ("fiscal_year", "value", "value_before", "before")]
+    one = F.explode(F.filter(F.array(*offers), lambda o: o["value"].isNotNull())).alias("o")
+    long = known.select(*rest, one).select(*rest, "o.*")
+    best = long.groupBy("doc", "country", "fiscal_year", "canonical", "comparative").agg(
+        F.min_by(F.struct("value", "page"), F.struct(*rank)).alias("v"))
+    values = _with_sections(best.select("doc", "country", "fiscal_year", "canonical", "v.*", "comparative"), pages)
+    unmatched = _with_sections(rows.filter(F.col("canonical").isNull()), pages).withColumns(
+        {"company": F.col("doc"), "pdf": F.col("doc")})
+    return Extraction(
+        values.select("doc", "country", "fiscal_year", "canonical", "value", "page", "section",
+                      F.lit(method).alias("method"), "comparative"), unmatched)
+
+
 def extract_cells(cells: DataFrame, pages: DataFrame | None = None, learned: DataFrame | None = None) -> Extraction:
     """Fields from cell tables: the first row per field, for the report's year and the year before it."""
-    order = ["page", "table_no", "row_no"]
-    rows = _with_sections(map_labels(cell_rows(cells), learned=learned), pages)
-    found = rows.filter(F.col("canonical").isNotNull())
-    before = _first_found(found.withColumn("fiscal_year", F.col("fiscal_year") - 1), "value_before", order)
-    return _extraction(rows, _first_found(found, "value", order), before, "cell_table")
+    rows = map_labels(cell_rows(cells), learned=learned).withColumn("before", F.col("fiscal_year") - 1)
+    return _extraction(rows, [F.col("page"), F.col("table_no"), F.col("row_no")], "cell_table", pages)
 
 
 # --- text lines --------------------------------------------------------------------------------------
@@ -173,26 +178,25 @@ def text_rows(pages: DataFrame) -> DataFrame:
     """Label and rightmost number of each line whose parts are two or more spaces (or a tab) apart."""
     lines = pages.select(
         "doc", "country", "fiscal_year", "page", F.posexplode(lines_of(F.col("text"))).alias("line", "raw"))
-    parts = lines.withColumn("parts", F.split(strip(F.col("raw")), r"\s{2,}|\t")).filter(F.size("parts") >= 2)
-    return parts.select(
-        "doc", "country", "fiscal_year", "page", "line",
-        strip(F.get("parts", F.lit(0))).alias("label"), rightmost_number(F.col("parts")).alias("value"),
-    ).filter(F.col("value").isNotNull() & (F.length("label") >= 4))
+    place = ["doc", "country", "fiscal_year", "page", "line"]
+    parts = computed(lines, {"parts": F.split(strip(F.col("raw")), r"\s{2,}|\t")}, place, lambda r: F.size(r["parts"]) >= 2)
+    return computed(
+        parts, {"label": strip(F.get("parts", F.lit(0))), "value": rightmost_number(F.col("parts"))}, place,
+        lambda r: r["value"].isNotNull() & (F.length(r["label"]) >= 4))
 
 
 def extract_lines(pages: DataFrame, learned: DataFrame | None = None) -> Extraction:
     """Fields from plain text: the first line per field."""
-    rows = _with_sections(map_labels(text_rows(pages), learned=learned), pages)
-    found = rows.filter(F.col("canonical").isNotNull())
-    return _extraction(rows, _first_found(found, "value", ["page", "line"]), None, "text_lines")
+    rows = map_labels(text_rows(pages), learned=learned)
+    return _extraction(rows, [F.col("page"), F.col("line")], "text_lines", pages)
 
 
 # --- recognised scans --------------------------------------------------------------------------------
 
 def scan_years(pages: DataFrame, as_of) -> DataFrame:
     """The two years of each scanned report and their column order, read off its first page."""
-    return pages.filter(F.col("page") == 1).select(
-        "doc", header_years(F.col("text"), as_of).alias("y")).select("doc", "y.*")
+    first = pages.filter(F.col("page") == 1)
+    return computed(first, {"y": header_years(F.col("text"), as_of)}, ["doc"]).select("doc", "y.*")
 
 
 def scan_rows(pages: DataFrame, as_of, max_pages: int | None = SCAN_PAGES) -> DataFrame:
@@ -208,27 +212,29 @@ def scan_rows(pages: DataFrame, as_of, max_pages: int | None = SCAN_PAGES) -> Da
     lines = dated.select(
         "doc", "country", "page", "current", "previous", "current_is_left",
         F.posexplode(lines_of(F.col("text"))).alias("line", "raw"))
+    place = ["doc", "country", "page", "current", "previous", "current_is_left", "line"]
     lines = lines.withColumn("raw", strip(F.col("raw")))
-    lines = lines.withColumn("money", F.regexp_extract_all("raw", F.lit(f"({fixed.MONEY_PATTERN})"), F.lit(1)))
-    lines = lines.filter(F.size("money") > 0)
+    lines = computed(
+        lines, {"money": F.regexp_extract_all("raw", F.lit(f"({fixed.MONEY_PATTERN})"), F.lit(1))}, [*place, "raw"],
+        lambda r: F.size(r["money"]) > 0)
 
     def amount(i: int) -> Column:
         return parse_number(F.translate(F.get("money", F.lit(i)), "$", ""))
 
-    start = F.regexp_instr(F.col("raw"), F.lit(fixed.MONEY_PATTERN))
+    start = F.position(F.get("money", F.lit(0)), F.col("raw"))
     before_money = strip(F.regexp_replace(
         strip(F.substring("raw", F.lit(1), start - 1)), r"\s*[\[(].*$", ""))
-    parts = F.split("raw", r"\s{2,}|\t")
-    label = F.when(before_money != "", before_money).when(F.size(parts) >= 2, strip(F.get(parts, F.lit(0))))
-    rows = lines.withColumns({"label": label, "left": amount(0), "second": amount(1)})
-    rows = rows.withColumn("right", F.when(F.col("second") != F.col("left"), F.col("second")))
-    swap = ~F.col("current_is_left") & F.col("right").isNotNull()
-    return rows.filter(
-        F.col("left").isNotNull() & (F.length("label") >= 4) & ~is_non_current(F.col("label"))
-    ).select(
-        "doc", "country", F.col("current").alias("fiscal_year"), "previous", "page", "line", "label",
-        F.when(swap, F.col("right")).otherwise(F.col("left")).alias("value"),
-        F.when(swap, F.col("left")).otherwise(F.col("right")).alias("value_before"),
+    wide = F.split("raw", r"\s{2,}|\t")
+    label = once(before_money, lambda b: F.when(b != "", b).when(F.size(wide) >= 2, strip(F.get(wide, F.lit(0)))))
+    rows = computed(
+        lines, {"label": label, "left": amount(0), "second": amount(1)}, place,
+        lambda r: r["left"].isNotNull() & (F.length(r["label"]) >= 4) & ~is_non_current(r["label"]))
+    right = F.when(F.col("second") != F.col("left"), F.col("second"))
+    swap = ~F.col("current_is_left") & right.isNotNull()
+    return rows.select(
+        "doc", "country", F.col("current").alias("fiscal_year"), F.col("previous").alias("before"), "page", "line", "label",
+        F.when(swap, right).otherwise(F.col("left")).alias("value"),
+        F.when(swap, F.col("left")).otherwise(right).alias("value_before"),
     )
 
 
@@ -236,11 +242,9 @@ def extract_scans(pages: DataFrame, as_of, learned: DataFrame | None = None,
                   max_pages: int | None = SCAN_PAGES) -> Extraction:
     """Fields from recognised scans: the largest amount per field, for both years."""
     kept = pages if max_pages is None else pages.filter(F.col("page") <= max_pages)
-    rows = _with_sections(map_labels(scan_rows(pages, as_of, max_pages), learned=learned), kept)
-    found = rows.filter(F.col("canonical").isNotNull())
-    order = ["page", "line"]
-    before = _largest(found.withColumn("fiscal_year", F.col("previous")), "value_before", order)
-    return _extraction(rows, _largest(found, "value", order), before, "scan_lines")
+    rows = map_labels(scan_rows(pages, as_of, max_pages), learned=learned)
+    largest = [-F.abs(F.col("value")), F.col("page"), F.col("line")]
+    return _extraction(rows, largest, "scan_lines", kept)
 
 
 # --- choice between readings -------------------------------------------------------------------------

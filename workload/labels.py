@@ -74,7 +74,7 @@ LABELS_DUCK = duck(LABELS.replace("{explode}", "unnest"))
 @query(f"""WITH {mapping_ctes(LABELS_DUCK)}, n AS (SELECT label, count(*) AS n FROM ({LABELS_DUCK}) GROUP BY 1)
 SELECT coalesce(canonical, '-') AS canonical, sum(n)::BIGINT AS n, count(*) AS n_labels FROM mapped JOIN n USING (label) GROUP BY 1""")
 def label_fields(spark, sf_dir):
-    mapped = ops.map_labels(spark_sql(spark, sf_dir, LABELS_SPARK))
+    mapped = ops.map_labels(spark_sql(spark, sf_dir, LABELS_SPARK, spread=True))
     per_label = mapped.groupBy("label", "canonical").agg(F.count(F.lit(1)).alias("n"))
     return per_label.groupBy(F.coalesce("canonical", F.lit("-")).alias("canonical")).agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_labels"))
@@ -82,7 +82,7 @@ def label_fields(spark, sf_dir):
 
 @query(f"WITH {mapping_ctes(LABELS_DUCK)} SELECT label, canonical FROM mapped WHERE canonical IS NOT NULL")
 def label_mapping(spark, sf_dir):
-    return ops.map_labels(spark_sql(spark, sf_dir, LABELS_SPARK)).filter("canonical IS NOT NULL").distinct()
+    return ops.map_labels(spark_sql(spark, sf_dir, LABELS_SPARK, spread=True)).filter("canonical IS NOT NULL").distinct()
 
 
 
@@ -91,7 +91,7 @@ def label_mapping(spark, sf_dir):
 v AS (SELECT doc_id, {number_sql("token")} AS value FROM t)
 SELECT doc_id, count(value) AS n_numbers, max(value) AS largest, min(value) AS smallest FROM v GROUP BY 1""")
 def text_numbers(spark, sf_dir):
-    tokens = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token"))
+    tokens = load(spark, sf_dir, "documents", spread=True).select("doc_id", F.explode(F.split("text", r"\s+")).alias("token"))
     return tokens.select("doc_id", parse_number(F.col("token")).alias("value")).groupBy("doc_id").agg(
         F.count("value").alias("n_numbers"), F.max("value").alias("largest"), F.min("value").alias("smallest"))
 
@@ -114,7 +114,7 @@ PRINTED_DUCK = duck(printed_text("format('{{:,.2f}}', o_totalprice)"))
 
 @query(f"SELECT o_orderkey, printed, {number_sql('printed')} AS value FROM ({PRINTED_DUCK})")
 def printed_numbers(spark, sf_dir):
-    rows = spark_sql(spark, sf_dir, printed_text("format_number(o_totalprice, 2)"))
+    rows = spark_sql(spark, sf_dir, printed_text("format_number(o_totalprice, 2)"), spread=True)
     return rows.withColumn("value", parse_number(F.col("printed")))
 
 
@@ -127,7 +127,7 @@ def company_slugs(spark, sf_dir):
 @query(f"""WITH l AS ({LABELS_DUCK}) SELECT coalesce(length(trim(label)) < 4 OR regexp_full_match(trim(label), '[0-9]{{4}}')
    OR lower(trim(label)) IN ('total', 'subtotal', 'suma', 'neto'), false) AS noise, count(*) AS n FROM l GROUP BY 1""")
 def noise_labels(spark, sf_dir):
-    rows = spark_sql(spark, sf_dir, LABELS_SPARK)
+    rows = spark_sql(spark, sf_dir, LABELS_SPARK, spread=True)
     return rows.groupBy(F.coalesce(is_noise_label(F.col("label")), F.lit(False)).alias("noise")).agg(
         F.count(F.lit(1)).alias("n"))
 

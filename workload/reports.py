@@ -38,11 +38,11 @@ FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
 def _both(sql: str) -> tuple[str, str]:
     """The Spark and the check form of a text with amounts and lists."""
     spark = sql.replace("{list}", "array").replace(
-        "{amount}", "translate(format_number(l_extendedprice, 2), ',.', '.,')").replace(
+        "{amount}", "replace(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING), '.', ',')").replace(
         "{quantity}", "translate(format_number(l_quantity * 1000, 0), ',', '.')").replace(
         "{total}", "translate(format_number(o_totalprice, 2), ',.', '.,')").replace("{nl}", "'\\n'").replace("{tab}", "'\\t'")
     check = sql.replace("{list}", "list_value").replace(
-        "{amount}", "translate(format('{{:,.2f}}', l_extendedprice), ',.', '.,')").replace(
+        "{amount}", "replace(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING), '.', ',')").replace(
         "{quantity}", "translate(format('{{:,.0f}}', l_quantity * 1000), ',', '.')").replace(
         "{total}", "translate(format('{{:,.2f}}', o_totalprice), ',.', '.,')").replace("{nl}", "chr(10)").replace("{tab}", "chr(9)")
     return spark, duck(check)
@@ -91,7 +91,7 @@ cell_rows AS (SELECT * FROM v WHERE value IS NOT NULL AND length(label) >= 4)
 
 
 def cells(spark, sf_dir):
-    return spark_sql(spark, sf_dir, CELLS_SPARK)
+    return spark_sql(spark, sf_dir, CELLS_SPARK, spread=True)
 
 
 def cell_pages(spark, sf_dir):
@@ -168,7 +168,7 @@ line_values AS (SELECT doc, canonical, value, page, section FROM lm WHERE canoni
 
 
 def line_pages(spark, sf_dir):
-    return spark_sql(spark, sf_dir, LINES_SPARK)
+    return spark_sql(spark, sf_dir, LINES_SPARK, spread=True)
 
 
 @query(f"WITH {LINE_VALUES_CTES} SELECT * FROM line_values")
@@ -238,7 +238,7 @@ sx AS (SELECT sw.*, canonical, row_number() OVER (PARTITION BY doc, canonical OR
 @query(f"""WITH {SCAN_CTES} SELECT doc, y AS fiscal_year, canonical, value, page, CASE page WHEN 1 THEN 'income' ELSE 'balance' END AS section, false AS comparative FROM sx WHERE rk = 1
 UNION ALL SELECT doc, y0, canonical, value_before, page, CASE page WHEN 1 THEN 'income' ELSE 'balance' END, true FROM sx WHERE pk = 1 AND value_before IS NOT NULL""")
 def scan_statements(spark, sf_dir):
-    found = statements.extract_scans(spark_sql(spark, sf_dir, SCANS_SPARK), "2024-01-01")
+    found = statements.extract_scans(spark_sql(spark, sf_dir, SCANS_SPARK, spread=True), "2024-01-01")
     return found.values.drop("country", "method")
 
 
