@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ledgerline import fixed
+from ledgerline.functions.numbers import once
 from ledgerline.functions.text import contains_any
 
 
@@ -41,30 +42,32 @@ def is_partial_year(text: Column) -> Column:
 
 def tier(url: Column) -> Column:
     """1 for statements, 2 for annual and management reports, 3 for the rest."""
-    low = _fold(F.lower(url))
-    return F.when(contains_any(low, fixed.LINK_TIER1), 1).when(contains_any(low, fixed.LINK_TIER2), 2).otherwise(3)
+    return once(_fold(F.lower(url)), lambda low: F.when(contains_any(low, fixed.LINK_TIER1), 1).when(
+        contains_any(low, fixed.LINK_TIER2), 2).otherwise(3))
 
 
 def score(href: Column, text: Column, year: Column) -> Column:
     """Points for report words (file name before link text before path, tier by tier) and for the year."""
-    path = _fold(F.lower(path_of(href)))
-    name = F.substring_index(path, "/", -1)
+    def points_of(x: Column) -> Column:
+        name, said, path = x["name"], x["said"], x["path"]
+        return (
+            F.when(contains_any(name, fixed.LINK_TIER1), 10)
+            .when(contains_any(said, fixed.LINK_TIER1), 8)
+            .when(contains_any(path, fixed.LINK_TIER1), 5)
+            .when(contains_any(name, fixed.LINK_TIER2), 5)
+            .when(contains_any(said, fixed.LINK_TIER2), 4)
+            .when(contains_any(path, fixed.LINK_TIER2), 2)
+            .when(contains_any(name, fixed.LINK_TIER3), 2)
+            .when(contains_any(said, fixed.LINK_TIER3), 1)
+            .otherwise(0)
+        )
+
     low = F.lower(text)
-    said = _fold(low)
-    points = (
-        F.when(contains_any(name, fixed.LINK_TIER1), 10)
-        .when(contains_any(said, fixed.LINK_TIER1), 8)
-        .when(contains_any(path, fixed.LINK_TIER1), 5)
-        .when(contains_any(name, fixed.LINK_TIER2), 5)
-        .when(contains_any(said, fixed.LINK_TIER2), 4)
-        .when(contains_any(path, fixed.LINK_TIER2), 2)
-        .when(contains_any(name, fixed.LINK_TIER3), 2)
-        .when(contains_any(said, fixed.LINK_TIER3), 1)
-        .otherwise(0)
-    )
+    texts = once(_fold(F.lower(path_of(href))), lambda path: F.struct(
+        F.substring_index(path, "/", -1).alias("name"), _fold(low).alias("said"), path.alias("path")))
     this, last = year.cast("string"), (year - 1).cast("string")
-    dated = href.contains(this) | href.contains(last) | low.contains(this)
-    return points + F.when((points > 0) & F.coalesce(dated, F.lit(False)), 3).otherwise(0)
+    dated = F.coalesce(href.contains(this) | href.contains(last) | low.contains(this), F.lit(False))
+    return once(once(texts, points_of), lambda p: p + F.when((p > 0) & dated, 3).otherwise(0))
 
 
 def on_domain(url: Column, domain: Column) -> Column:

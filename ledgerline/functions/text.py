@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
 from ledgerline import fixed
-from ledgerline.functions.numbers import strip
+from ledgerline.functions.numbers import once, strip
 
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
@@ -17,12 +19,13 @@ def regex_quote(text: str) -> str:
     return re.sub(r"([.\\+*?\[^\]$(){}=!<>|:#/&~-])", r"\\\1", text)
 
 
-def any_word(words) -> str:
-    return "|".join(regex_quote(w) for w in words)
+def contains_any(c: Column, words) -> Column:
+    """The text holds one of the words. Plain searches are far cheaper than one pattern of alternatives."""
+    return once(c, lambda t: reduce(or_, [t.contains(w) for w in words]))
 
 
-def contains_any(c: Column, words) -> Column:
-    return c.rlike(any_word(words))
+def starts_with_any(c: Column, words) -> Column:
+    return once(c, lambda t: reduce(or_, [t.startswith(w) for w in words]))
 
 
 def fold(c: Column) -> Column:
@@ -65,11 +68,13 @@ def is_non_current(label: Column) -> Column:
 
 def section_of(text: Column) -> Column:
     """Statement section whose heading the text holds; null when it holds none."""
-    low = F.lower(text)
-    out = F.lit(None).cast("string")
-    for name, headings in reversed(list(fixed.SECTION_HEADINGS.items())):
-        out = F.when(contains_any(low, headings), name).otherwise(out)
-    return out
+    def find(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, headings in reversed(list(fixed.SECTION_HEADINGS.items())):
+            out = F.when(contains_any(low, headings), name).otherwise(out)
+        return out
+
+    return once(F.lower(text), find)
 
 
 def lines_of(text: Column) -> Column:
@@ -86,8 +91,7 @@ def is_contents_page(text: Column) -> Column:
 def opens_with(text: Column, words, first_lines: int = 8) -> Column:
     """One of the first lines, without leading numbering, starts with one of the words."""
     heads = F.slice(F.split(F.lower(text), "\n"), 1, first_lines)
-    start = "^(" + any_word(words) + ")"
-    return F.exists(heads, lambda line: F.ltrim(strip(line), F.lit("0123456789. ")).rlike(start))
+    return F.exists(heads, lambda line: starts_with_any(F.ltrim(strip(line), F.lit("0123456789. ")), words))
 
 
 def mentions(text: Column, words) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerline.computed import computed
 from ledgerline.functions import links as L
 from ledgerline.functions.years import as_date, year_of_link
 
@@ -22,8 +23,8 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 def scored(links: DataFrame, year: Column, extension: str = ".pdf", fragment: bool = True) -> DataFrame:
     """Links to files of the extension with their score and tier for a year."""
-    return links.filter(L.ends_as(F.col("href"), extension, fragment)).withColumns({
-        "score": L.score(F.col("href"), F.lower("text"), year), "tier": L.tier(F.col("href"))})
+    files = links.filter(L.ends_as(F.col("href"), extension, fragment))
+    return computed(files, {"score": L.score(F.col("href"), F.col("text"), year), "tier": L.tier(F.col("href"))})
 
 
 def best_link_on_page(links: DataFrame, year: Column, extension: str = ".pdf") -> DataFrame:
@@ -32,8 +33,8 @@ def best_link_on_page(links: DataFrame, year: Column, extension: str = ".pdf") -
     Reports on part of a year and links without any report word are left out. The pick is an aggregation,
     so a page with very many links is reduced before it moves.
     """
-    good = scored(links, year, extension, fragment=False).filter(
-        (F.col("score") > 0) & ~L.is_partial_year(F.col("href")) & ~L.is_partial_year(F.lower("text")))
+    whole = links.filter(~L.is_partial_year(F.col("href")) & ~L.is_partial_year(F.col("text")))
+    good = scored(whole, year, extension, fragment=False).filter(F.col("score") > 0)
     order = F.struct((F.col("tier") != 1).alias("other"), (-F.col("score")).alias("points"), "ord")
     return good.groupBy("page_id").agg(
         F.min_by(F.struct("href", "score", "tier"), order).alias("b")).select("page_id", "b.*")
@@ -43,8 +44,8 @@ def yearly_links(links: DataFrame, as_of, extension: str = ".pdf") -> DataFrame:
     """Links with the year they report on; links without a year are left out."""
     whole = links.filter(L.ends_as(F.col("href"), extension) & ~L.is_partial_year(F.col("href")))
     year = year_of_link(F.col("href"), F.col("text"), F.year(as_date(as_of)))
-    dated = whole.withColumn("year", year).filter(F.col("year").isNotNull())
-    return dated.withColumn("score", L.score(F.col("href"), F.col("text"), F.col("year")))
+    dated = computed(whole, {"year": year}, where=lambda r: r["year"].isNotNull())
+    return computed(dated, {"score": L.score(F.col("href"), F.col("text"), F.col("year"))})
 
 
 def best_link_per_year(links: DataFrame, as_of, extension: str = ".pdf", site: str = "page_id") -> DataFrame:

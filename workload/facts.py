@@ -37,7 +37,7 @@ WIDE_CTE = f"""wide AS (SELECT ticker, fiscal_year, {", ".join(f"max(CASE WHEN f
 
 
 def facts(spark, sf_dir):
-    raw = spark_sql(spark, sf_dir, FACTS)
+    raw = spark_sql(spark, sf_dir, FACTS, spread=True)
     return raw.withColumn("pos", F.struct("p1", "p2", "p3")).drop("p1", "p2", "p3")
 
 

@@ -113,4 +113,4 @@ def spark_sql(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False)
 
 
 def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_sql(spark, sf_dir, FINANCIALS)
+    return spark_sql(spark, sf_dir, FINANCIALS, spread=True)
