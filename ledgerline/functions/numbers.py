@@ -73,12 +73,21 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(c, F.lit(high)))
 
 
+def fixed_point(v: Column, digits: int, grouped: bool = False) -> Column:
+    """A number with a fixed count of decimals, halves to even on the exact value.
+
+    ``format_number`` rounds that way; ``format_string`` would round the shortest decimal text half up.
+    """
+    text = F.format_number(v, digits)
+    return text if grouped else F.translate(text, ",", "")
+
+
 def magnitude_text(v: Column) -> Column:
     """``2.5B`` / ``3.0M`` / ``4.2K``; smaller values as they are."""
     return (
-        F.when(v >= 1e9, F.format_string("%.1fB", v / 1e9))
-        .when(v >= 1e6, F.format_string("%.1fM", v / 1e6))
-        .when(v >= 1e3, F.format_string("%.1fK", v / 1e3))
+        F.when(v >= 1e9, F.concat(fixed_point(v / 1e9, 1), F.lit("B")))
+        .when(v >= 1e6, F.concat(fixed_point(v / 1e6, 1), F.lit("M")))
+        .when(v >= 1e3, F.concat(fixed_point(v / 1e3, 1), F.lit("K")))
         .otherwise(v.cast("string"))
     )
 
@@ -87,16 +96,17 @@ def kpi_text(v: Column, style: Column) -> Column:
     """A ratio as shown on a card, by display style."""
     return (
         F.when(v.isNull(), "N/A")
-        .when(style == "percentage", F.format_string("%.1f%%", v * 100))
-        .when(style == "ratio_x", F.format_string("%.2fx", v))
-        .when(style == "dollar_B", F.format_string("$%.1fB", v / 1e9))
-        .when(style == "days", F.format_string("%.0fd", v))
+        .when(style == "percentage", F.concat(fixed_point(v * 100, 1), F.lit("%")))
+        .when(style == "ratio_x", F.concat(fixed_point(v, 2), F.lit("x")))
+        .when(style == "dollar_B", F.concat(F.lit("$"), fixed_point(v / 1e9, 1), F.lit("B")))
+        .when(style == "days", F.concat(fixed_point(v, 0), F.lit("d")))
         .otherwise(F.round(v, 4).cast("string"))
     )
 
 
 def delta_text(v: Column) -> Column:
-    return F.when(v.isNotNull(), F.format_string("%+.1f%%", v * 100))
+    text = fixed_point(v * 100, 1)
+    return F.concat(F.when(text.startswith("-"), "").otherwise("+"), text, F.lit("%"))
 
 
 def money_text(v: Column, currency: Column) -> Column:
@@ -105,9 +115,9 @@ def money_text(v: Column, currency: Column) -> Column:
     size = F.abs(v)
     return (
         F.when(v.isNull(), "N/A")
-        .when(size >= 1e9, F.format_string("%s %.2f %s", currency, v / 1e9, suffix))
-        .when(size >= 1e6, F.format_string("%s %.1fM", currency, v / 1e6))
-        .otherwise(F.format_string("%s %,.0f", currency, v))
+        .when(size >= 1e9, F.concat_ws(" ", currency, fixed_point(v / 1e9, 2), suffix))
+        .when(size >= 1e6, F.concat(currency, F.lit(" "), fixed_point(v / 1e6, 1), F.lit("M")))
+        .otherwise(F.concat_ws(" ", currency, fixed_point(v, 0, grouped=True)))
     )
 
 
@@ -117,6 +127,6 @@ def local_kpi_text(v: Column, style: Column, currency: Column) -> Column:
     return (
         F.when(v.isNull(), "N/A")
         .when(style.isin("percentage", "ratio_x", "days"), kpi_text(v, style))
-        .when(style == "dollar_B", F.format_string("%s %.1f %s", currency, v / 1e9, suffix))
+        .when(style == "dollar_B", F.concat_ws(" ", currency, fixed_point(v / 1e9, 1), suffix))
         .otherwise(money_text(v, currency))
     )

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 # Company = customer, fiscal year = order year. Lines are summed per order before they meet the orders.
 FINANCIALS = """
 SELECT CAST(o_custkey AS STRING) AS ticker, CAST(fy AS INT) AS fiscal_year,
-  rf AS revenue,
+  CASE WHEN sf IS NOT NULL THEN rev END AS revenue,
   CASE WHEN sa IS NULL THEN 0.0005e0 * rev ELSE rev - 0.5e0 * sa END AS gross_profit,
   sr + 0.5e0 * sa AS cogs,
   rev - sr - 0.3e0 * sn AS operating_income,
   COALESCE(sf, 0e0) - COALESCE(so, 0e0) AS net_income,
   0.02e0 * sn AS interest_expense,
-  6e0 * xa + xn - xr AS depreciation_amortization,
+  x AS depreciation_amortization,
   2e0 * rev + COALESCE(sa, 0e0) AS total_assets,
   CASE WHEN sr IS NULL THEN 2e0 * rev + COALESCE(sa, 0e0) ELSE rev + sr END AS total_liabilities,
   rev + sa - COALESCE(sr, 0e0) AS total_equity,
@@ -28,32 +28,27 @@ SELECT CAST(o_custkey AS STRING) AS ticker, CAST(fy AS INT) AS fiscal_year,
   0.05e0 * sa AS short_term_investments,
   0.25e0 * so AS receivables,
   100e0 * qty AS inventory,
-  0.5e0 * sao AS long_term_debt,
-  0.1e0 * srf AS short_term_debt,
+  0.5e0 * so AS long_term_debt,
+  0.1e0 * sr AS short_term_debt,
   0.2e0 * sf AS accounts_payable,
   CAST(NULL AS DOUBLE) AS shares_outstanding,
   COALESCE(sf, 0e0) - 1.1e0 * COALESCE(so, 0e0) AS operating_cash_flow,
   0.1e0 * sf AS capex
 FROM (
   SELECT o_custkey, year(o_orderdate) AS fy,
-    CAST(SUM(rev) AS DOUBLE) AS rev, CAST(SUM(rf) AS DOUBLE) AS rf, CAST(SUM(qty) AS DOUBLE) AS qty,
+    CAST(SUM(rev) AS DOUBLE) AS rev, CAST(SUM(qty) AS DOUBLE) AS qty, CAST(SUM(x) AS DOUBLE) AS x,
     CAST(SUM(sr) AS DOUBLE) AS sr, CAST(SUM(sa) AS DOUBLE) AS sa, CAST(SUM(sn) AS DOUBLE) AS sn,
-    CAST(SUM(sf) AS DOUBLE) AS sf, CAST(SUM(so) AS DOUBLE) AS so,
-    CAST(SUM(sao) AS DOUBLE) AS sao, CAST(SUM(srf) AS DOUBLE) AS srf,
-    CAST(SUM(xr) AS DOUBLE) AS xr, CAST(SUM(xa) AS DOUBLE) AS xa, CAST(SUM(xn) AS DOUBLE) AS xn
+    CAST(SUM(sf) AS DOUBLE) AS sf, CAST(SUM(so) AS DOUBLE) AS so
   FROM (
-    SELECT l_orderkey,
-      SUM(p * (1 - d)) AS rev, SUM(CASE WHEN s = 'F' THEN p * (1 - d) END) AS rf, SUM(q) AS qty,
+    SELECT l_orderkey, SUM(p * (1 - d)) AS rev, SUM(q) AS qty,
+      SUM(CASE WHEN s = 'F' THEN p * t * CASE f WHEN 'R' THEN -1 WHEN 'A' THEN 6 ELSE 1 END END) AS x,
       SUM(CASE WHEN f = 'R' THEN p END) AS sr, SUM(CASE WHEN f = 'A' THEN p END) AS sa,
       SUM(CASE WHEN f = 'N' THEN p END) AS sn,
-      SUM(CASE WHEN s = 'F' THEN p END) AS sf, SUM(CASE WHEN s = 'O' THEN p END) AS so,
-      SUM(CASE WHEN f = 'A' AND s = 'O' THEN p END) AS sao, SUM(CASE WHEN f = 'R' AND s = 'F' THEN p END) AS srf,
-      SUM(CASE WHEN f = 'R' THEN p * t END) AS xr, SUM(CASE WHEN f = 'A' THEN p * t END) AS xa,
-      SUM(CASE WHEN f = 'N' THEN p * t END) AS xn
+      SUM(CASE WHEN s = 'F' THEN p END) AS sf, SUM(CASE WHEN s = 'O' THEN p END) AS so
     FROM (
       SELECT l_orderkey, l_returnflag AS f, l_linestatus AS s,
         CAST(l_extendedprice AS DECIMAL(12,2)) AS p, CAST(l_discount AS DECIMAL(4,2)) AS d,
-        CAST(l_tax AS DECIMAL(4,2)) AS t, CAST(l_quantity AS DECIMAL(12,2)) AS q
+        CAST(l_tax AS DECIMAL(4,2)) AS t, CAST(l_quantity AS BIGINT) AS q
       FROM {lineitem}) lines
     GROUP BY l_orderkey) per_order
   JOIN {orders} ON o_orderkey = l_orderkey
@@ -113,4 +108,4 @@ def spark_sql(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False)
 
 
 def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_sql(spark, sf_dir, FINANCIALS, spread=True)
+    return spark_sql(spark, sf_dir, FINANCIALS)

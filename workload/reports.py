@@ -12,10 +12,10 @@ from workload.labels import mapping_ctes, number_sql
 from workload.ratios import FIN, KPI_STEPS, REPAIRED
 from workload.registry import query
 
-# Report = supplier, page = order, table = line number, row = part.
+# Report = supplier, a page for every thousand orders, a table per order, a row per line.
 CELLS = """
-SELECT CAST(l_suppkey AS STRING) AS doc, 'CO' AS country, 1998 AS fiscal_year, l_orderkey AS page, l_linenumber AS table_no,
-  l_partkey AS row_no,
+SELECT CAST(l_suppkey AS STRING) AS doc, 'CO' AS country, 1998 AS fiscal_year, CAST(floor(l_orderkey / 1000) AS BIGINT) AS page,
+  l_orderkey AS table_no, l_partkey * 10 + l_linenumber AS row_no,
   CASE WHEN l_quantity >= 48 AND l_returnflag = 'R' THEN {list}('Concepto', '1998', '1997', 'Var')
        WHEN l_quantity >= 48 AND l_returnflag = 'A' THEN {list}('', 'dic-97', 'dic 98')
        WHEN l_quantity >= 48 THEN {list}('Concepto', 'Nota', '1998')
@@ -29,9 +29,9 @@ SELECT CAST(l_suppkey AS STRING) AS doc, 'CO' AS country, 1998 AS fiscal_year, l
 FROM {lineitem}
 """
 CELL_PAGES = """
-SELECT DISTINCT CAST(l_suppkey AS STRING) AS doc, 'CO' AS country, 1998 AS fiscal_year, l_orderkey AS page,
-  CASE o_orderstatus WHEN 'F' THEN 'ESTADO DE RESULTADOS y notas' WHEN 'O' THEN 'Notas' ELSE 'Balance General' END AS text, 0 AS n_images
-FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
+SELECT CAST(l_suppkey AS STRING) AS doc, 'CO' AS country, 1998 AS fiscal_year, CAST(floor(l_orderkey / 1000) AS BIGINT) AS page,
+  CASE max(l_linenumber + l_quantity) WHEN 57 THEN 'ESTADO DE RESULTADOS y notas' WHEN 56 THEN 'Notas' ELSE 'Balance General' END AS text, 0 AS n_images
+FROM {lineitem} GROUP BY CAST(l_suppkey AS STRING), CAST(floor(l_orderkey / 1000) AS BIGINT)
 """
 
 
