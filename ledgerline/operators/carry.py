@@ -22,12 +22,10 @@ def carry_forward(df: DataFrame, group: list[str], order: list[str], values: dic
     staged = df.withColumns({**inputs, "_block": block})
     where = [*group, "_block"]
 
-    # Values are rare, so only rows that have one are sorted for the summaries.
     some = F.coalesce(*[F.col(f"_in_{n}").cast("string") for n in names]).isNotNull()
-    last_in_block = staged.filter(some).groupBy(*where).agg(*[
+    summaries = staged.groupBy(*where).agg(*[
         F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), F.struct(*order))).alias(f"_in_{n}")
         for n in names])
-    summaries = staged.select(*where).distinct().join(last_in_block, where, "left")
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     seeds = summaries.select(
         *where, *[F.last(f"_in_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in names],

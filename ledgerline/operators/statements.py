@@ -37,9 +37,8 @@ class Extraction:
 
 def page_sections(pages: DataFrame) -> DataFrame:
     """Section of each page: its own heading, else the last one before it, else ``unknown``."""
-    own = computed(pages, {"heading": section_of(F.col("text"))}, ["doc", "page"])
     carried = carry_forward(
-        own, ["doc"], ["page"], {"section": F.col("heading")},
+        pages.select("doc", "page", section_of(F.col("text")).alias("heading")), ["doc"], ["page"], {"section": F.col("heading")},
         F.floor(F.col("page") / PAGE_BLOCK))
     return carried.select("doc", "page", F.coalesce("section", F.lit("unknown")).alias("section"))
 

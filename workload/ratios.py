@@ -304,7 +304,7 @@ def kpi_comparison(spark, sf_dir):
 
 def _money(f: str) -> str:
     return (f"CASE WHEN {f} IS NULL THEN 'N/A' WHEN abs({f}) >= 1e9 THEN printf('COP %.2f miles de mill.', {f} / 1e9) "
-            f"WHEN abs({f}) >= 1e6 THEN printf('COP %.1fM', {f} / 1e6) ELSE 'COP ' || format('{{:,.0f}}', round({f})) END AS {f}")
+            f"WHEN abs({f}) >= 1e6 THEN printf('COP %.1fM', {f} / 1e6) ELSE 'COP ' || format('{{:,.0f}}', {f}) END AS {f}")
 
 
 @query(f"WITH fin AS ({FIN}) SELECT ticker, fiscal_year, {', '.join(_money(f) for f, _ in fixed.SUMMARY_FIELDS)} FROM fin")
