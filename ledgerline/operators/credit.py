@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline import fixed
-from ledgerline.functions.numbers import clamp
+from ledgerline.functions.numbers import billions, clamp
 from ledgerline.operators.flags import latest_rows
 from ledgerline.windows import by_year
 
@@ -71,7 +71,7 @@ def credit_context(kpis: DataFrame, financials: DataFrame) -> DataFrame:
     projected = F.when(dso.isNotNull() & (revenue > 0), revenue * (1 + F.col("avg_growth")))
 
     def bn(c: Column) -> Column:
-        return F.round(c / F.lit(1e9), 1)
+        return billions(c, 1)
 
     return base.select(
         "ticker",

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline import fixed
+from ledgerline.functions.numbers import billions
 from ledgerline.functions.years import as_date, is_stale
 
 CENT = 0.0005
@@ -219,7 +220,7 @@ def form_defaults(extracted: DataFrame, stored: DataFrame) -> DataFrame:
     read = F.coalesce("value", F.lit(0.0))
     raw = F.when((read == 0) & F.col("_stored").isNotNull(), F.col("_stored")).otherwise(read)
     return extracted.join(kept, ["ticker", "fiscal_year", "canonical"], "left").select(
-        "ticker", "fiscal_year", "canonical", F.round(raw / F.lit(1e9), 3).alias("value_bn"))
+        "ticker", "fiscal_year", "canonical", billions(raw).alias("value_bn"))
 
 
 def edit_view(financials: DataFrame) -> DataFrame:

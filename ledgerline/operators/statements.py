@@ -18,7 +18,7 @@ from ledgerline.functions.text import (
 )
 from ledgerline.functions.years import header_years, year_in_cell
 from ledgerline.operators.carry import carry_forward
-from ledgerline.operators.labels import map_labels, score_extractions
+from ledgerline.operators.labels import map_labels
 
 PAGE_BLOCK = 1024
 CELL_PAGE_BLOCK = 16
@@ -289,7 +289,3 @@ def read_reports(
     for e in (in_lines, scans):
         unmatched = unmatched.unionByName(e.unmatched.select(*columns, F.lit(0).alias("part"), "line"))
     return Extraction(values, unmatched)
-
-
-def confidence_by_report(extracted: DataFrame) -> DataFrame:
-    return score_extractions(extracted)
