@@ -157,8 +157,8 @@ def corrected_values(spark, sf_dir):
 
 
 EXTRACTED = """SELECT CAST(l_orderkey AS STRING) AS ticker, l_linenumber AS fiscal_year, 'revenue' AS canonical,
-  CASE WHEN max(l_returnflag) = 'R' THEN NULL WHEN max(l_linestatus) = 'F' THEN 0e0 ELSE max(l_extendedprice) * 1e6 END AS value FROM {lineitem} GROUP BY 1, 2"""
-KEPT = """SELECT CAST(o_orderkey AS STRING) AS ticker, CAST(month(o_orderdate) AS INT) AS fiscal_year, 'revenue' AS canonical, o_totalprice * 1e5 AS value FROM {orders}"""
+  CASE WHEN max(l_returnflag) = 'R' THEN NULL WHEN max(l_linestatus) = 'F' THEN 0e0 ELSE max(l_extendedprice) * 1.371377e6 END AS value FROM {lineitem} GROUP BY 1, 2"""
+KEPT = """SELECT CAST(o_orderkey AS STRING) AS ticker, CAST(month(o_orderdate) AS INT) AS fiscal_year, 'revenue' AS canonical, o_totalprice * 1.371377e5 AS value FROM {orders}"""
 
 
 @query(f"""SELECT e.ticker, e.fiscal_year, e.canonical, round(CASE WHEN coalesce(e.value, 0) = 0 AND k.value IS NOT NULL THEN k.value ELSE coalesce(e.value, 0) END / 1e9, 3) AS value_bn
