@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import simhash_dedup
+from ledgerline.llm import simhash_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,11 @@ def op8_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    """Score of every document by a model trained on the labelled ones outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.score_documents(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
