@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import simhash_dedup, toxicity
+from ledgerline.llm import best_fit, simhash_dedup, tokens, toxicity
 from ledgerline.llm.durable import stored
 
 
@@ -20,9 +20,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup.one_of_each(docs)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences of 4096 tokens."""
+    return best_fit.packed(docs, tokens.word_vocabulary())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", clean_language),
     ("simhash near-dedup", near_dedup),
+    ("best-fit packing", packing),
 ]
 
 #: Trained models, iterations and tokenizers are beyond SQL; tests hold the stages against brute-force versions.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import simhash_dedup, toxicity
+from ledgerline.llm import best_fit, simhash_dedup, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_best_fit(spark, sf_dir):
+    """Every document's pieces and their places in sequences of 4096 tokens."""
+    return best_fit.packed(table(spark, sf_dir, "documents"), tokens.word_vocabulary())
+
+
 @query
 def op8_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
