@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import best_fit, simhash_dedup, tokens, toxicity
+from ledgerline.llm import best_fit, line_dedup, simhash_dedup, tokens, toxicity
 from ledgerline.llm.durable import stored
 
 
@@ -15,6 +15,11 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines that repeat, exactly or nearly, a line before."""
+    return line_dedup.without_repeats(docs, length_col="n_chars")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
     return simhash_dedup.one_of_each(docs)
@@ -27,6 +32,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", clean_language),
+    ("line dedup", distinct_lines),
     ("simhash near-dedup", near_dedup),
     ("best-fit packing", packing),
 ]

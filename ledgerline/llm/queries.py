@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import best_fit, simhash_dedup, tokens, toxicity
+from ledgerline.llm import best_fit, line_dedup, simhash_dedup, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,13 @@ def op2_best_fit(spark, sf_dir):
     return best_fit.packed(table(spark, sf_dir, "documents"), tokens.word_vocabulary())
 
 
+@query
+def op4_line_dedup(spark, sf_dir):
+    """Every line with words of every document: the first occurrence of its group, and whether it is that one."""
+    return line_dedup.occurrences(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "line", F.col("first.id").alias("first_doc_id"), F.col("first.line").alias("first_line"), "kept")
+
+
 @query
 def op8_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
