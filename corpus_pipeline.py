@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import best_fit, line_dedup, simhash_dedup, tokens, toxicity
+from ledgerline.llm import best_fit, line_dedup, mixing, simhash_dedup, tokens, toxicity
 from ledgerline.llm.durable import stored
 
 
@@ -25,6 +25,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup.one_of_each(docs)
 
 
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens have the target shares of sources, languages and topics."""
+    return mixing.sampled(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 4096 tokens."""
     return best_fit.packed(docs, tokens.word_vocabulary())
@@ -34,6 +39,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", clean_language),
     ("line dedup", distinct_lines),
     ("simhash near-dedup", near_dedup),
+    ("mixing to target weights", target_mix),
     ("best-fit packing", packing),
 ]
 

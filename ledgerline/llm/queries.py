@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import best_fit, line_dedup, simhash_dedup, tokens, toxicity
+from ledgerline.llm import best_fit, line_dedup, mixing, simhash_dedup, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,11 @@ def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scores = toxicity.score_documents(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_mixing(spark, sf_dir):
+    """Every document with its probability under the target mix of sources, languages and topics, and whether it stays."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
+        F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
