@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import best_fit, line_dedup, mixing, simhash_dedup, tokens, toxicity
+from ledgerline.llm import best_fit, line_dedup, mixing, simhash_dedup, token_matrix, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,12 @@ def op4_line_dedup(spark, sf_dir):
         F.col("id").alias("doc_id"), "line", F.col("first.id").alias("first_doc_id"), F.col("first.line").alias("first_line"), "kept")
 
 
+@query
+def op6_token_matrix(spark, sf_dir):
+    """The packed id matrices of all documents with cumulative segment lengths and positions."""
+    return token_matrix.packed_matrix(table(spark, sf_dir, "documents"), tokens.word_vocabulary())
+
+
 @query
 def op8_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
