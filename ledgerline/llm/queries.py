@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import best_fit, line_dedup, mixing, simhash_dedup, token_matrix, tokens, toxicity
+from ledgerline.llm import best_fit, line_dedup, mixing, nearest, simhash_dedup, token_matrix, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,13 @@ def op4_line_dedup(spark, sf_dir):
         F.col("id").alias("doc_id"), "line", F.col("first.id").alias("first_doc_id"), F.col("first.line").alias("first_line"), "kept")
 
 
+@query
+def op5_nearest(spark, sf_dir):
+    """The twenty nearest vectors of every vector whose id is divisible by 20."""
+    found = nearest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query
 def op6_token_matrix(spark, sf_dir):
     """The packed id matrices of all documents with cumulative segment lengths and positions."""
