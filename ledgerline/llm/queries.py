@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import best_fit, line_dedup, mixing, nearest, simhash_dedup, token_matrix, tokens, toxicity
+from ledgerline.llm import best_fit, line_dedup, mixing, nearest, personal_data, simhash_dedup, token_matrix, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,16 @@ def op2_best_fit(spark, sf_dir):
     return best_fit.packed(table(spark, sf_dir, "documents"), tokens.word_vocabulary())
 
 
+@query
+def op3_personal_data(spark, sf_dir):
+    """Base counts, a digest of the base spans and all spans of every document."""
+    found = personal_data.find(table(spark, sf_dir, "documents"), personal_data.examples_table(spark))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [personal_data.count_of(F.col("spans"), k).alias(f"n_{k}") for k in personal_data.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(personal_data.digest(base), 256).alias("base_sha256"),
+                        personal_data.digest(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+
+
 @query
 def op4_line_dedup(spark, sf_dir):
     """Every line with words of every document: the first occurrence of its group, and whether it is that one."""
