@@ -1,8 +1,9 @@
 """Connected components of a link table by rounds of local contraction.
 
-Each round every node moves to the neighbour (or itself) that comes first in an order drawn anew for the round, so a
-constant share of nodes goes in each round whatever the shape of the graph. Links first pass a local step in which
-each task replaces its links by a spanning forest of them. No component and no node's links are ever gathered.
+In each round tasks first replace the links they hold by a spanning forest of stars around the smallest node. Then every
+node moves to the neighbour (or itself) that comes first: by its number in one round, which takes a star up at once, and in
+an order drawn anew in the next, which takes a constant share of the nodes away whatever the shape of the graph. No
+component and no node's links are ever gathered.
 """
 
 from __future__ import annotations
@@ -21,21 +22,17 @@ FOREST_ROWS = 500_000
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 and links a-b: the smallest node of each one's component."""
-    label = np.arange(n)
+    label = np.arange(n)  # of a node: one in its tree; of the tree's smallest node: itself
     while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
+        root_a, root_b = label[a], label[b]
+        low = np.minimum(root_a, root_b)
+        np.minimum.at(label, root_a, low)  # whole trees move under a smaller one, so no link made before is lost
+        np.minimum.at(label, root_b, low)
         while True:
             jumped = label[label]
             if (jumped == label).all():
                 break
             label = jumped
-        if (label == before).all():
-            break
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
     return label
@@ -69,23 +66,24 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Links with a null end and links of a node to itself connect nothing and bring no node. Repeated links count once.
     """
-    open_links = checkpointed(
-        links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-        .mapInPandas(_local, "a long, b long").where("a <> b").distinct())
+    def thinned(df: DataFrame) -> DataFrame:
+        return checkpointed(df.mapInPandas(_local, "a long, b long").distinct().mapInPandas(_local, "a long, b long"))
+
+    open_links = thinned(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b"))
     moves: list[DataFrame] = []
     while not open_links.isEmpty():
-        order = F.xxhash64(F.col("to"), F.lit(len(moves)))
+        place = (lambda c: F.xxhash64(c, F.lit(len(moves)))) if len(moves) % 2 else F.col
         ends = open_links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(
             open_links.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        first = ends.groupBy("node").agg(F.min(F.struct(order.alias("order"), "to")).alias("first"))
-        own = F.struct(F.xxhash64("node", F.lit(len(moves))).alias("order"), F.col("node").alias("to"))
+        first = ends.groupBy("node").agg(F.min(F.struct(place("to").alias("order"), "to")).alias("first"))
+        own = F.struct(place("node").alias("order"), F.col("node").alias("to"))
         move = checkpointed(first.select("node", F.least("first", own)["to"].alias("to")))
         moves.append(move)
-        open_links = checkpointed(
+        open_links = thinned(
             open_links.join(move.select(F.col("node").alias("a"), F.col("to").alias("a_to")), "a")
             .join(move.select(F.col("node").alias("b"), F.col("to").alias("b_to")), "b")
             .where("a_to <> b_to")
-            .select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+            .select(F.col("a_to").alias("a"), F.col("b_to").alias("b")))
     if not moves:
         return links.sparkSession.createDataFrame([], "node long, component long")
     # Nodes of a later round are the targets of the round before, so the chain of moves ends at the component's last node.
