@@ -8,7 +8,7 @@ fitted to the scaled values. As the sum runs over words, a word's score is found
 a look-up a word.
 
 The fit takes at most ``SAMPLE`` labelled documents of each class, those with the smallest hash of their id; that and the
-number of buckets bound what reaches the driver. Every document is scored over its whole text.
+number of buckets bound what its task reads. The driver gets the weights alone. Every document is scored over its whole text.
 
 Edge cases: null and empty texts get the score of the intercept. Rows are scored one by one, so repeated rows and null ids
 keep their places. Labels that contradict each other for an id, null labels and labels without document teach nothing. If
@@ -73,10 +73,10 @@ def fit(labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     expected = n[:, None] * held.sum(0) / n.sum()
     clean, toxic = np.log((held + SHRINK) / (expected + SHRINK))
     ratio = np.where(np.abs(toxic - clean) >= TELLING, toxic - clean, 0.0)
-    at = np.concatenate([r[0] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    value = np.concatenate([r[1] for r in rows]) * ratio[at]
-    at, row, value = (x[value != 0] for x in (at, row, value))
+    telling = [ratio[a] != 0 for a, _ in rows]
+    at = np.concatenate([a[t] for (a, _), t in zip(rows, telling)])
+    row = np.repeat(np.arange(len(rows)), [t.sum() for t in telling])
+    value = np.concatenate([n[t] for (_, n), t in zip(rows, telling)]) * ratio[at]
     importance = np.where(positive, 0.5 / n[1], 0.5 / n[0])
     coefficients, intercept = np.full(BUCKETS, 0.05), 0.0
     first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
@@ -111,12 +111,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "at": [a.astype("<i4").tobytes() for a, _ in found],
                                 "n": [c.astype("<i4").tobytes() for _, c in found]})
 
-    # At most two samples of ids are broadcast; what comes back is as many rows of at most BUCKETS features.
+    def model(got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values("id")
+        fitted = fit(got["label"].to_numpy(), [(np.frombuffer(a, "<i4"), np.frombuffer(n, "<i4")) for a, n in zip(got["at"], got["n"])])
+        return pd.DataFrame({"intercept": [fitted.intercept], "weights": [fitted.weights.astype("<f4").tobytes()]})
+
+    # At most two samples of ids are broadcast; one task fits as many rows of at most BUCKETS features each.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "label")), "id")
-    got = texts.mapInPandas(rows, "id long, label int, at binary, n binary").groupBy("id").agg(
-        F.min(F.struct("label", "at", "n")).alias("r")).select("id", "r.*").collect()
-    got.sort(key=lambda r: r["id"])
-    return fit(np.array([r["label"] for r in got]), [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in got])
+    read = texts.mapInPandas(rows, "id long, label int, at binary, n binary").groupBy("id").agg(F.min(F.struct("label", "at", "n")).alias("r"))
+    found = read.select("id", "r.*", F.lit(0).alias("all")).groupBy("all").applyInPandas(model, "intercept double, weights binary").first()
+    return fit(np.zeros(0), []) if found is None else Model(found["intercept"], np.frombuffer(found["weights"], "<f4"))
 
 
 def scored(model: Model, text: Column) -> Column:
