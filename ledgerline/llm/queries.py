@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import best_fit, line_dedup, mixing, nearest, personal_data, simhash_dedup, token_matrix, tokens, toxicity
+from ledgerline.llm import best_fit, line_dedup, mixing, nearest, personal_data, quality, simhash_dedup, token_matrix, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quality(spark, sf_dir):
+    """Base counts, likelihood ratio and verdict of every document."""
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op2_best_fit(spark, sf_dir):
     """Every document's pieces and their places in sequences of 4096 tokens."""
