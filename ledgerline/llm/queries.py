@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import best_fit, line_dedup, mixing, nearest, personal_data, quality, simhash_dedup, token_matrix, tokens, toxicity
+from ledgerline.llm import best_fit, line_dedup, mixing, nearest, personal_data, quality, secrets, simhash_dedup, token_matrix, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,12 @@ def op6_token_matrix(spark, sf_dir):
     return token_matrix.packed_matrix(table(spark, sf_dir, "documents"), tokens.word_vocabulary())
 
 
+@query
+def op7_secrets(spark, sf_dir):
+    """Every candidate secret of every document with the forest's probability."""
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.findings_table(spark)).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op8_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
