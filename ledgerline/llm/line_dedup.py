@@ -33,7 +33,7 @@ SIMILARITY = 0.8
 #: Lines of a candidate set that one part holds.
 PART = 512
 #: Words a worker remembers the hash of, and words whose bits are counted at a time.
-REMEMBERED, SLICE = 500_000, 1 << 18
+REMEMBERED, SLICE = 150_000, 1 << 18
 WORD = re.compile(r"\w+")
 
 
@@ -45,7 +45,7 @@ _HASHES: dict[str, int] = {}
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
-    """SimHash (signed 64 bits) of the words of each normalised line, repeats included."""
+    """SimHash (signed 64 bits) of the distinct words of each normalised line; repeats would let the commonest words decide."""
     out = np.zeros(len(lines), np.int64)
     start = 0
     while start < len(lines):
@@ -53,7 +53,7 @@ def simhashes(lines: list[str]) -> np.ndarray:
         sizes: list[int] = []
         end = start
         while end < len(lines) and len(words) < SLICE:
-            own = lines[end].split(" ")
+            own = list(dict.fromkeys(lines[end].split(" ")))
             words += own
             sizes.append(len(own))
             end += 1
@@ -124,13 +124,15 @@ def lines_of(docs: DataFrame, with_text: bool) -> DataFrame:
                         row.append(i)
                         number.append(n)
                         words.append(plain)
+            if not row:
+                continue
             out = frame[["id", "hash"]].iloc[row].reset_index(drop=True).assign(
                 line=number, key=[xxh3_128_digest(w.encode()) for w in words])
             if with_text:
                 yield out.assign(words=words).drop_duplicates("key")
             else:
-                distinct, at = np.unique(np.array(words, object), return_inverse=True) if words else (np.array([], object), [])
-                yield out.assign(simhash=simhashes(list(distinct))[at] if words else pd.Series([], dtype="int64"))
+                distinct, at = np.unique(np.array(words, object), return_inverse=True)
+                yield out.assign(simhash=simhashes(list(distinct))[at])
 
     rows = docs.where("text is not null").select(F.col("id").cast("string").alias("id"), "hash", "text")
     return rows.mapInPandas(split, f"id string, hash long, line int, key binary, {value}").withColumn("id", F.col("id").cast(kind))
@@ -189,20 +191,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     similarity: float = SIMILARITY) -> DataFrame:
     """The documents without the lines that repeat an earlier one; ``length_col`` is set to the length of a changed text."""
     found = occurrences(docs, id_col, text_col, similarity)
-    gone = found.groupBy("id", "hash").agg(F.collect_list(F.when(~F.col("kept"), F.col("line"))).alias("_gone"), F.max("kept").alias("_some"))
-    gone = gone.where(F.size("_gone") > 0).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "_gone", "_some")
-    columns = docs.columns
-    joined = docs.join(gone, (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left").where("_some is null or _some")
+    gone = found.groupBy("id", "hash").agg(F.collect_list(F.when(~F.col("kept"), F.col("line"))).alias("gone"), F.max("kept").alias("some")).where(F.size("gone") > 0)
+    # The document travels as one column, so its own column names clash with nothing here.
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    joined = marked.join(gone, (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left").where("some is null or some")
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, removed: pd.Series) -> pd.Series:
         return pd.Series([t if r is None else _without(t, r) for t, r in zip(texts, removed)], dtype=object)
 
-    # The texts pass the function once: a column of its own between two projections.
-    changed = joined.withColumn("_text", rest(F.col(text_col), F.col("_gone")))
-    text = F.col("_text").alias(text_col)
-    length = lambda c: F.when(F.col("_gone").isNotNull(), F.length("_text")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c)
-    return changed.select(*[text if c == text_col else length(c) if c == length_col else docs[c] for c in columns])
+    changed = joined.withColumn("rest", rest("text", "gone"))
+    length = lambda c: F.when(F.col("gone").isNotNull(), F.length("rest")).otherwise(F.col("doc")[c]).cast(dict(docs.dtypes)[c])
+    return changed.select(*[(F.col("rest") if c == text_col else length(c) if c == length_col else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def _without(text: str, removed) -> str:
