@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Chunks and words a worker remembers.
-CHUNKS, WORDS = 300_000, 600_000
+CHUNKS, WORDS = 120_000, 250_000
 #: Runs that the pre-tokenizer takes apart in the same way: letters, single digits, other marks. Letters beyond Latin-1 and
 #: apostrophes, which start contractions, are left to the tokenizer itself.
 PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")

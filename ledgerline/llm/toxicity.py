@@ -33,8 +33,10 @@ SIZES = (3, 4, 5)
 SAMPLE = 2000
 #: Documents added to the found and to the expected number of each class; least log ratio of a feature; ridge, steps and rate of the fit.
 SHRINK, TELLING, RIDGE, STEPS, RATE = 6.0, 0.5, 0.02, 60, 0.1
+#: Pull of the intercept towards -1: without evidence a text counts as clean.
+LEAN = 0.05
 #: Words a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -78,13 +80,13 @@ def fit(labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> Model:
     row = np.repeat(np.arange(len(rows)), [t.sum() for t in telling])
     value = np.concatenate([n[t] for (_, n), t in zip(rows, telling)]) * ratio[at]
     importance = np.where(positive, 0.5 / n[1], 0.5 / n[0])
-    coefficients, intercept = np.full(BUCKETS, 0.05), 0.0
+    coefficients, intercept = np.full(BUCKETS, 0.05), -1.0
     first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for step in range(1, STEPS + 1):
         margin = np.bincount(row, value * coefficients[at], len(rows)) + intercept
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - positive) * importance
         slope = np.bincount(at, error[row] * value, BUCKETS) + RIDGE / len(rows) * coefficients
-        slope = np.append(slope, error.sum())
+        slope = np.append(slope, error.sum() + LEAN * (intercept + 1))
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope ** 2
         move = RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-6)
         coefficients, intercept = coefficients - 0.1 * move[:-1], intercept - move[-1]
@@ -107,6 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            if not len(frame):
+                continue
             found = [features(t) for t in frame["text"]]
             yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "at": [a.astype("<i4").tobytes() for a, _ in found],
                                 "n": [c.astype("<i4").tobytes() for _, c in found]})
@@ -164,5 +168,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose score is below ``limit``, with their own columns."""
-    score = "_toxicity_score"
-    return score_documents(docs, labels, id_col, text_col, score_col=score).where(F.col(score) < limit).drop(score)
+    return docs.where(scored(train(docs, labels, id_col, text_col), F.col(text_col)) < limit)
