@@ -43,6 +43,8 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokenizer(vocabulary).ids
         for frame in frames:
+            if not len(frame):
+                continue
             row, number, length, check = [], [], [], []
             for i, text in enumerate(frame["text"]):
                 ids = encode(text) + mark

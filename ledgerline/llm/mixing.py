@@ -25,6 +25,7 @@ ROUNDS, TOLERANCE = 25, 1e-5
 #: Values of a dimension up to which its totals are broadcast in a round; beyond, they meet by exchange.
 BROADCAST = 100_000
 SEED = 20240917
+MARKS = ("_topic", "_tokens", "_probability", "_kept", "_doc")
 
 
 def word_tokens(text: Column) -> Column:
@@ -93,25 +94,27 @@ def draw(key: Column, text: Column, seed: int = SEED) -> Column:
 
 def mixed(docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id",
           text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
-          rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with ``_topic``, ``_tokens``, ``_probability`` and ``_kept``.
+          rounds: int = ROUNDS, with_doc: bool = False) -> DataFrame:
+    """``docs`` with ``_topic``, ``_tokens``, ``_probability`` and ``_kept`` (which replace columns of these names).
 
     The target of a dimension (source, lang, topic) is its table in ``targets``, else its present shares to its power.
     """
     powers = {"source": 0.8, "lang": 0.8, "topic": 0.9} | (powers or {})
-    dimensions = ["_source", "_lang", "_topic"]
-    marked = docs.withColumns({"_source": F.col(source_col), "_lang": F.col(lang_col), "_tokens": word_tokens(F.col(text_col)),
-                               "_topic": lexical_topic(F.col(text_col)) if topic is None else topic})
-    cells = stored(cells_of(marked, dimensions, "_tokens"))
-    wanted = {f"_{k}": (targets or {}).get(k, None) for k in powers}
-    wanted = {k: tempered(cells, k, powers[k[1:]]) if v is None else v for k, v in wanted.items()}
-    chances = probabilities(rake(cells, wanted, rounds), dimensions).select(
-        *[F.col(d).alias(f"c{d}") for d in dimensions], F.col("probability").alias("_probability"))
-    met = marked.join(chances, [F.col(d).eqNullSafe(F.col(f"c{d}")) for d in dimensions])
-    kept = draw(F.col(id_col), F.col(text_col)) < F.col("_probability")
-    return met.withColumn("_kept", kept).select(*docs.columns, "_topic", "_tokens", "_probability", "_kept")
+    dimensions = ["source", "lang", "topic"]
+    # The document travels as one column, so its own column names clash with nothing here.
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), draw(F.col(id_col), F.col(text_col)).alias("draw"),
+                         F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), word_tokens(F.col(text_col)).alias("tokens"),
+                         (lexical_topic(F.col(text_col)) if topic is None else topic).alias("topic"))
+    cells = stored(cells_of(marked, dimensions, "tokens"))
+    wanted = {k: (targets or {}).get(k) for k in powers}
+    wanted = {k: tempered(cells, k, powers[k]) if v is None else v for k, v in wanted.items()}
+    chances = probabilities(rake(cells, wanted, rounds), dimensions).select(*[F.col(d).alias(f"cell_{d}") for d in dimensions], "probability")
+    met = marked.join(chances, [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in dimensions])
+    own = [F.col("doc")[c].alias(c) for c in docs.columns if c not in MARKS]
+    return met.select(*own, F.col("topic").alias("_topic"), F.col("tokens").alias("_tokens"), F.col("probability").alias("_probability"),
+                      (F.col("draw") < F.col("probability")).alias("_kept"), *([F.col("doc").alias("_doc")] if with_doc else []))
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with their own columns."""
-    return mixed(docs, **options).where("_kept").select(*docs.columns)
+    return mixed(docs, with_doc=True, **options).where("_kept").select("_doc.*")

@@ -160,7 +160,8 @@ def scan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         for frame in frames:
             rows = [(key, start, end, rule, sha256(text[start:end].encode()).hexdigest(), describe(text, start, end, path, language.value))
                     for key, text, path in frame[["id", "text", "path"]].itertuples(index=False) if text for rule, start, end in candidates(text)]
-            yield pd.DataFrame(rows, columns=["id", "start", "end", "rule", "sha256", "features"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "start", "end", "rule", "sha256", "features"])
 
     train = labelled.where("secret in (0, 1) and text is not null").mapInPandas(described, "secret int, features array<double>").select(
         F.col("secret").cast("double").alias("label"), array_to_vector(*names).alias("features"))

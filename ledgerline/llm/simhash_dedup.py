@@ -201,21 +201,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows without id stay only if nobody in their component has one, one row a component; of rows that repeat an id
     one stays, the one with the smallest text.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col("component").eqNullSafe(F.col(id_col))).groupBy(
-        F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_rows"), F.min("fingerprint").alias("_fp"))
-    unique = keep.where("_id is not null and _rows = 1").select("_id")
-    repeated = keep.where("_id is not null and _rows > 1").select("_id")
-    kept = docs.join(unique, docs[id_col] == F.col("_id"), "left_semi")
-    rest = docs.join(repeated, docs[id_col] == F.col("_id"), "left_semi")
-    nameless = docs.where(F.col(id_col).isNull())
-    first = lambda df, *keys: _first_row(df, list(keys), text_col)
-    alone = found.where(F.col(id_col).isNull() & F.col("component").isNull()).select(F.col("fingerprint").alias("_fp")).distinct()
-    nameless = nameless.withColumn("_fp", fingerprint(F.col(text_col))).join(alone, "_fp", "left_semi")
-    return kept.unionByName(first(rest, id_col)).unionByName(first(nameless, "_fp").select(docs.columns))
-
-
-def _first_row(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    columns = df.columns
-    row = F.struct(*[F.col(c) for c in [text_col, *[c for c in columns if c != text_col]]])
-    return df.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(F.min(row).alias("_row")).select("_row.*").select(columns)
+    # The document travels as one column, so its own column names clash with nothing here.
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = near_duplicates(marked, "id", "text")
+    heads = found.where(F.col("component").eqNullSafe(F.col("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("fingerprint").alias("fp"))
+    kept = marked.join(heads.where("id is not null and rows = 1").select("id"), "id", "left_semi").select("doc")
+    rest = marked.join(heads.where("id is not null and rows > 1").select("id"), "id", "left_semi").select("id", "text", "doc")
+    alone = found.where("id is null and component is null").select("fingerprint").distinct()
+    nameless = marked.where("id is null").withColumn("fingerprint", fingerprint(F.col("text"))).join(alone, "fingerprint", "left_semi").select("fingerprint", "text", "doc")
+    one = [df.groupBy(key).agg(F.min_by("doc", F.struct("text", F.to_json("doc"))).alias("doc")).select("doc") for key, df in (("id", rest), ("fingerprint", nameless))]
+    return kept.unionAll(one[0]).unionAll(one[1]).select("doc.*")
