@@ -6,8 +6,8 @@ both raised by ``SHRINK``, so a bucket seen rarely says little. A document's sco
 is kept if no base rule fails and the score is ``THRESHOLD`` or more. Everything is a DataFrame operation.
 
 The raw counts cover every document. The target takes at most ``TRUSTED`` trusted documents, those with the smallest hash of
-their id, so that their ids can be broadcast; the ratios, at most one a bucket, are broadcast as well. A document's n-grams
-are expanded and summed up again in the task that reads it, and only sums cross the network.
+their id, so that their ids can be broadcast; the ratios, one a bucket, reach the tasks as one array that a document's
+n-grams look up in place. Only counts of buckets cross the network.
 
 Edge cases: null and empty texts have no words and fail the base rules. Documents without n-grams score zero. Without trusted
 documents all ratios are zero. Rows are scored one by one, so repeated rows and null ids keep their places. Labels that
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.computed import computed
+from ledgerline.llm.durable import stored
 
 BUCKETS = 1 << 18
 #: Trusted documents at most, counts added to both sides of a ratio, and the least mean ratio that is kept.
@@ -74,7 +75,7 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             .groupBy("id").agg(F.min("label").alias("label")).where("label = 1").orderBy(F.xxhash64("id"), "id").limit(trusted).select("id", F.lit(1).alias("good")))
     hashed = with_words(docs, id_col, text_col).select("id", "hashes").join(F.broadcast(good), "id", "left")
     each = hashed.select("good", F.explode(ngrams(F.col("hashes"))).alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
+    counts = stored(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")))
     whole = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     share = (whole["target"] or 0) / (whole["raw"] or 1)
     return counts.select("bucket", F.log((F.col("target") + shrink) / (F.col("raw") * share + shrink)).alias("ratio"))
@@ -83,13 +84,14 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
            threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
     """``id``, the base counts, ``base_failed``, ``score`` and ``kept`` of every document."""
-    model = F.broadcast(ratios(docs, labels, id_col, text_col, label_col, trusted))
-    counts = base_counts(with_words(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
-    keys = ["row", "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    each = counts.select(*keys, F.explode_outer(ngrams(F.col("hashes"))).alias("bucket"))
-    # Sums of whole numbers do not depend on their order: a score is the same in every run.
-    exact = F.round(F.col("ratio") * 1e9).cast("long")
-    sums = each.join(model, "bucket", "left").groupBy(*keys).agg(F.sum(exact).alias("sum"), F.count("bucket").alias("n"))
+    # Whole numbers, so that a score does not depend on the order of its summands; one a bucket, in their order.
+    known = ratios(docs, labels, id_col, text_col, label_col, trusted).select("bucket", F.round(F.col("ratio") * 1e9).cast("long").alias("ratio"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    model = every.join(known, "bucket", "left").agg(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0)).alias("ratio")))).alias("model"))
+    model = model.select(F.col("model")["ratio"].alias("model"))
+    counts = base_counts(with_words(docs, id_col, text_col)).withColumn("ngrams", ngrams(F.col("hashes"))).drop("hashes")
+    whole = F.aggregate("ngrams", F.lit(0).cast("long"), lambda total, bucket: total + F.get("model", bucket))
+    scored = counts.withColumn("model", model.scalar()).withColumn("score", F.when(F.col("n_words") > 0, whole / 1e9 / (2 * F.col("n_words") - 1)).otherwise(0.0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    score = F.coalesce(F.col("sum") / 1e9 / F.col("n"), F.lit(0.0))
-    return sums.select("id", *keys[2:], failed.alias("base_failed"), score.alias("score"), (~failed & (score >= threshold)).alias("kept"))
+    return scored.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score",
+                         (~failed & (F.col("score") >= threshold)).alias("kept"))
