@@ -6,7 +6,7 @@ three bits, found over shared blocks (see ``simhash_dedup.links``); they link if
 the Levenshtein distance over the longer length, is ``similarity`` (0.8) or more. Of each connected group of lines only the
 first occurrence stays, by document id, then line number.
 
-Texts move only for lines that have a candidate, and a set of candidates too large for one task is dealt out as pairs of
+Texts move only for lines that have a candidate (and the few whose hash falls on the same bit of a map of fixed size), and a set of candidates too large for one task is dealt out as pairs of
 parts, so that every candidate pair meets in some task. Pairs that are connected already need no test; that changes no group.
 
 Edge cases: lines without words (blank, marks alone) are never removed. Null texts stay null. Rows without id stay as they
@@ -34,6 +34,8 @@ SIMILARITY = 0.8
 PART = 512
 #: Words a worker remembers the hash of, and words whose bits are counted at a time.
 REMEMBERED, SLICE = 150_000, 1 << 18
+#: Documents a task looks at together, and the size of the map of candidates.
+DOCUMENTS, MAP_BITS = 500, 20
 WORD = re.compile(r"\w+")
 
 
@@ -44,6 +46,10 @@ def normalised(line: str) -> str:
 _HASHES: dict[str, int] = {}
 
 
+#: For a byte, its eight bits as the bytes of one number: sums of these count eight bits at a time, up to 255 of each.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.dtype("<u8"))[:, 0]
+
+
 def simhashes(lines: list[str]) -> np.ndarray:
     """SimHash (signed 64 bits) of the distinct words of each normalised line; repeats would let the commonest words decide."""
     out = np.zeros(len(lines), np.int64)
@@ -62,9 +68,13 @@ def simhashes(lines: list[str]) -> np.ndarray:
         for w in set(words).difference(_HASHES):
             _HASHES[w] = xxh64_intdigest(w.encode())
         values = np.array([_HASHES[w] for w in words], np.dtype("<u8"))
-        bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.r_[0, np.cumsum(sizes)[:-1]], axis=0, dtype=np.int32)
-        out[start:end] = np.packbits(2 * ones > np.array(sizes)[:, None], axis=1, bitorder="little").view(np.dtype("<i8"))[:, 0]
+        size = np.array(sizes)
+        parts = -(-size // 255)  # stretches of a line that a lane can count
+        first = np.repeat(np.cumsum(size) - size, parts)
+        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        counted = np.add.reduceat(LANES[values.view(np.uint8).reshape(-1, 8)], first + 255 * within, axis=0)
+        ones = np.add.reduceat(counted.view(np.uint8).astype(np.int32), np.cumsum(parts) - parts, axis=0)
+        out[start:end] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.dtype("<i8"))[:, 0]
         start = end
     return out
 
@@ -109,33 +119,61 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def lines_of(docs: DataFrame, with_text: bool) -> DataFrame:
-    """A row for each line with words of docs (id, hash, text): its number, key and SimHash or else its normalised text."""
+def spot(key: bytes) -> int:
+    """Bit of a line key in the map of candidates."""
+    return int.from_bytes(key[:3], "big") >> (24 - MAP_BITS)
+
+
+def map_of(keys: DataFrame) -> np.ndarray:
+    """Which of the 2 ** MAP_BITS spots hold a key: a map of fixed size, whatever the number of keys."""
+    at = F.shiftright(F.conv(F.hex(F.substring("key", 1, 3)), 16, 10).cast("int"), 24 - MAP_BITS)
+    held = keys.select(F.shiftright(at, 15).alias("page"), at.bitwiseAND(32767).cast("long").alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for r in held.collect():  # at most 2 ** MAP_BITS / 32768 rows of 4 KB
+        out[r["page"] * 4096:(r["page"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return np.unpackbits(out, bitorder="little").astype(bool)
+
+
+def lines_of(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """A row for each line with words of docs (id, hash, text): its number, key and SimHash.
+
+    With ``wanted``, a map of spots: key and normalised text of the lines whose spot is set.
+    """
     kind = dict(docs.dtypes)["id"]
-    value = "words string" if with_text else "simhash long"
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(frame: pd.DataFrame) -> Iterator[tuple[int, int, str]]:
+        for i, text in enumerate(frame["text"]):
+            for n, line in enumerate(text.split("\n")):
+                plain = normalised(line)
+                if plain:
+                    yield i, n, plain
+
+    def slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            row, number, words = [], [], []
-            for i, text in enumerate(frame["text"]):
-                for n, line in enumerate(text.split("\n")):
-                    plain = normalised(line)
-                    if plain:
-                        row.append(i)
-                        number.append(n)
-                        words.append(plain)
-            if not row:
-                continue
-            out = frame[["id", "hash"]].iloc[row].reset_index(drop=True).assign(
-                line=number, key=[xxh3_128_digest(w.encode()) for w in words])
-            if with_text:
-                yield out.assign(words=words).drop_duplicates("key")
-            else:
-                distinct, at = np.unique(np.array(words, object), return_inverse=True)
-                yield out.assign(simhash=simhashes(list(distinct))[at])
+            for at in range(0, len(frame), DOCUMENTS):
+                yield frame.iloc[at:at + DOCUMENTS]
+
+    def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in slices(frames):
+            found = list(each(frame))
+            if found:
+                row, number, words = zip(*found)
+                distinct: dict[str, int] = {}
+                at = [distinct.setdefault(w, len(distinct)) for w in words]
+                keys = [xxh3_128_digest(w.encode()) for w in distinct]
+                yield frame[["id", "hash"]].iloc[list(row)].reset_index(drop=True).assign(
+                    line=number, key=[keys[i] for i in at], simhash=simhashes(list(distinct))[at])
+
+    def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in slices(frames):
+            found = {key: words for _, _, words in each(frame) if wanted[spot(key := xxh3_128_digest(words.encode()))]}
+            if found:
+                yield pd.DataFrame({"key": list(found), "words": list(found.values())})
 
     rows = docs.where("text is not null").select(F.col("id").cast("string").alias("id"), "hash", "text")
-    return rows.mapInPandas(split, f"id string, hash long, line int, key binary, {value}").withColumn("id", F.col("id").cast(kind))
+    if wanted is not None:
+        return rows.mapInPandas(texts, "key binary, words string")
+    return rows.mapInPandas(marked, "id string, hash long, line int, key binary, simhash long").withColumn("id", F.col("id").cast(kind))
 
 
 def _verify(similarity: float, budget: int):
@@ -163,19 +201,19 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 budget: int = BUDGET, part: int = PART) -> DataFrame:
     """Every line with words: ``id``, ``hash`` (of the text), ``line``, the first occurrence of its group, whether it is that one."""
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).where("id is not null")
-    seen = stored(lines_of(plain, with_text=False))
+    seen = stored(lines_of(plain))
     distinct = stored(seen.groupBy("key").agg(F.first("simhash").alias("simhash"), F.min(F.struct("id", "hash", "line")).alias("first"))
                       .withColumn("node", F.monotonically_increasing_id()))
     sets = components(links(distinct, "simhash", budget), "a", "b").select(F.col("node").alias("simhash"), F.col("component").alias("set"))
     shared = distinct.groupBy("simhash").count().where("count > 1").select("simhash")
-    candidates = (distinct.join(sets, "simhash", "left").join(shared.withColumn("shared", F.lit(True)), "simhash", "left")
+    candidates = stored(distinct.join(sets, "simhash", "left").join(shared.withColumn("shared", F.lit(True)), "simhash", "left")
                   .where("set is not null or shared").select("key", "node", "simhash", F.coalesce("set", "simhash").alias("set")))
     sizes = candidates.groupBy("set").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
     # The two parts that meet in a task are an unordered pair; a line goes to every task that its part takes part in.
     own = F.pmod(F.xxhash64("node"), "parts").cast("int")
     tasks = candidates.join(sizes, "set").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "key", "node", "simhash", "set", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"))
-    texts = lines_of(plain, with_text=True).select("key", "words").join(candidates.select("key"), "key", "left_semi")
+    texts = lines_of(plain, map_of(candidates)).join(candidates.select("key"), "key", "left_semi")
     texts = stored(texts.groupBy("key").agg(F.first("words").alias("words")))
     verified = tasks.join(texts, "key").select("set", "part_a", "part_b", F.col("node").alias("line"), "simhash", "words").groupBy(
         "set", "part_a", "part_b").applyInPandas(_verify(similarity, budget), "a long, b long")
