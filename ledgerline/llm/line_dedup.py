@@ -27,6 +27,7 @@ from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from ledgerline.llm.components import components
 from ledgerline.llm.durable import checkpointed, stored
+from ledgerline.llm.memory import memory
 from ledgerline.llm.simhash_dedup import BUDGET, links
 
 SIMILARITY = 0.8
@@ -43,15 +44,13 @@ def normalised(line: str) -> str:
     return " ".join(WORD.findall(line.lower()))
 
 
-_HASHES: dict[str, int] = {}
-
-
 #: For a byte, its eight bits as the bytes of one number: sums of these count eight bits at a time, up to 255 of each.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.dtype("<u8"))[:, 0]
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
     """SimHash (signed 64 bits) of the distinct words of each normalised line; repeats would let the commonest words decide."""
+    known = memory("line words")
     out = np.zeros(len(lines), np.int64)
     start = 0
     while start < len(lines):
@@ -63,11 +62,11 @@ def simhashes(lines: list[str]) -> np.ndarray:
             words += own
             sizes.append(len(own))
             end += 1
-        if len(_HASHES) > REMEMBERED:
-            _HASHES.clear()
-        for w in set(words).difference(_HASHES):
-            _HASHES[w] = xxh64_intdigest(w.encode())
-        values = np.array([_HASHES[w] for w in words], np.dtype("<u8"))
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxh64_intdigest(w.encode())
+        values = np.array([known[w] for w in words], np.dtype("<u8"))
         size = np.array(sizes)
         parts = -(-size // 255)  # stretches of a line that a lane can count
         first = np.repeat(np.cumsum(size) - size, parts)

@@ -28,6 +28,7 @@ from xxhash import xxh64_intdigest
 
 from ledgerline.llm.components import components, forest
 from ledgerline.llm.durable import checkpointed, stored
+from ledgerline.llm.memory import memory
 
 BITS, BUDGET = 64, 3
 #: Fingerprints below a node pair that one task finishes; pairs with more are traversed further as rows.
@@ -58,6 +59,7 @@ def fingerprint(text, width: int = 3):
     """Column of the fingerprints (as signed 64-bit numbers) of a text column."""
     @pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
+        memory("fingerprints")  # needs none: gives back what stages before remembered
         return pd.Series([fingerprint_of(t, width) for t in texts], dtype="int64")
 
     return of(text.cast("binary"))

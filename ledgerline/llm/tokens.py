@@ -12,8 +12,10 @@ import re
 
 import numpy as np
 
+from ledgerline.llm.memory import memory
+
 #: Chunks and words a worker remembers.
-CHUNKS, WORDS = 120_000, 250_000
+CHUNKS, WORDS = 200_000, 400_000
 #: Runs that the pre-tokenizer takes apart in the same way: letters, single digits, other marks. Letters beyond Latin-1 and
 #: apostrophes, which start contractions, are left to the tokenizer itself.
 PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
@@ -72,14 +74,12 @@ class WordTokenizer:
         return b"".join(out)
 
 
-_LOADED: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
     """The worker's tokenizer for a vocabulary file; what it remembers lasts from task to task."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    held = memory("tokens")
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 def word_vocabulary() -> str:

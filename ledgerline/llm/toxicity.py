@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ledgerline.llm.memory import memory
+
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 #: Labelled documents of each class that the fit takes at most.
@@ -36,7 +38,7 @@ SHRINK, TELLING, RIDGE, STEPS, RATE = 6.0, 0.5, 0.02, 60, 0.1
 #: Pull of the intercept towards -1: without evidence a text counts as clean.
 LEAN = 0.05
 #: Words a worker remembers.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -131,16 +133,13 @@ def scored(model: Model, text: Column) -> Column:
     """Column of the scores of a text column, from 0 to 1."""
     intercept, weights = model.intercept, model.weights.astype(np.float32)
     sent = SparkSession.active().sparkContext.broadcast((intercept, weights))
-    remembered: dict[str, float] = {}
-    plain: list[float] = []
-
-    def word_score(word: str) -> float:
-        return sum(plain[g] for g in set(grams(word)))
+    owner = f"toxicity {crc32(weights.tobytes())}"
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        if not plain:
-            plain.extend(sent.value[1].tolist())
+        held = memory(owner)
+        plain = held.setdefault("weights", sent.value[1].tolist() if "weights" not in held else None)
+        remembered = held.setdefault("words", {})
         out = np.empty(len(texts))
         for i, text_ in enumerate(texts):
             words = sorted(words_of(text_))  # the same order of summands in every run
@@ -151,7 +150,7 @@ def scored(model: Model, text: Column) -> Column:
                     remembered.clear()
                 for w in words:
                     if w not in remembered:
-                        remembered[w] = word_score(w)
+                        remembered[w] = sum(plain[g] for g in set(grams(w)))
                 total = sum([remembered[w] for w in words])
             out[i] = sent.value[0] + total
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -700, 700))))
