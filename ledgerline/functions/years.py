@@ -71,8 +71,8 @@ def year_in_cell(year: Column, cell: Column) -> Column:
     return text.contains(full) | (text.contains(two) & ending)
 
 
-def header_years(text: Column, as_of, span: int = 800) -> Column:
-    """``struct(current, previous, current_is_left)`` of a two-column statement, from the opening of its text.
+def header_years(text: Column, as_of, span: int | None = None) -> Column:
+    """``struct(current, previous, current_is_left)`` of a two-column statement, from its text or the first ``span`` characters.
 
     The two latest years found are the columns. Their order comes from the first line that holds both,
     else from where each first stands.
@@ -99,7 +99,7 @@ def header_years(text: Column, as_of, span: int = 800) -> Column:
         found = F.transform(F.regexp_extract_all(head, F.lit(r"\b(20[12]\d)\b"), F.lit(1)), lambda s: s.cast("int"))
         return F.struct(head.alias("head"), F.sort_array(F.array_distinct(found), asc=False).alias("years"))
 
-    return once(once(F.substring(text, 1, span), years_of), judge)
+    return once(once(text if span is None else F.substring(text, 1, span), years_of), judge)
 
 
 def whole_year(start: Column, end: Column) -> Column:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.errors import PySparkException
 
 from ledgerline.functions.numbers import ratio, usable
 from ledgerline.windows import by_year
@@ -124,21 +123,18 @@ def calculate_kpis(
     """One row per company and year with every ratio of the registry.
 
     A ratio whose expression cannot be built or resolved becomes a null column; the others are not
-    affected. ``keep`` names further input columns to carry along.
+    affected. A failure while rows are computed ends the job, so entries divide by ``ratio`` or ``try_divide``. ``keep`` names further input columns to carry along.
     """
     registry = REGISTRY if registry is None else registry
     s = Statement(financials.columns)
     out = []
-    if registry is REGISTRY:
-        out = [build(s).alias(name) for name, build in registry.items()]
-    else:
-        for name, build in registry.items():
-            try:
-                column = build(s)
-                financials.select(column)
-            except (PySparkException, AttributeError, ArithmeticError, LookupError, TypeError, ValueError):
-                column = F.lit(None).cast("double")
-            out.append(column.alias(name))
+    for name, build in registry.items():
+        try:
+            column = build(s)
+            financials.select(column)
+        except Exception:  # whatever one entry does, the others go on
+            column = F.lit(None).cast("double")
+        out.append(column.alias(name))
     return financials.select("ticker", "fiscal_year", *keep, *out)
 
 

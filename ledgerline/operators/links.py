@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerline.computed import computed
 from ledgerline.functions import links as L
@@ -33,7 +33,7 @@ def best_link_on_page(links: DataFrame, year: Column, extension: str = ".pdf") -
     Reports on part of a year and links without any report word are left out. The pick is an aggregation,
     so a page with very many links is reduced before it moves.
     """
-    whole = links.filter(~L.is_partial_year(F.col("href")) & ~L.is_partial_year(F.col("text")))
+    whole = links.filter(~L.is_partial_year(F.col("href")) & ~F.coalesce(L.is_partial_year(F.col("text")), F.lit(False)))
     good = scored(whole, year, extension, fragment=False).filter(F.col("score") > 0)
     order = F.struct((F.col("tier") != 1).alias("other"), (-F.col("score")).alias("points"), "ord")
     return good.groupBy("page_id").agg(
@@ -64,20 +64,13 @@ def first_hit(hits: DataFrame, extension: str = ".pdf") -> DataFrame:
 
 
 def snippets(hits: DataFrame, n: int = 3) -> DataFrame:
-    """The first ``n`` results of each search as ``title: body``.
+    """The first ``n`` results of each search as ``title: body``; of equal ranks the smaller text comes first.
 
-    Ranks are found by ``n`` successive minima, so no search's results are sorted in one task.
+    Only the first ``n`` of a search survive in each task before they meet, so no search's results are sorted as a whole.
     """
-    rest = hits.select("query", "rank", F.concat_ws(": ", "title", "body").alias("snippet"))
-    out = None
-    for place in range(1, n + 1):
-        top = rest.groupBy("query").agg(F.min_by("snippet", "rank").alias("snippet"), F.min("rank").alias("rank"))
-        part = top.select("query", F.lit(place).alias("place"), "snippet")
-        out = part if out is None else out.unionByName(part)
-        if place < n:
-            floor = top.select("query", F.col("rank").alias("floor"))
-            rest = rest.join(floor, "query").filter(F.col("rank") > F.col("floor")).drop("floor")
-    return out
+    each = hits.select("query", "rank", F.concat_ws(": ", "title", "body").alias("snippet"))
+    place = F.row_number().over(W.partitionBy("query").orderBy("rank", "snippet"))
+    return each.withColumn("place", place).where(F.col("place") <= n).select("query", "place", "snippet")
 
 
 # --- remembered addresses ---------------------------------------------------------------------------

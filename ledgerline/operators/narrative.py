@@ -68,15 +68,16 @@ def section_pages(pages: DataFrame, words: dict[str, list[str]] | None = None) -
 
 def narrative_sections(pages: DataFrame, words: dict[str, list[str]] | None = None,
                        lengths: dict[str, int] | None = None) -> DataFrame:
-    """Text of each section, cut to the length the report has room for."""
-    lengths = lengths or fixed.NARRATIVE_LENGTHS
+    """Text of each section; with ``lengths``, cut to the room each has (see ``fixed.NARRATIVE_LENGTHS``)."""
     wanted = section_pages(pages, words).select("doc", "place", "section", F.explode("pages").alias("page"))
     texts = wanted.join(pages.select("doc", "page", "text"), ["doc", "page"])
     # A section has at most two pages.
     joined = texts.groupBy("doc", "place", "section").agg(F.concat_ws(
         "\n\n", F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"])).alias("t"))
-    limit = F.create_map(*[F.lit(x) for k, v in lengths.items() for x in (k, v)])
-    return joined.select("doc", "place", "section", F.substring(strip(F.col("t")), F.lit(1), limit[F.col("section")]).alias("text"))
+    text = strip(F.col("t"))
+    if lengths is not None:
+        text = F.substring(text, F.lit(1), F.create_map(*[F.lit(x) for k, v in lengths.items() for x in (k, v)])[F.col("section")])
+    return joined.select("doc", "place", "section", text.alias("text"))
 
 
 def narrative(pages: DataFrame, words: dict[str, list[str]] | None = None) -> DataFrame:

@@ -114,8 +114,8 @@ def staleness(companies: DataFrame, metadata: DataFrame, as_of, force: bool = Fa
     return out.select("ticker", "last_downloaded", stale.alias("needs_update"))
 
 
-def merge_run_metadata(old: DataFrame, runs: DataFrame, now) -> DataFrame:
-    """Run metadata after a batch.
+def merge_run_metadata(old: DataFrame, runs: DataFrame, now, message_length: int | None = None) -> DataFrame:
+    """Run metadata after a batch; ``message_length`` cuts stored error messages.
 
     ``runs``: ``ticker, scraped, status, fy_count, error_message, fields_missing array``. A run that did not
     fetch, or failed, keeps the time of the last fetch; messages are cut to 500 characters.
@@ -130,7 +130,7 @@ def merge_run_metadata(old: DataFrame, runs: DataFrame, now) -> DataFrame:
         stamp.alias("last_processed"),
         F.when(failed, 0).otherwise(F.col("fy_count")).cast("int").alias("fy_count"),
         "status",
-        F.substring("error_message", 1, 500).alias("error_message"),
+        (F.col("error_message") if message_length is None else F.substring("error_message", 1, message_length)).alias("error_message"),
         F.when(~failed, F.concat_ws(",", "fields_missing")).alias("fields_missing"))
     kept = old.join(runs.select("ticker"), "ticker", "left_anti")
     return stack([kept, new])

@@ -22,7 +22,6 @@ from ledgerline.operators.labels import map_labels
 
 PAGE_BLOCK = 1024
 CELL_PAGE_BLOCK = 16
-SCAN_PAGES = 20
 
 
 @dataclass
@@ -198,11 +197,10 @@ def scan_years(pages: DataFrame, as_of) -> DataFrame:
     return computed(first, {"y": header_years(F.col("text"), as_of)}, ["doc"]).select("doc", "y.*")
 
 
-def scan_rows(pages: DataFrame, as_of, max_pages: int | None = SCAN_PAGES) -> DataFrame:
+def scan_rows(pages: DataFrame, as_of, max_pages: int | None = None) -> DataFrame:
     """Label and the first two amounts of each line, told apart by the report's column order.
 
-    ``max_pages`` is part of the result's definition: later pages are ledgers whose sub-accounts would
-    replace the statement's totals.
+    ``max_pages`` leaves out what follows a page, as where the later pages are ledgers.
     """
     kept = pages if max_pages is None else pages.filter(F.col("page") <= max_pages)
     unknown = header_years(F.lit(""), as_of)
@@ -238,7 +236,7 @@ def scan_rows(pages: DataFrame, as_of, max_pages: int | None = SCAN_PAGES) -> Da
 
 
 def extract_scans(pages: DataFrame, as_of, learned: DataFrame | None = None,
-                  max_pages: int | None = SCAN_PAGES) -> Extraction:
+                  max_pages: int | None = None) -> Extraction:
     """Fields from recognised scans: the largest amount per field, for both years."""
     kept = pages if max_pages is None else pages.filter(F.col("page") <= max_pages)
     rows = map_labels(scan_rows(pages, as_of, max_pages), learned=learned)

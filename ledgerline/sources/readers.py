@@ -12,6 +12,7 @@ from ledgerline import fixed, schema
 from ledgerline.functions.text import is_pdf
 
 _ENTRY = "struct<form:string,fp:string,fy:int,start:string,`end`:string,filed:string,val:double>"
+FACT_ROWS = "ticker string, tag string, unit string, pos int, form string, fp string, fy int, start date, `end` date, filed date, val double"
 FACTS_JSON = f"entityName string, facts map<string, map<string, struct<units: map<string, array<{_ENTRY}>>>>>"
 
 
@@ -30,7 +31,12 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     Tags and units are data, so they are read as map keys and never become columns. A file is one record:
     the number of files, not of entries in one, sets the parallelism.
     """
-    raw = spark.read.schema(FACTS_JSON).option("multiLine", True).json(f"{path.rstrip('/')}/*/facts.json")
+    try:
+        raw = spark.read.schema(FACTS_JSON).option("multiLine", True).json(f"{path.rstrip('/')}/*/facts.json")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FACT_ROWS)
     ticker = F.upper(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
     tags = raw.select(ticker.alias("ticker"), F.explode(F.col("facts")["us-gaap"]).alias("tag", "t"))
     units = tags.select("ticker", "tag", F.explode("t.units").alias("unit", "entries"))
@@ -46,14 +52,14 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_companies(spark: SparkSession, path: str) -> DataFrame:
     """Tickers that have a facts file, whether or not it can be used."""
-    files = spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/facts.json").select("path")
+    files = _read(spark, lambda: spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/facts.json").select("path"), T.StructType().add("path", "string"))
     return files.select(F.upper(F.element_at(F.split("path", "/"), -2)).alias("ticker"))
 
 
 def read_ticker_ids(spark: SparkSession, path: str) -> DataFrame:
     """``(ticker, cik)`` from a JSON map of ``{"0": {"cik_str": .., "ticker": ..}, ..}``."""
     entry = "struct<cik_str:bigint,ticker:string,title:string>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = _read(spark, lambda: spark.read.option("wholetext", True).text(path), T.StructType().add("value", "string"))
     rows = text.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("k", "v"))
     return rows.select(F.upper("v.ticker").alias("ticker"), F.lpad(F.col("v.cik_str").cast("string"), 10, "0").alias("cik"))
 

@@ -10,9 +10,9 @@ from ledgerline.operators.fx import currency_of, is_approximated
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace exactly the partitions present in ``df``. Write all companies of a country that is touched.
 
-    Never write to a path the same plan reads: write to a new path, or read a checkpointed copy.
+    Rows of a partition meet in files of even size, however many it has. Never write to a path the same plan reads.
     """
-    (df.repartition(*by, F.pmod(F.hash("ticker"), F.lit(64))) if "ticker" in df.columns else df).write.mode(
+    df.hint("rebalance", *by).write.mode(
         "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 

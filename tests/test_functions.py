@@ -128,10 +128,12 @@ def test_years(value):
 @pytest.mark.parametrize("text,expected", [
     ("DEL 2024\nDIC 2023 DIC 2024", (2024, 2023, False)), ("2024 Y 2023", (2024, 2023, True)),
     ("solo 2022", (2022, 2021, False)), ("nada", (2025, 2024, False)), ("2023\n2024", (2024, 2023, False)),
-    ("x" * 900 + "2024 2023", (2025, 2024, False)),
+    ("x" * 900 + " 2024 2023", (2024, 2023, True)),
 ])
 def test_header_years(value, text, expected):
     assert tuple(value(header_years(X, "2026-02-02"), x=text)) == expected
+    short = expected if len(text) < 800 else (2025, 2024, False)
+    assert tuple(value(header_years(X, "2026-02-02", span=800), x=text)) == short
 
 
 def test_links(value):

@@ -210,3 +210,12 @@ def test_scenarios(spark):
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([("A", 2024, float("nan"))], "ticker string, fiscal_year int, revenue double")
     assert conform_financials(df).first()["revenue"] is None
+
+
+def test_a_failing_entry_of_the_registry_itself(spark, monkeypatch):
+    def fails(s):
+        raise ZeroDivisionError
+
+    monkeypatch.setitem(kpis.REGISTRY, "fails", fails)
+    out = kpis.calculate_kpis(fin(spark, [{"fiscal_year": 2024, "revenue": 10.0, "net_income": 2.0}])).first()
+    assert out["fails"] is None and sum(v is not None for v in out.asDict().values()) > 2

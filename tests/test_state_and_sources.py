@@ -117,7 +117,9 @@ def test_run_metadata(spark):
                     "CAST(NULL AS STRING) error_message, '' fields_missing UNION ALL SELECT 'k', timestamp_ntz'2025-02-01', NULL, 1, 'success', NULL, NULL")
     runs = spark.createDataFrame([("a", False, "success", 4, None, ["x", "y"]), ("b", False, "success", 1, None, []), ("c", True, "error", 9, "e" * 900, None)],
                                  "ticker string, scraped boolean, status string, fy_count int, error_message string, fields_missing array<string>")
-    got = {r["ticker"]: r for r in state.merge_run_metadata(old, runs, "2026-03-01").collect()}
+    got = {r["ticker"]: r for r in state.merge_run_metadata(old, runs, "2026-03-01", message_length=500).collect()}
+    whole = {r["ticker"]: r["error_message"] for r in state.merge_run_metadata(old, runs, "2026-03-01").collect()}
+    assert whole["c"] == "e" * 900
     assert got["a"]["last_downloaded"].year == 2025 and got["a"]["fields_missing"] == "x,y" and got["b"]["last_downloaded"].year == 2026
     assert got["c"]["last_downloaded"] is None and len(got["c"]["error_message"]) == 500 and got["c"]["fy_count"] == 0 and got["k"]["fy_count"] == 1
     companies = spark.createDataFrame([("a",), ("k",), ("z",)], "ticker string")

@@ -88,21 +88,13 @@ def duck(sql: str) -> str:
     return sql.format(**{t: t for t in TABLES})
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A supplied table.
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table as it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    ``spread`` is for text-heavy work on a file too small to be split for all cores: only then are its rows
-    dealt out. A table with at least as many splits as cores is read as it is.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
 
-
-def spark_sql(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> DataFrame:
-    used = {t: load(spark, sf_dir, t, spread) for t in TABLES if "{" + t + "}" in sql}
+def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    used = {t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
     text = sql.replace('"end"', "`end`")
     return spark.sql(text, **used)
 

@@ -14,7 +14,7 @@ from workload.registry import query
   unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a\\s*>', 2)) AS text FROM pages)
 SELECT page_id, trim(href) AS href, trim(regexp_replace(text, '<[^>]*>', '', 'g')) AS text, count(*) AS n FROM a GROUP BY 1, 2, 3""")
 def page_links(spark, sf_dir):
-    return ops.anchors(load(spark, sf_dir, "pages", spread=True)).groupBy("page_id", "href", "text").agg(F.count(F.lit(1)).alias("n"))
+    return ops.anchors(load(spark, sf_dir, "pages")).groupBy("page_id", "href", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
 # One report link per order on the customer's site; names, texts and years from the order.
@@ -40,7 +40,7 @@ s AS (SELECT l.*, o_orderpriority AS pr, o_orderstatus AS st, year(o_orderdate)
    CASE pr WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS tier FROM s WHERE pr <> '4-NOT SPECIFIED' AND points > 0)
 SELECT page_id, href, score, tier FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY tier <> 1, score DESC, ord) = 1""")
 def best_page_link(spark, sf_dir):
-    return ops.best_link_on_page(spark_sql(spark, sf_dir, LINKS, spread=True), F.lit(2016))
+    return ops.best_link_on_page(spark_sql(spark, sf_dir, LINKS), F.lit(2016))
 
 
 @query(f"""WITH {SCORED}, g AS (SELECT *, CASE WHEN pr = '3-MEDIUM' THEN CASE WHEN y - 1 >= 2015 THEN y - 1 ELSE y END ELSE y END AS yr FROM s WHERE pr <> '4-NOT SPECIFIED'),
@@ -48,7 +48,7 @@ h AS (SELECT *, points + CASE WHEN points > 0 THEN 3 ELSE 0 END AS score FROM g
 SELECT page_id, CAST(yr AS INT) AS year, CASE WHEN href LIKE 'http%' THEN href ELSE 'https://www.site' || page_id || '.com' || href END AS link, score
 FROM h QUALIFY row_number() OVER (PARTITION BY page_id, yr ORDER BY score DESC, ord) = 1""")
 def best_yearly_link(spark, sf_dir):
-    return ops.best_link_per_year(spark_sql(spark, sf_dir, LINKS, spread=True), "2024-06-30").select("page_id", "year", "link", "score")
+    return ops.best_link_per_year(spark_sql(spark, sf_dir, LINKS), "2024-06-30").select("page_id", "year", "link", "score")
 
 
 @query(f"""WITH {SCORED} SELECT ord, (CASE WHEN pr IN ('1-URGENT', '2-HIGH', '5-LOW', '3-MEDIUM') THEN 1 ELSE 0 END + CASE WHEN pr IN ('2-HIGH', '3-MEDIUM') OR pr = '1-URGENT' THEN 2 ELSE 0 END
@@ -56,7 +56,7 @@ def best_yearly_link(spark, sf_dir):
   + CASE WHEN pr <> '5-LOW' THEN 5 ELSE 0 END
   + CASE WHEN st = 'F' THEN 1 ELSE 0 END) / 10e0 AS relevance FROM s WHERE pr <> '4-NOT SPECIFIED'""")
 def link_relevance(spark, sf_dir):
-    links = spark_sql(spark, sf_dir, LINKS, spread=True).filter(~F.col("href").contains("trimestral"))
+    links = spark_sql(spark, sf_dir, LINKS).filter(~F.col("href").contains("trimestral"))
     full = L.absolute(F.col("href"), L.origin_of(F.col("url")))
     domain = F.concat(F.lit("https://site"), "page_id", F.lit(".com/"))
     size = F.when(F.col("text") == "Balance General", 250000).otherwise(F.lit(None))
@@ -67,7 +67,7 @@ def link_relevance(spark, sf_dir):
   WHEN '3-MEDIUM' THEN 'ReporteFinanciero' || (y - 1) || '.PDF' WHEN '4-NOT SPECIFIED' THEN 'trimestral-' || y || '.pdf_p.pdf' ELSE 'archivo' || y || '.pdf' END AS file_name,
   replace(href, CAST(y AS STRING), '*') AS pattern, pr = '4-NOT SPECIFIED' AS partial, CASE pr WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END AS tier FROM s""")
 def link_names(spark, sf_dir):
-    links = spark_sql(spark, sf_dir, LINKS, spread=True).join(
+    links = spark_sql(spark, sf_dir, LINKS).join(
         load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), (F.year("o_orderdate") + 18).alias("y")), "ord")
     href = F.col("href")
     return links.select("ord", L.safe_file_name(href).alias("file_name"), L.url_pattern(href, F.col("y")).alias("pattern"),
@@ -128,12 +128,12 @@ k AS (SELECT doc, 'intro' AS section, intro AS rns FROM p UNION ALL SELECT doc,
   UNION ALL SELECT doc, 'portfolio', portfolio FROM p WHERE portfolio IS NOT NULL AND portfolio <> intro AND portfolio <> conclusions)
 SELECT k.doc, k.section, string_agg(CAST(c.page AS STRING), ',' ORDER BY c.page) AS pages FROM k JOIN c ON c.doc = k.doc AND list_contains(rns, rn) GROUP BY 1, 2""")
 def narrative_pages(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents", spread=True).select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    docs = load(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
     found = narrative.section_pages(docs, WORDS)
     return found.select("doc", "section", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
 @query()
 def narratives(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents", spread=True).select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    docs = load(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
     return narrative.narrative(docs, WORDS)

@@ -104,7 +104,7 @@ UNION ALL SELECT ticker, last_downloaded, fy_count, status, NULL, fields_missing
 def run_metadata(spark, sf_dir):
     runs = spark_sql(spark, sf_dir, RUNS.replace("{repeat}", "repeat")).withColumn(
         "fields_missing", F.array("segment", F.lit("x")))
-    merged = state.merge_run_metadata(spark_sql(spark, sf_dir, RUN_RECORDS), runs, NOW)
+    merged = state.merge_run_metadata(spark_sql(spark, sf_dir, RUN_RECORDS), runs, NOW, message_length=500)
     return merged.select("ticker", "last_downloaded", "fy_count", "status",
                          F.length("error_message").cast("bigint").alias("message_length"), "fields_missing")
 
