@@ -64,7 +64,9 @@ def map_labels(
         learned.filter(F.col("canonical") != fixed.REJECTED)
         .groupBy(F.lower(strip(F.col("label"))).alias("_approved")).agg(F.max_by("canonical", "date").alias("_learned"))
     )
-    raw = F.when(known.isNull(), F.lower(strip(F.col(label))))
+    # Rows that need no look-up get keys that match nothing and differ, so that they do not meet on null.
+    nothing = F.concat(F.lit("\0"), F.xxhash64(*[c for c, kind in staged.dtypes if "map<" not in kind]).cast("string"))
+    raw = F.coalesce(F.when(known.isNull(), F.lower(strip(F.col(label)))), nothing)
     return (
         staged.join(approved, raw == F.col("_approved"), "left")
         .withColumn("canonical", F.coalesce(known, F.col("_learned")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import links as L
+from ledgerline import fixed
 from ledgerline.operators import links as ops, narrative
 from workload.inputs import duck, load, spark_sql
 from workload.registry import query
@@ -118,14 +119,17 @@ def _pages_of(name: str, fallback: str | None) -> str:
     return f"CASE WHEN {first} IS NOT NULL THEN [{first}, least({first} + 1, max(rn))]" + (f" ELSE {fallback}" if fallback else "") + f" END AS {name}"
 
 
-@query(f"""WITH c AS (SELECT source AS doc, doc_id AS page, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
+SECTIONS = f"""c AS (SELECT source AS doc, doc_id AS page, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
   {_hit("intro", False)} AS intro, {_hit("conclusions", False)} AS conclusions, {_hit("objections", True)} AS objections, {_hit("portfolio", True)} AS portfolio
   FROM documents WHERE trim(text) <> '' AND NOT (length(text) - length(replace(text, '.', ''))) / length(text) > 0.12),
 p AS (SELECT doc, {_pages_of("intro", "[1, least(2, max(rn))]")}, {_pages_of("conclusions", "[greatest(max(rn) - 1, 1), max(rn)]")},
   {_pages_of("objections", None)}, {_pages_of("portfolio", None)} FROM c GROUP BY 1),
-k AS (SELECT doc, 'intro' AS section, intro AS rns FROM p UNION ALL SELECT doc, 'conclusions', conclusions FROM p WHERE conclusions <> intro
-  UNION ALL SELECT doc, 'objections', objections FROM p WHERE objections IS NOT NULL
-  UNION ALL SELECT doc, 'portfolio', portfolio FROM p WHERE portfolio IS NOT NULL AND portfolio <> intro AND portfolio <> conclusions)
+k AS (SELECT doc, 0 AS place, 'intro' AS section, intro AS rns FROM p UNION ALL SELECT doc, 1, 'conclusions', conclusions FROM p WHERE conclusions <> intro
+  UNION ALL SELECT doc, 2, 'objections', objections FROM p WHERE objections IS NOT NULL
+  UNION ALL SELECT doc, 3, 'portfolio', portfolio FROM p WHERE portfolio IS NOT NULL AND portfolio <> intro AND portfolio <> conclusions)"""
+
+
+@query(f"""WITH {SECTIONS}
 SELECT k.doc, k.section, string_agg(CAST(c.page AS STRING), ',' ORDER BY c.page) AS pages FROM k JOIN c ON c.doc = k.doc AND list_contains(rns, rn) GROUP BY 1, 2""")
 def narrative_pages(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
@@ -133,7 +137,12 @@ def narrative_pages(spark, sf_dir):
     return found.select("doc", "section", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
-@query()
+TITLES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.NARRATIVE_TITLES.items())
+
+
+@query(f"""WITH {SECTIONS}, t AS (SELECT k.doc, place, section, trim(string_agg(text, chr(10) || chr(10) ORDER BY page), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM k JOIN c ON c.doc = k.doc AND list_contains(rns, rn) GROUP BY 1, 2, 3)
+SELECT doc, string_agg((CASE section {TITLES} END) || chr(10) || body, chr(10) || chr(10) ORDER BY place) AS narrative FROM t GROUP BY 1""")
 def narratives(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
     return narrative.narrative(docs, WORDS)
