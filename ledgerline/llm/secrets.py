@@ -33,14 +33,34 @@ KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
 KEY_HEAD = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
 ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|credential)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,})")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+#: Names before a run's value; a value is not shorter than one of ``ASSIGNED``.
+NAMES = re.compile(r"(?:[A-Za-z_][A-Za-z0-9_-]*+=)+(?=[^=])")
+LEAST_RUN, LEAST_VALUE = 20, 6
 FOR = ("password", "passwd", "pwd", "token", "secret", "key", "credential", "auth", "bearer", "private")
 AGAINST = ("commit", "sha", "hash", "md5", "checksum", "digest", "uuid", "example", "sample", "test", "dummy", "version", "revision", "id")
 FEATURES = ("length", "digits", "upper", "lower", "marks", "distinct", "entropy", "changes", "transition", "unlikely", "coverage", "longest_word",
             "path_depth", "path_test", "path_code", "before_for", "before_against", "before_sign", "after_against", "quoted")
 
 
+def mixed(value: str) -> bool:
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def apart(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of candidates that overlap, the first and there the longest."""
+    out: list[tuple[str, int, int]] = []
+    for rule, start, end in sorted(found, key=lambda f: (f[1], -f[2], f[0])):
+        if not out or start >= out[-1][2]:
+            out.append((rule, start, end))
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """(rule, start, end) from left to right; of candidates that overlap, the first and there the longest."""
+    """(rule, start, end) from left to right, of which none overlap.
+
+    Key ids, key heads and assigned values go before runs, of which only what lies outside of them is left; a run that opens
+    with ``name=`` starts at its value.
+    """
     found = []
     if "AKIA" in text or "ASIA" in text:
         found += [("key_id", *m.span()) for m in KEY_ID.finditer(text)]
@@ -48,12 +68,22 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         found += [("key_head", *m.span()) for m in KEY_HEAD.finditer(text)]
     if "=" in text or ":" in text:
         found += [("assigned", *m.span(1)) for m in ASSIGNED.finditer(text)]
-    found += [("run", *m.span()) for m in RUN.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
-    out: list[tuple[str, int, int]] = []
-    for rule, start, end in sorted(found, key=lambda f: (f[1], -f[2], f[0])):
-        if not out or start >= out[-1][2]:
-            out.append((rule, start, end))
-    return out
+    out = apart(found)
+    runs, at = [], 0
+    for m in RUN.finditer(text):
+        while at < len(out) and out[at][2] <= m.start():
+            at += 1
+        start, n = m.start(), at
+        while start < m.end():
+            taken = n < len(out) and out[n][1] < m.end()
+            end = max(start, out[n][1]) if taken else m.end()
+            piece = text[start:end]
+            if mixed(piece) and len(piece) >= LEAST_RUN:
+                names = NAMES.match(piece)
+                value = start + (names.end() if names else 0)
+                runs.append(("run", value if end - value >= LEAST_VALUE and mixed(text[value:end]) else start, end))
+            start, n = (out[n][2], n + 1) if taken else (m.end(), n)
+    return apart(out + runs)
 
 
 def kind(c: str) -> str:
