@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DICTIONARY = 20_000
 TREES, DEPTH, SEED = 40, 6, 11
+#: Candidates longer than the first are described by one stretch, as long as the second; stretches overlap by half.
+LONG, STRETCH = 256, 64
 
 # Forms of candidates, and words that speak for or against one.
 KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
@@ -119,13 +122,25 @@ class Language:
         return covered / max(1, len(low)), most
 
 
+def telling(own: str, language: Language) -> str:
+    """The stretch of a long candidate that looks least like words and rulers: of even spread, changing kinds, uncovered."""
+    def tells(part: str) -> float:
+        kinds = [kind(c) for c in part]
+        spread = -sum(n / len(part) * math.log2(n / len(part)) for n in Counter(part).values()) / math.log2(len(part))
+        return spread + sum(a != b for a, b in zip(kinds, kinds[1:])) / len(part) - language.coverage(part)[0]
+
+    starts = [*range(0, len(own) - STRETCH, STRETCH // 2), len(own) - STRETCH]
+    return max((own[at:at + STRETCH] for at in starts), key=tells)
+
+
 def describe(text: str, start: int, end: int, path: str | None, language: Language) -> list[float]:
-    """The values of ``FEATURES`` for one candidate. Characters beyond the first 256 of a candidate repeat what these say."""
+    """The values of ``FEATURES`` for one candidate. Of one above ``LONG`` characters, the length, the words around it and
+    its quote are of the whole, the rest is of the most telling stretch of it, wherever that lies."""
     own = text[start:end]
-    seen = own[:256]
+    seen = own if len(own) <= LONG else telling(own, language)
     n = len(seen)
     kinds = [kind(c) for c in seen]
-    counts = [seen.count(c) / n for c in set(seen)]
+    counts = [c / n for c in Counter(seen).values()]
     steps = language.steps(seen) or [0.0]
     coverage, longest = language.coverage(seen)
     before = re.findall(r"[A-Za-z]+", text[max(0, start - 40):start].lower())[-2:]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import mixing, personal_data, quality, secrets, toxicity
 
+FEATURE = secrets.FEATURES.index
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, doc string, kept int, score double, _kept int, label int"
 MORE = (None,) * 7
 ROWS = [
@@ -140,6 +141,18 @@ def test_secrets_start_at_their_values(spark):
     assert sum(said.get((i, start), False) == bool(secret) for i, (_, start, _, _, secret) in enumerate(held)) >= 0.9 * len(held)
 
 
+def test_secrets_late_in_long_candidates():
+    words = ["river", "stone", "cloud", "road", "tree"]
+    language = secrets.Language({w: 100 for w in words})
+    rng = random.Random(9)
+    late = "".join(rng.choice("0123456789abcdef") for _ in range(64))
+    for opening in ("=" * 400, "/".join(words * 20), "-_" * 300):
+        for own in (opening + "/" + late, opening + "/" + late + "/" + opening):
+            got = dict(zip(secrets.FEATURES, secrets.describe(own, 0, len(own), None, language)))
+            assert got["length"] == len(own) and got["digits"] > 0.3 and got["entropy"] > 3 and got["coverage"] < 0.3
+    assert secrets.describe("=" * 300, 0, 300, None, language)[FEATURE("entropy")] == 0
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(5)
     plain = lambda: " ".join(rng.choice(["tree", "river", "stones", "clouds", "roads", "walking"]) for _ in range(30))
