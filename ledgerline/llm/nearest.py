@@ -7,7 +7,8 @@ a probed list for one block of queries. The scan goes over column blocks: after
 distance so far, scaled to all columns, with the distance of the query's k-th best, and abandons the candidate when it is
 too large to come back. What survives all columns gets its inner product from the original vectors in double precision.
 
-A query's k-th best is first taken from the sample, of which all are candidates, and falls while blocks are scanned.
+A query's k-th best is first taken from the sample, of which all are candidates, and falls while blocks are scanned. Rows
+that repeat id and vector are filed once, the sample has one vector of an id, and every bound and cut counts ids.
 ``SHARE`` of the lists are probed, the nearest first (more if they hold few vectors): without clusters, as in vectors spread
 evenly over a sphere, neighbours lie in most lists, and fewer would not reach a recall of 0.9.
 
@@ -78,13 +79,15 @@ def nearest_centres(points: np.ndarray, centres: np.ndarray, number: int) -> np.
 
 
 def fit(rows: DataFrame, lists: int = LISTS, sample: int = SAMPLE, seed: int = SEED) -> Index | None:
-    """The index's rotation and centres from at most ``sample`` vectors, those with the smallest hash of their id."""
+    """The index's rotation and centres from one vector of at most ``sample`` ids, those with the smallest hash."""
     length = rows.groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("most"))
     frequent = length.orderBy(F.desc("rows"), "n").first()
     if frequent is None:
         return None
     n, largest = frequent["n"], float(np.sqrt(frequent["most"]))
-    chosen = rows.where(F.size("vector") == n).orderBy(F.xxhash64(F.lit(seed), "id"), "id", "vector").limit(sample).collect()
+    own = rows.where(F.size("vector") == n)
+    ids = own.select("id").distinct().orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
+    chosen = own.join(ids, "id", "left_semi").groupBy("id").agg(F.min("vector").alias("vector")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").collect()
     rng = np.random.default_rng(seed)
     rotation, _ = np.linalg.qr(rng.standard_normal((n + 1, n + 1)))
     points = rotated(np.array([r["vector"] for r in chosen]), rotation, largest)
@@ -119,7 +122,7 @@ def ask(rows: DataFrame, index: Index, sizes: dict[int, int], k: int, share: flo
             away[ids[:, None] == index.sample_ids] = np.inf
             bound = np.partition(away, k - 1, axis=1)[:, k - 1] if away.shape[1] >= k else np.full(len(ids), np.inf)
             order = nearest_centres(turned, index.centres, len(index.centres))
-            seen = np.cumsum(filled[order], axis=1) - filled[order]  # vectors in the lists before
+            seen = np.cumsum(filled[order], axis=1) - filled[order]  # ids in the lists before
             go = (np.arange(order.shape[1]) < share * order.shape[1]) | (seen < 8 * (k + 1))
             at, which = np.nonzero(go & (filled[order] > 0))
             yield pd.DataFrame({"query": ids[at], "probed": order[at, which].astype(np.int32), "bound": bound[at].astype(float) * (1 + 1e-4) + 1e-6,
@@ -182,7 +185,7 @@ def _scan(k: int, columns: int, sure: float):
                 own = ids[p] != names[q]
                 q, p, away = q[own], p[own], away[own]
                 found = pd.DataFrame({"q": q, "query": names[q], "id": ids[p], "score": np.einsum("ij,ij->i", queries[q], points[p]), "away": away})
-                found = found.sort_values(["q", "score", "id"], ascending=[True, False, True])
+                found = found.sort_values(["q", "score", "id"], ascending=[True, False, True]).drop_duplicates(["q", "id"])
                 found["n"] = found.groupby("q").cumcount()
                 full = found[found["n"] == k - 1]
                 # A slightly larger distance than measured, so that ties and rounding abandon nothing.
@@ -190,16 +193,16 @@ def _scan(k: int, columns: int, sure: float):
                 out.append(found[found["n"] < k])
         if not out:
             return pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        every = pd.concat(out).sort_values(["q", "score", "id"], ascending=[True, False, True])
+        every = pd.concat(out).sort_values(["q", "score", "id"], ascending=[True, False, True]).drop_duplicates(["q", "id"])
         return every.groupby("q").head(k)[["query", "id", "score"]]
 
     return run
 
 
-def dealt(df: DataFrame, key: str, value: str, sizes: dict[int, int], most: int, name: str) -> DataFrame:
+def dealt(df: DataFrame, key: str, value: list[str], sizes: dict[int, int], most: int, name: str) -> DataFrame:
     """``df`` with a block number by the hash of ``value``, so that a block of a ``key`` holds about ``most`` rows."""
     ways = F.coalesce(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, max(1, -(-n // most)))])[F.col(key)], F.lit(1)) if sizes else F.lit(1)
-    return df.withColumn(name, F.pmod(F.xxhash64(value), ways).cast("int"))
+    return df.withColumn(name, F.pmod(F.xxhash64(*value), ways).cast("int"))
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, lists: int = LISTS,
@@ -212,17 +215,18 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     index = fit(rows, lists, sample)
     if index is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
-    filed = stored(file_vectors(rows, index))
-    sizes = {r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}  # one row a list
+    filed = stored(file_vectors(rows.distinct(), index))
+    held = filed.groupBy("list", "id").count().groupBy("list").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("ids")).collect()  # one row a list
+    sizes = {r["list"]: r["rows"] for r in held}
     wanted = rows.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = stored(ask(wanted, index, sizes, k, share))
+    asked = stored(ask(wanted, index, {r["list"]: r["ids"] for r in held}, k, share))
     askers = {r["probed"]: r["count"] for r in asked.groupBy("probed").count().collect()}
     blocks = {k_: max(1, -(-n // BLOCK)) for k_, n in sizes.items()}
     # Each block of a list meets each block of the queries that probe it.
     count = lambda numbers: F.create_map(*[F.lit(x) for k_, n in numbers.items() for x in (k_, n)])
-    points = dealt(filed, "list", "id", sizes, BLOCK, "block").withColumn(
+    points = dealt(filed, "list", ["id", "vector"], sizes, BLOCK, "block").withColumn(
         "asked_block", F.explode(F.sequence(F.lit(0), F.coalesce(count({k_: max(1, -(-n // QUERIES)) for k_, n in askers.items()})[F.col("list")], F.lit(1)) - 1)))
-    asks = dealt(asked, "probed", "query", askers, QUERIES, "asked_block").withColumn(
+    asks = dealt(asked, "probed", ["query"], askers, QUERIES, "asked_block").withColumn(
         "block", F.explode(F.sequence(F.lit(0), count(blocks)[F.col("probed")] - 1))).withColumnRenamed("probed", "list")
     keys = ["list", "block", "asked_block"]
     found = points.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(_scan(k, COLUMNS, SURE), "query long, id long, score double")

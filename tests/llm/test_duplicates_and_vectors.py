@@ -157,6 +157,28 @@ def test_nearest_recall_and_scores(spark):
     assert got.query_id.nunique() == 75 and hits >= 0.9 * 75 * 20
 
 
+def test_nearest_of_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    n, copies = 240, 30
+    vectors = rng.standard_normal((n, 12))
+    # A hot id near everything: half of all rows, each with its own vector; every other row comes many times.
+    hot = 2.0 * vectors[rng.integers(0, n, n * copies)] + 0.01 * rng.standard_normal((n * copies, 12))
+    rows = [(i, v) for i, v in enumerate(vectors.tolist())] * copies + [(1001, v) for v in hot.tolist()]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.search(frame, F.col("id") % 20 == 0, share=1.0).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        own = own.sort_values("rank")
+        score = np.r_[vectors @ vectors[q], (hot @ vectors[q]).max()]
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(n + 1), -score))[:20]
+        assert list(own["rank"]) == list(range(1, 21)) and own["id"].is_unique
+        assert np.allclose(own["score"], score[own["id"].replace(1001, n)])
+        hits += len(set(best) & set(own["id"].replace(1001, n)))
+    assert got.query_id.nunique() == n // 20 and hits >= 0.95 * 20 * n // 20
+    assert len(set(nearest.fit(nearest.usable(frame, "vec_id", "embedding"), sample=100).sample_ids)) == 100
+
+
 def test_nearest_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0], 9), (20, [0.0, 1.0], 9), (None, [1.0, 1.0], 9), (1, None, 9), (2, [0.0, 0.0], 9), (3, [math.nan, 1.0], 9), (4, [1.0], 9),
             (5, [2.0, 0.0], 9), (6, [2.0, 0.0], 9), (6, [2.0, 0.0], 9), (7, [None, 1.0], 9), (8, [math.inf, 1.0], 9)]
