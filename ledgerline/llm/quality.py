@@ -5,9 +5,8 @@ over trusted documents the target. A bucket's ratio is the log of its trusted co
 both raised by ``SHRINK``, so a bucket seen rarely says little. A document's score is the mean ratio of its n-grams, and it
 is kept if no base rule fails and the score is ``THRESHOLD`` or more. Everything is a DataFrame operation.
 
-The raw counts cover every document. The target takes at most ``TRUSTED`` trusted documents, those with the smallest hash of
-their id, so that their ids can be broadcast; the ratios, one a bucket, reach the tasks as one array that a document's
-n-grams look up in place. Only counts of buckets cross the network.
+The raw counts cover every document, the target every trusted one; the ratios, one a bucket, reach the tasks as one array that a document's
+n-grams look up in place. Of the texts, only counts of buckets cross the network, unless trusted ids are too many to broadcast.
 
 Edge cases: null and empty texts have no words and fail the base rules. Documents without n-grams score zero. Without trusted
 documents all ratios are zero. Rows are scored one by one, so repeated rows and null ids keep their places. Labels that
@@ -22,8 +21,8 @@ from ledgerline.computed import computed
 from ledgerline.llm.durable import stored
 
 BUCKETS = 1 << 18
-#: Trusted documents at most, counts added to both sides of a ratio, and the least mean ratio that is kept.
-TRUSTED, SHRINK, THRESHOLD = 20_000, 10.0, -0.11
+#: Counts added to both sides of a ratio, and the least mean ratio that is kept.
+SHRINK, THRESHOLD = 10.0, -0.11
 #: Fixed values of the base rules.
 WORD, SYMBOL, WINDOW = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]", 5
 LEAST_WORDS, REPEATED_PERCENT = 10, 20
@@ -69,12 +68,15 @@ def base_counts(words: DataFrame) -> DataFrame:
 
 
 def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-           trusted: int = TRUSTED, shrink: float = SHRINK) -> DataFrame:
+           shrink: float = SHRINK) -> DataFrame:
     """``bucket`` and ``ratio`` of every bucket that occurs."""
     good = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
-            .groupBy("id").agg(F.min("label").alias("label")).where("label = 1").orderBy(F.xxhash64("id"), "id").limit(trusted).select("id", F.lit(1).alias("good")))
-    hashed = with_words(docs, id_col, text_col).select("id", "hashes").join(F.broadcast(good), "id", "left")
-    each = hashed.select("good", F.explode(ngrams(F.col("hashes"))).alias("bucket"))
+            .groupBy("id").agg(F.min("label").alias("label")).where("label = 1").select("id", F.lit(1).alias("good")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Null ids would all meet in one task of a join; they are never trusted.
+    marked = rows.where("id is not null").join(good, "id", "left").unionAll(rows.where("id is null").withColumn("good", F.lit(None).cast("int")))
+    hashed = with_words(marked.select(F.struct("id", "good").alias("marked"), "text"), "marked", "text")
+    each = hashed.select("id.good", F.explode(ngrams(F.col("hashes"))).alias("bucket"))
     counts = stored(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")))
     whole = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     share = (whole["target"] or 0) / (whole["raw"] or 1)
@@ -82,10 +84,10 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-           threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+           threshold: float = THRESHOLD) -> DataFrame:
     """``id``, the base counts, ``base_failed``, ``score`` and ``kept`` of every document."""
     # Whole numbers, so that a score does not depend on the order of its summands; one a bucket, in their order.
-    known = ratios(docs, labels, id_col, text_col, label_col, trusted).select("bucket", F.round(F.col("ratio") * 1e9).cast("long").alias("ratio"))
+    known = ratios(docs, labels, id_col, text_col, label_col).select("bucket", F.round(F.col("ratio") * 1e9).cast("long").alias("ratio"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     model = every.join(known, "bucket", "left").agg(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0)).alias("ratio")))).alias("model"))
     model = model.select(F.col("model")["ratio"].alias("model"))

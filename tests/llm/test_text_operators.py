@@ -61,6 +61,13 @@ def test_quality_prefers_what_resembles_the_trusted(spark):
     assert min(score[i] for i in range(60)) > max(score[i] for i in range(60, 80))
 
 
+def test_quality_counts_every_trusted_document(spark):
+    frame = spark.range(20_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.pmod(F.xxhash64("id"), F.lit(50))).alias("text"))
+    labels = frame.select("doc_id", F.lit(1).alias("quality"))
+    # All are trusted, so trusted and raw text are the same.
+    assert {round(r.ratio, 9) for r in quality.ratios(frame, labels).collect()} == {0.0}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
