@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import best_fit, line_dedup, mixing, nearest, personal_data, quality, secrets, simhash_dedup, token_matrix, tokens, toxicity
+from ledgerline.llm import (best_fit, chat, fill_in_middle, hard_negatives, line_dedup, mixing, nearest, personal_data, quality, secrets, simhash_dedup,
+                            token_matrix, tokens, toxicity)
+from ledgerline.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
@@ -90,3 +91,30 @@ def op10_mixing(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
         F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+
+
+@query
+def op11_fill_in_middle(spark, sf_dir):
+    """Cuts, form and digests of the rearranged and of the restored text of every document."""
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")).drop("output").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_chat(spark, sf_dir):
+    """Every conversation formatted, and what its output says of turns and learned texts."""
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                F.lit("</s>[INST] ok [/INST]").alias("text"))
+    every = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    read = chat.conversations(chat.chain(every)).select("conv", "formatted", chat.turns_of(F.col("formatted")).alias("turns"),
+                                                        chat.learned_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    """For every anchor (an id divisible by 100) and each of its positives, the hardest negatives in the positive's window."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
