@@ -57,7 +57,8 @@ def parse_number(text: Column) -> Column:
                     lambda plain: F.when(plain.rlike(NUMBER_SHAPE), plain.try_cast("double")))
         return F.when(signed.startswith("(") & signed.endswith(")"), -size).otherwise(size)
 
-    return once(bare, value)
+    # Most texts hold no digit and need no closer look.
+    return F.when(text.rlike("[0-9]"), once(bare, value))
 
 
 def strip_footnote(cell: Column) -> Column:

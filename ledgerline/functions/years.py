@@ -67,8 +67,8 @@ def year_in_cell(year: Column, cell: Column) -> Column:
     full = year.cast("string")
     two = F.substring(full, 3, 4)
     text = F.coalesce(cell, F.lit(""))
-    ending = F.regexp_like(text, F.concat(F.lit(r"[-\s]"), two, F.lit(r"\b")))
-    return text.contains(full) | (text.contains(two) & ending)
+    endings = F.regexp_extract_all(text, F.lit(r"[-\s](\d\d)\b"), F.lit(1))
+    return text.contains(full) | (text.contains(two) & F.array_contains(endings, two))
 
 
 def header_years(text: Column, as_of, span: int | None = None) -> Column:

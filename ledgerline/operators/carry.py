@@ -1,9 +1,10 @@
 """Carry the last known value forward in a long ordered group without putting the group into one task.
 
 A window over a whole report would sort it in a single task, and one report may hold a large share of
-all rows. Rows are therefore filled inside blocks of bounded size. What a block takes over from the
-blocks before it is found from one summary row per block and enters the block as a row of its own, so
-the rows themselves are exchanged once and never joined.
+all rows. Rows are therefore filled inside blocks of bounded size, and a block takes over from the blocks
+before it what one summary row per block says. Rows are dealt to blocks once: both the filling and the
+summaries read that one exchange, so the source is read and parsed a single time, and rows meet their
+block's summary where they lie.
 """
 
 from __future__ import annotations
@@ -11,29 +12,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def carry_forward(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], block: Column) -> DataFrame:
-    """Add, for each entry of ``values``, its last non-null value up to and including the row.
+def carry_forward(
+    df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], block: Column, keep: list[str] | None = None,
+) -> DataFrame:
+    """Add, for each entry of ``values``, its last non-null value up to and including the row. Columns beyond ``keep`` are left out.
 
-    ``block`` cuts a group into runs of the sort order, for instance every sixteen pages. One task holds
-    the rows of one block, or the summaries of one group.
+    ``block`` cuts a group into runs of the sort order, for instance every sixteen pages, or a struct such as
+    page, table and every thousand rows. One task holds the rows of one block, or the summaries of one group.
     """
     names = list(values)
-    inputs = {f"_in_{n}": c for n, c in values.items()}
-    staged = df.withColumns({**inputs, "_block": block})
-    where = [*group, "_block"]
-
-    some = F.coalesce(*[F.col(f"_in_{n}").cast("string") for n in names]).isNotNull()
-    summaries = staged.groupBy(*where).agg(*[
-        F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), F.struct(*order))).alias(f"_in_{n}")
-        for n in names])
-    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = summaries.select(
-        *where, *[F.last(f"_in_{n}", ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in names],
-        F.lit(True).alias("_seed")).filter(some)
-
-    rows = staged.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
-    so_far = Window.partitionBy(*where).orderBy(F.desc("_seed"), *order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.withColumns({n: F.last(f"_in_{n}", ignorenulls=True).over(so_far) for n in names})
-        .filter(~F.col("_seed")).drop("_seed", "_block", *inputs)
-    )
+    whole = F.struct(*(df.columns if keep is None else keep))
+    # Group and block are one column, so that rows without a group keep together and every step finds the same dealing.
+    dealt = df.select(
+        F.struct(*group, block.alias("block")).alias("_key"), F.struct(*order).alias("_at"),
+        F.struct(*[c.alias(n) for n, c in values.items()]).alias("_own"), whole.alias("_row")).repartition("_key")
+
+    # Summaries look at the whole row as well; asking for less would make Spark prepare the exchange a second time.
+    last = [F.max_by(F.col("_own")[n], F.when(F.col("_own")[n].isNotNull(), F.col("_at"))).alias(n) for n in names]
+    ends = dealt.groupBy("_key").agg(*last, F.max(F.xxhash64("_row")).alias("_seen")).filter("_seen IS NOT NULL").drop("_seen")
+    earlier = Window.partitionBy(*[F.col("_key")[c] for c in group]).orderBy(F.col("_key")["block"]).rowsBetween(Window.unboundedPreceding, -1)
+    over = ends.select("_key", F.struct(*[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in names]).alias("_over"))
+    over = over.filter(F.coalesce(*[F.col("_over")[n].cast("string") for n in names]).isNotNull())
+
+    so_far = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.select("_key", "_row", F.struct(*[F.last(F.col("_own")[n], ignorenulls=True).over(so_far).alias(n) for n in names]).alias("_in"))
+    return inside.join(over, "_key", "left").select(
+        "_row.*", *[F.coalesce(F.col("_in")[n], F.col("_over")[n]).alias(n) for n in names])

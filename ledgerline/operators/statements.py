@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline import fixed
 from ledgerline.computed import computed
@@ -21,15 +21,20 @@ from ledgerline.operators.carry import carry_forward
 from ledgerline.operators.labels import map_labels
 
 PAGE_BLOCK = 1024
-CELL_PAGE_BLOCK = 16
+#: Pages whose headings are kept together, and rows of a table that one task fills.
+HEADING_BLOCK, ROW_BLOCK = 64, 1024
 
 
 @dataclass
 class Extraction:
-    """Values found, and the rows whose label is unknown (with ``company`` and ``pdf`` for the review)."""
+    """Values found, and the rows whose label is unknown (with ``company`` and ``pdf`` for the review).
+
+    ``readings`` are the values with one more row, without field and value, for each report and year that was read.
+    """
 
     values: DataFrame
     unmatched: DataFrame
+    readings: DataFrame | None = None
 
 
 # --- sections ----------------------------------------------------------------------------------------
@@ -62,12 +67,9 @@ def is_header_row(cells: Column) -> Column:
     return F.forall(rest, lambda c: c.isNull() | strip(c).rlike(r"^\d{4}$") | _empty_number(parse_number(c)))
 
 
-def _is_header(cells: Column, numbers: Column) -> Column:
-    """The same test with the cells' numbers at hand."""
-    n = F.size(cells)
-    blank = F.zip_with(F.slice(cells, F.lit(2), n), F.slice(numbers, F.lit(2), n),
-                       lambda c, v: c.isNull() | strip(c).rlike(r"^\d{4}$") | _empty_number(v))
-    return F.forall(blank, lambda b: b)
+def _is_header(rest: Column, numbers: Column) -> Column:
+    """The same test for the cells after the first with their numbers at hand."""
+    return F.forall(F.zip_with(rest, numbers, lambda c, v: _empty_number(v) | strip(c).rlike(r"^\d{4}$")), lambda b: b)
 
 
 def column_of_year(cells: Column, year: Column) -> Column:
@@ -90,37 +92,40 @@ def cell_rows(cells: DataFrame) -> DataFrame:
     """Each table row with its label, its amount and that of the year before, header rows removed.
 
     The year columns come from the last header row of the report that names the year. With the year's cell
-    empty, the cell to its left counts, then the rightmost number of the row.
+    empty, the cell to its left counts, then the rightmost number of the row. Cells are read and parsed once;
+    blocks are cut by rows within a table, so a report on one page is many tasks.
     """
-    year, row = F.col("fiscal_year"), F.col("cells")
+    year, row, place = F.col("fiscal_year"), F.col("cells"), ["doc", "country", "fiscal_year", "page", "table_no", "row_no"]
     known_year = F.coalesce(year != 0, F.lit(False))
-    named = F.when(known_year, column_of_year(row, year))
-    # Few rows name the year, and only those are tested for being a header here.
-    here = F.when(named.isNotNull() & is_header_row(row), named)
-    before_here = column_of_year(row, year - 1)
-    rows = carry_forward(
-        cells.filter(F.size("cells") >= 2), ["doc"], ["page", "table_no", "row_no"],
-        {"year_col": here, "before_col": F.when(here != before_here, before_here)},
-        F.floor(F.col("page") / CELL_PAGE_BLOCK))
-    rows = computed(rows, {"numbers": F.transform(row, parse_number)})
-    rows = computed(rows, {"is_header": known_year & _is_header(row, F.col("numbers"))}, where=lambda r: ~r["is_header"])
-    rows = computed(rows, {"amounts": F.transform(row, lambda c: parse_number(strip_footnote(c)))})
-    numbers, amounts = F.col("numbers"), F.col("amounts")
+    rest, numbers = F.slice(row, F.lit(2), F.size(row)), F.col("numbers")  # of the cells after the first
+    rows = computed(cells.filter(F.size("cells") >= 2), {"numbers": F.transform(rest, parse_number)}, [*place, "cells"])
     first = strip(F.coalesce(F.get(row, F.lit(0)), F.lit("")))
     second = strip(F.coalesce(F.get(row, F.lit(1)), F.lit("")))
-    second_is_text = (second != "") & _empty_number(F.get(numbers, F.lit(1)))
+    second_is_text = (second != "") & _empty_number(F.get(numbers, F.lit(0)))
+    rows = computed(rows, {
+        "is_header": known_year & _is_header(rest, numbers), "label": F.when(first != "", first).when(second_is_text, second),
+        "rightmost": _last_known(numbers)}, [*place, "cells"])
+    named, before = column_of_year(row, year), column_of_year(row, year - 1)
+    rows = computed(rows, {"here": F.when(F.col("is_header"), named), "before_here": F.when(F.col("is_header") & (named != before), before)})
+    # What neither names a year nor has a label does not travel.
+    rows = rows.filter(F.col("here").isNotNull() | (~F.col("is_header") & (F.length("label") >= 4)))
+    rows = carry_forward(
+        rows, ["doc"], ["page", "table_no", "row_no"], {"year_col": F.col("here"), "before_col": F.col("before_here")},
+        F.struct("page", "table_no", F.floor(F.col("row_no") / ROW_BLOCK).alias("rows")),
+        keep=[*place, "cells", "is_header", "label", "rightmost"])
+
+    def amount(at: Column) -> Column:
+        return parse_number(strip_footnote(F.get(row, at)))
+
     col, before = F.col("year_col"), F.col("before_col")
-    beside = F.when(col > 0, F.get(amounts, F.greatest(col - 1, F.lit(0))))
-    named = F.when(col < F.size(row), F.coalesce(F.get(amounts, col), beside))
+    beside = F.when(col > 0, amount(F.greatest(col - 1, F.lit(0))))
     return computed(
-        rows,
+        rows.filter(~F.col("is_header")),
         {
-            "label": F.when(first != "", first).when(second_is_text, second),
-            "value": F.coalesce(named, _last_known(F.slice(numbers, F.lit(2), F.size(numbers)))),
-            "value_before": F.when(before < F.size(row), F.get(amounts, before)),
+            "value": F.coalesce(F.when(col < F.size(row), F.coalesce(amount(col), beside)), F.col("rightmost")),
+            "value_before": F.when(before < F.size(row), amount(before)),
         },
-        ["doc", "country", "fiscal_year", "page", "table_no", "row_no"],
-        lambda r: r["value"].isNotNull() & (F.length(r["label"]) >= 4))
+        [*place, "label"], lambda r: r["value"].isNotNull())
 
 
 def fallback_columns(cells: DataFrame) -> DataFrame:
@@ -131,18 +136,30 @@ def fallback_columns(cells: DataFrame) -> DataFrame:
         "warning", F.lit("fallback_year_column_used"))
 
 
-def _with_sections(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
+def headings(pages: DataFrame, text: Column | None = None) -> DataFrame:
+    """Per report and block of pages the headings in it (a page has three at most), and the last one of the blocks before."""
+    found = pages.select("doc", "page", section_of(F.col("text") if text is None else text).alias("heading"))
+    entry = F.when(F.col("heading").isNotNull(), F.struct("page", "heading"))
+    blocks = found.groupBy("doc", F.floor(F.col("page") / HEADING_BLOCK).alias("block")).agg(F.array_sort(F.collect_set(entry)).alias("headings"))
+    before = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.try_element_at("headings", F.lit(-1))["heading"]
+    return blocks.withColumn("earlier", F.last(last, ignorenulls=True).over(before))
+
+
+def _with_sections(rows: DataFrame, pages: DataFrame | None, text: Column | None = None) -> DataFrame:
+    """``rows`` with the section their page stands in: the page's own heading, else the last one before it."""
     if pages is None:
         return rows.withColumn("section", F.lit("unknown"))
-    return rows.join(page_sections(pages), ["doc", "page"], "left").withColumn(
-        "section", F.coalesce("section", F.lit("unknown")))
+    joined = rows.withColumn("block", F.floor(F.col("page") / HEADING_BLOCK)).join(headings(pages, text), ["doc", "block"], "left")
+    here = F.try_element_at(F.filter("headings", lambda h: h["page"] <= F.col("page")), F.lit(-1))["heading"]
+    return joined.withColumn("section", F.coalesce(here, "earlier", F.lit("unknown"))).drop("block", "headings", "earlier")
 
 
-def _extraction(rows: DataFrame, rank: list[Column], method: str, pages: DataFrame | None) -> Extraction:
+def _best(rows: DataFrame, rank: list[Column]) -> DataFrame:
     """One value per report, year and field: the row that comes first by ``rank``.
 
     A row offers its value for the report's year and, where ``before`` is given, ``value_before`` for that
-    year; both go through one aggregation. Sections are looked up for the chosen rows only.
+    year; both go through one aggregation.
     """
     def offer(year: str, value: str, comparative: bool) -> Column:
         return F.struct(F.col(year).alias("fiscal_year"), F.col(value).alias("value"), F.lit(comparative).alias("comparative"))
@@ -156,12 +173,15 @@ def _extraction(rows: DataFrame, rank: list[Column], method: str, pages: DataFra
     long = known.select(*rest, one).select(*rest, "o.*")
     best = long.groupBy("doc", "country", "fiscal_year", "canonical", "comparative").agg(
         F.min_by(F.struct("value", "page"), F.struct(*rank)).alias("v"))
-    values = _with_sections(best.select("doc", "country", "fiscal_year", "canonical", "v.*", "comparative"), pages)
+    return best.select("doc", "country", "fiscal_year", "canonical", "v.*", "comparative")
+
+
+def _extraction(rows: DataFrame, rank: list[Column], method: str, pages: DataFrame | None) -> Extraction:
+    """The best row per field with its section, which is looked up for the chosen rows only."""
+    values = _with_sections(_best(rows, rank), pages)
     unmatched = _with_sections(rows.filter(F.col("canonical").isNull()), pages).withColumns(
         {"company": F.col("doc"), "pdf": F.col("doc")})
-    return Extraction(
-        values.select("doc", "country", "fiscal_year", "canonical", "value", "page", "section",
-                      F.lit(method).alias("method"), "comparative"), unmatched)
+    return Extraction(values.withColumn("method", F.lit(method)).select(*VALUES), unmatched)
 
 
 def extract_cells(cells: DataFrame, pages: DataFrame | None = None, learned: DataFrame | None = None) -> Extraction:
@@ -189,80 +209,154 @@ def extract_lines(pages: DataFrame, learned: DataFrame | None = None) -> Extract
     return _extraction(rows, [F.col("page"), F.col("line")], "text_lines", pages)
 
 
-# --- recognised scans --------------------------------------------------------------------------------
+# --- recognised scans, and the choice between readings ---------------------------------------------------
 
-def scan_years(pages: DataFrame, as_of) -> DataFrame:
-    """The two years of each scanned report and their column order, read off its first page."""
-    first = pages.filter(F.col("page") == 1)
-    return computed(first, {"y": header_years(F.col("text"), as_of)}, ["doc"]).select("doc", "y.*")
+TEXT, SCAN, PAGE = "text_lines", "scan_lines", "page"
 
 
-def scan_rows(pages: DataFrame, as_of, max_pages: int | None = None) -> DataFrame:
-    """Label and the first two amounts of each line, told apart by the report's column order.
+def recognised_text(pages: DataFrame) -> Column:
+    """What a scan is read from: the column ``recognised`` where pages have one, else their text."""
+    return F.col("recognised") if "recognised" in pages.columns else F.col("text")
 
-    ``max_pages`` leaves out what follows a page, as where the later pages are ledgers.
+
+def _kind_rows(pages: DataFrame, as_of, kinds: tuple[str, ...], max_pages: int | None, learned: DataFrame | None) -> DataFrame:
+    """One row for each page, and for each line that shows a label and an amount, read as text or as a scan.
+
+    Lines have ``label``, ``canonical`` and the amounts ``a`` and ``b`` (the second of a scan's line, if it is another one);
+    pages whether they are ``scanned`` and, the first one, the ``years`` of its columns. Each text is taken apart once.
     """
-    kept = pages if max_pages is None else pages.filter(F.col("page") <= max_pages)
-    unknown = header_years(F.lit(""), as_of)
-    dated = kept.join(scan_years(pages, as_of), "doc", "left").withColumns(
-        {c: F.coalesce(c, unknown[c]) for c in ("current", "previous", "current_is_left")})
-    lines = dated.select(
-        "doc", "country", "page", "current", "previous", "current_is_left",
-        F.posexplode(lines_of(F.col("text"))).alias("line", "raw"))
-    place = ["doc", "country", "page", "current", "previous", "current_is_left", "line"]
-    lines = lines.withColumn("raw", strip(F.col("raw")))
-    lines = computed(
-        lines, {"money": F.regexp_extract_all("raw", F.lit(f"({fixed.MONEY_PATTERN})"), F.lit(1))}, [*place, "raw"],
-        lambda r: F.size(r["money"]) > 0)
+    place = ["doc", "country", "fiscal_year", "page"]
+
+    scan_text = recognised_text(pages)
+    if max_pages is not None:
+        scan_text = F.when(F.col("page") <= max_pages, scan_text)
+    part = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.coalesce(text, F.lit("")).alias("part"))
+    parts = [part(PAGE, F.lit("")), *[part(k, F.col("text") if k == TEXT else scan_text) for k in kinds]]
+    rows = computed(pages, {
+        "scanned": is_scanned_page(F.coalesce("text", F.lit("")), F.col("n_images")),
+        "years": F.when(F.col("page") == 1, header_years(recognised_text(pages), as_of)), "parts": F.array(*parts)}, place)
+    place = [*place, "scanned", "years", "kind"]
+    rows = rows.select(*place[:-1], F.explode("parts").alias("p")).select(*place[:-1], "p.*")
+    rows = rows.select(*place, F.posexplode(lines_of(F.col("part"))).alias("line", "raw")).withColumn("raw", strip(F.col("raw")))
+    place = [*place, "line"]
+    is_scan, is_text, raw = F.col("kind") == SCAN, F.col("kind") == TEXT, F.col("raw")
+    wide = F.split(raw, r"\s{2,}|\t")
+    rows = computed(rows, {
+        "words": F.when(is_text, wide), "money": F.when(is_scan, F.regexp_extract_all("raw", F.lit(f"({fixed.MONEY_PATTERN})"), F.lit(1)))},
+        [*place, "raw"], lambda r: (F.size(r["words"]) >= 2) | (F.size(r["money"]) > 0) | ~(is_text | is_scan))
 
     def amount(i: int) -> Column:
         return parse_number(F.translate(F.get("money", F.lit(i)), "$", ""))
 
-    start = F.position(F.get("money", F.lit(0)), F.col("raw"))
-    before_money = strip(F.regexp_replace(
-        strip(F.substring("raw", F.lit(1), start - 1)), r"\s*[\[(].*$", ""))
-    wide = F.split("raw", r"\s{2,}|\t")
-    label = once(before_money, lambda b: F.when(b != "", b).when(F.size(wide) >= 2, strip(F.get(wide, F.lit(0)))))
+    start = F.position(F.get("money", F.lit(0)), raw)
+    before_money = strip(F.regexp_replace(strip(F.substring(raw, F.lit(1), start - 1)), r"\s*[\[(].*$", ""))
+    beside = once(before_money, lambda b: F.when(b != "", b).when(F.size(wide) >= 2, strip(F.get(wide, F.lit(0)))))
     rows = computed(
-        lines, {"label": label, "left": amount(0), "second": amount(1)}, place,
-        lambda r: r["left"].isNotNull() & (F.length(r["label"]) >= 4) & ~is_non_current(r["label"]))
-    right = F.when(F.col("second") != F.col("left"), F.col("second"))
-    swap = ~F.col("current_is_left") & right.isNotNull()
-    return rows.select(
-        "doc", "country", F.col("current").alias("fiscal_year"), F.col("previous").alias("before"), "page", "line", "label",
-        F.when(swap, right).otherwise(F.col("left")).alias("value"),
-        F.when(swap, F.col("left")).otherwise(right).alias("value_before"),
-    )
+        rows, {"label": F.when(is_text, strip(F.get("words", F.lit(0)))).when(is_scan, beside),
+               "a": F.when(is_text, rightmost_number(F.col("words"))).when(is_scan, amount(0)), "second": F.when(is_scan, amount(1))}, place,
+        lambda r: (F.col("kind") == PAGE) | (r["a"].isNotNull() & (F.length(r["label"]) >= 4) & (is_text | ~is_non_current(r["label"]))))
+    return map_labels(rows, learned=learned).withColumn("b", F.when(F.col("second") != F.col("a"), F.col("second"))).drop("second")
+
+
+def _reduced(rows: DataFrame) -> DataFrame:
+    """Per report, kind of reading and field: the first amount of texts, the largest of scans under either order of columns.
+
+    A scan's column order stands on its first page, a field's amounts may stand on any. Both orders are reduced where the
+    lines lie, so at most 26 rows of a reading move, and the order is chosen afterwards.
+    """
+    a, b = F.col("a"), F.col("b")
+
+    def largest(value: Column) -> Column:
+        return F.min_by(F.struct(value.alias("value"), "page"), F.when(value.isNotNull(), F.struct(-F.abs(value), "page", "line")))
+
+    scan = F.col("kind") == SCAN
+    return rows.groupBy("doc", "country", "kind", "canonical").agg(
+        F.max("fiscal_year").alias("fiscal_year"),
+        F.count_if(F.col("kind") == PAGE).alias("n_pages"), F.count_if((F.col("kind") == PAGE) & F.col("scanned")).alias("n_scanned"),
+        F.max(F.when(F.col("kind") == PAGE, F.col("years"))).alias("years"),
+        F.min_by(F.struct(a.alias("value"), "page"), F.when(F.col("kind") == TEXT, F.struct("page", "line"))).alias("first"),
+        largest(F.when(scan, a)).alias("left"), largest(F.when(scan, b)).alias("right"),
+        largest(F.when(scan, F.coalesce(b, a))).alias("right_or_only"), largest(F.when(scan & b.isNotNull(), a)).alias("left_of_two"))
+
+
+def _scan_offers(years: Column) -> Column:
+    """The two readings of a reduced scan field, under the order its report has."""
+    def offer(year: Column, left_first: str, right_first: str, comparative: bool) -> Column:
+        best = F.when(years["current_is_left"], F.col(left_first)).otherwise(F.col(right_first))
+        return F.struct(year.alias("fiscal_year"), best["value"].alias("value"), best["page"].alias("page"), F.lit(comparative).alias("comparative"))
+
+    return F.array(offer(years["current"], "left", "right_or_only", False), offer(years["previous"], "right", "left_of_two", True))
+
+
+VALUES = ["doc", "country", "fiscal_year", "canonical", "value", "page", "section", "method", "comparative"]
+
+
+def _chosen(offers: DataFrame, as_of, weak: float, fixed_kind: str | None = None) -> DataFrame:
+    """Values of the reading that suits each report, and a row without field for every report and year that was read.
+
+    ``offers`` holds the reduced rows of all readings (26 a reading at most) and a row of ``PAGE`` for each report.
+    """
+    report = Window.partitionBy("doc")
+    counts = lambda kind, more=F.lit(True): F.count_if((F.col("kind") == kind) & F.col("canonical").isNotNull() & more).over(report)
+    unknown = header_years(F.lit(""), as_of)
+    known = offers.select(
+        "*", F.max("years").over(report).alias("header"), counts("cell_table", ~F.col("comparative")).alias("n_cells"), counts(TEXT).alias("n_lines"),
+        (F.sum("n_scanned").over(report) > F.sum("n_pages").over(report) * 0.5).alias("is_scanned"))
+    header = F.coalesce("header", unknown)
+    scanned = F.coalesce("is_scanned", F.lit(False)) if fixed_kind is None else F.lit(fixed_kind == SCAN)
+    use_text = (F.col("n_cells") / F.lit(22.0) < weak) & (F.col("n_lines") > F.col("n_cells"))
+    is_kind = F.col("kind")
+    own = F.struct("fiscal_year", F.coalesce("first.value", "value").alias("value"), F.coalesce("first.page", "page").alias("page"), "comparative")
+    read = F.struct(F.when(scanned, header["current"]).otherwise(F.col("fiscal_year")).alias("fiscal_year"), F.lit(None).cast("double").alias("value"),
+                    F.lit(None).cast("int").alias("page"), F.lit(False).alias("comparative"))
+    takes = (
+        F.when(is_kind == PAGE, F.array(read))
+        .when(F.col("canonical").isNull(), F.array().cast("array<struct<fiscal_year:int,value:double,page:bigint,comparative:boolean>>"))
+        .when((is_kind == SCAN) & scanned, F.filter(_scan_offers(header), lambda o: o["value"].isNotNull()))
+        .when((is_kind == TEXT) & ~scanned & use_text, F.array(own))
+        .when((is_kind == "cell_table") & ~scanned & (F.col("comparative") | ~use_text), F.array(own)))
+    return known.select("doc", "country", "canonical", F.col("kind").alias("method"), F.explode(takes).alias("o")).select(
+        "doc", "country", "canonical", "method", "o.*")
+
+
+def _offers_of(reduced: DataFrame) -> DataFrame:
+    """Reduced rows of pages in the shape that :func:`_chosen` reads."""
+    return reduced.withColumns({"value": F.lit(None).cast("double"), "page": F.lit(None).cast("bigint"), "comparative": F.lit(False)})
 
 
 def extract_scans(pages: DataFrame, as_of, learned: DataFrame | None = None,
                   max_pages: int | None = None) -> Extraction:
-    """Fields from recognised scans: the largest amount per field, for both years."""
+    """Fields from recognised scans: the largest amount per field, for both years.
+
+    ``max_pages`` leaves out what follows a page, as where the later pages are ledgers.
+    """
+    rows = _kind_rows(pages, as_of, (SCAN,), max_pages, learned)
+    chosen = _chosen(_offers_of(_reduced(rows)), as_of, 0.0, SCAN)
     kept = pages if max_pages is None else pages.filter(F.col("page") <= max_pages)
-    rows = map_labels(scan_rows(pages, as_of, max_pages), learned=learned)
-    largest = [-F.abs(F.col("value")), F.col("page"), F.col("line")]
-    return _extraction(rows, largest, "scan_lines", kept)
+    text = recognised_text(pages)
+    values = _with_sections(chosen.filter("canonical IS NOT NULL"), kept, text)
+    unmatched = rows.filter((F.col("kind") == SCAN) & F.col("canonical").isNull())
+    return Extraction(values.select(*VALUES), _unmatched(unmatched, kept, text))
 
 
-# --- choice between readings -------------------------------------------------------------------------
+def _unmatched(rows: DataFrame, pages: DataFrame, text: Column | None = None) -> DataFrame:
+    return _with_sections(rows.select("doc", "country", "label", F.col("a").alias("value"), "page", "line"), pages, text).withColumns(
+        {"company": F.col("doc"), "pdf": F.col("doc")})
+
 
 def choose_reading(cell_values: DataFrame, line_values: DataFrame, docs: DataFrame, weak: float = 0.4) -> DataFrame:
     """Per report the cell reading, or the text reading where cells cover under 40 % and text found more.
 
-    Values of the year before always come from the cell reading. ``docs`` lists the reports.
+    Values of the year before always come from the cell reading. ``docs`` lists the reports. Both readings hold a
+    value per field, so a report's rows are few and one window counts them.
     """
-    def counted(values: DataFrame, name: str) -> DataFrame:
-        return values.filter(~F.col("comparative")).groupBy("doc").agg(F.count(F.lit(1)).alias(name))
-
-    zero = F.lit(0)
-    use_text = (F.coalesce("n_cells", zero) / F.lit(22.0) < weak) & (F.coalesce("n_lines", zero) > F.coalesce("n_cells", zero))
-    choice = (
-        docs.select("doc").distinct().join(counted(cell_values, "n_cells"), "doc", "left")
-        .join(counted(line_values, "n_lines"), "doc", "left").select("doc", use_text.alias("use_text"))
-    )
-    cells = cell_values.join(choice, "doc").filter(F.col("comparative") | ~F.col("use_text"))
-    lines = line_values.join(choice, "doc").filter("use_text")
-    return cells.unionByName(lines).drop("use_text")
+    report = Window.partitionBy("doc")
+    listed = docs.select("doc").distinct()
+    both = cell_values.withColumn("_text", F.lit(False)).unionByName(line_values.withColumn("_text", F.lit(True))).join(listed, "doc", "left_semi")
+    count = lambda text: F.count_if((F.col("_text") == text) & ~F.col("comparative")).over(report)
+    counted = both.withColumns({"_cells": count(False), "_lines": count(True)})
+    use_text = (F.col("_cells") / F.lit(22.0) < weak) & (F.col("_lines") > F.col("_cells"))
+    return counted.filter(F.when(F.col("_text"), use_text).otherwise(F.col("comparative") | ~use_text)).drop("_text", "_cells", "_lines")
 
 
 def unmatched_counts(unmatched: DataFrame) -> DataFrame:
@@ -272,18 +366,28 @@ def unmatched_counts(unmatched: DataFrame) -> DataFrame:
 
 
 def read_reports(
-    cells: DataFrame, pages: DataFrame, as_of, learned: DataFrame | None = None,
+    cells: DataFrame, pages: DataFrame, as_of, learned: DataFrame | None = None, weak: float = 0.4,
 ) -> Extraction:
-    """Read every report the way that suits it: scans as scans, others by cells or, failing that, text."""
+    """Read every report the way that suits it: scans as scans, others by cells or, failing that, text.
+
+    Pages are read once for all their readings and once more for headings, cells once. Every reading is reduced to a row
+    per field before it moves; a window over these few rows of a report makes the choice.
+    """
+    rows = _kind_rows(pages, as_of, (TEXT, SCAN), None, learned)
+    mapped = map_labels(cell_rows(cells), learned=learned).withColumn("before", F.col("fiscal_year") - 1)
+    in_cells = _best(mapped, [F.col("page"), F.col("table_no"), F.col("row_no")])
+    offers = _offers_of(_reduced(rows)).unionByName(in_cells.withColumn("kind", F.lit("cell_table")), allowMissingColumns=True)
+    chosen = _chosen(offers, as_of, weak)
+    text = F.coalesce(recognised_text(pages), F.col("text"))
+    readings = _with_sections(chosen, pages, text).select(*VALUES)
+    # Unknown labels of a report come from all readings of its kind.
     kind = scanned_docs(pages).select("doc", "is_scanned")
-    typed = pages.join(kind, "doc")
-    scans = extract_scans(typed.filter("is_scanned").drop("is_scanned"), as_of, learned)
-    digital = typed.filter(~F.col("is_scanned")).drop("is_scanned")
-    in_cells = extract_cells(cells.join(kind.filter("is_scanned"), "doc", "left_anti"), digital, learned)
-    in_lines = extract_lines(digital, learned)
-    values = choose_reading(in_cells.values, in_lines.values, digital.select("doc")).unionByName(scans.values)
-    columns = ["doc", "country", "label", "value", "page", "section", "company", "pdf"]
-    unmatched = in_cells.unmatched.select(*columns, F.col("table_no").alias("part"), F.col("row_no").alias("line"))
-    for e in (in_lines, scans):
-        unmatched = unmatched.unionByName(e.unmatched.select(*columns, F.lit(0).alias("part"), "line"))
-    return Extraction(values, unmatched)
+    columns = ["doc", "country", "label", "value", "page", "part", "line", "is_scan"]
+    from_pages = rows.filter((F.col("kind") != PAGE) & F.col("canonical").isNull()).select(
+        "doc", "country", "label", F.col("a").alias("value"), "page", F.lit(0).alias("part"), "line", (F.col("kind") == SCAN).alias("is_scan"))
+    from_cells = mapped.filter(F.col("canonical").isNull()).select(
+        "doc", "country", "label", "value", "page", F.col("table_no").alias("part"), F.col("row_no").alias("line"), F.lit(False).alias("is_scan"))
+    unknown = from_cells.unionByName(from_pages).join(kind, "doc", "left").filter(
+        F.col("is_scan") == F.coalesce("is_scanned", F.lit(False))).select(*columns[:-1])
+    unmatched = _with_sections(unknown, pages, text).withColumns({"company": F.col("doc"), "pdf": F.col("doc")})
+    return Extraction(readings.filter("canonical IS NOT NULL"), unmatched, readings)

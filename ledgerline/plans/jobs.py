@@ -27,23 +27,38 @@ def from_facts(facts: DataFrame, companies: DataFrame) -> Result:
     return Result(financials, kpi_ops.calculate_kpis(financials), facts_ops.companies_without_data(facts, companies))
 
 
+def _with_report(extracted: DataFrame) -> DataFrame:
+    """Values with the place of their report: ``report_order``, then ``doc``; without these columns all are one report."""
+    order = F.col("report_order") if "report_order" in extracted.columns else F.lit(0)
+    doc = F.col("doc") if "doc" in extracted.columns else F.lit("")
+    return extracted.withColumn("_report", F.struct(order.cast("bigint").alias("report_order"), doc.alias("doc")))
+
+
 def rows_from_extracted(extracted: DataFrame) -> DataFrame:
     """Long values ``ticker, fiscal_year, canonical, value`` to one row per year, all statement fields present.
 
+    With ``report_order`` and ``doc`` a company may have several reports: the whole row of a year comes from the last
+    report that gives it, fields it lacks stay null. A row without ``canonical`` says that a report gave the year. One
+    aggregation finds each field's last report and the year's; a field stays where the two are one.
     Fields that are not statement fields (such as reported ratios) are left out.
     """
-    return conform_financials(extracted.groupBy("ticker", "fiscal_year").agg(*[
-        F.max(F.when(F.col("canonical") == f, F.col("value"))).alias(f) for f in STATEMENT_FIELDS]))
+    rows = _with_report(extracted)
+    at, value = F.col("_report"), F.col("value")
+    last = rows.groupBy("ticker", "fiscal_year").agg(F.max(at).alias("_at"), *[
+        F.max(F.when((F.col("canonical") == f) & value.isNotNull(), F.struct(at.alias("at"), value.alias("value")))).alias(f) for f in STATEMENT_FIELDS])
+    return conform_financials(last.select("ticker", "fiscal_year", *[
+        F.when(F.col(f)["at"] == F.col("_at"), F.col(f)["value"]).alias(f) for f in STATEMENT_FIELDS]))
 
 
 def override_kpis(kpis: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Take a ratio printed in the report where it could not be computed."""
+    """Take a ratio printed in a report where it could not be computed; of several reports the first that prints it."""
     names = [k for k in REPORTED_KPIS if k in kpis.columns]
-    printed = extracted.filter(F.col("canonical").isin(names)).groupBy("ticker", "fiscal_year").agg(*[
-        F.max(F.when(F.col("canonical") == k, F.col("value"))).alias(f"_{k}") for k in names])
+    rows = _with_report(extracted).filter(F.col("canonical").isin(names) & F.col("value").isNotNull())
+    printed = rows.groupBy("ticker", "fiscal_year").agg(*[
+        F.min(F.when(F.col("canonical") == k, F.struct("_report", "value"))).alias(f"_{k}") for k in names])
     joined = kpis.join(printed, ["ticker", "fiscal_year"], "left")
     return joined.select(*[
-        F.coalesce(c, f"_{c}").alias(c) if c in names else F.col(c) for c in kpis.columns])
+        F.coalesce(c, F.col(f"_{c}")["value"]).alias(c) if c in names else F.col(c) for c in kpis.columns])
 
 
 def from_reports(existing: DataFrame, extracted: DataFrame) -> Result:
@@ -75,11 +90,19 @@ def confirm_corrections(existing: DataFrame, corrections: DataFrame, kept: DataF
 
 
 def reports_to_financials(existing: DataFrame, cells: DataFrame, pages: DataFrame, as_of,
-                          learned: DataFrame | None = None) -> tuple[Result, statements.Extraction]:
-    """From report contents to stored financials; the document key becomes the company key."""
+                          learned: DataFrame | None = None, reports: DataFrame | None = None) -> tuple[Result, statements.Extraction]:
+    """From report contents to stored financials.
+
+    ``reports`` says whose each document is and in which order they count: ``doc, ticker, report_order``. Without it the
+    document key is the company key. A later report replaces the whole row of every year it gives.
+    """
     found = statements.read_reports(cells, pages, as_of, learned)
-    extracted = found.values.select(F.col("doc").alias("ticker"), "fiscal_year", "canonical", usable(F.col("value")).alias("value"))
-    return from_reports(existing, extracted), found
+    values = found.readings.select("doc", "fiscal_year", "canonical", usable(F.col("value")).alias("value"))
+    if reports is None:
+        extracted = values.withColumn("ticker", F.col("doc"))
+    else:
+        extracted = values.join(reports.select("doc", "ticker", "report_order"), "doc")
+    return from_reports(existing, extracted.filter(F.col("fiscal_year").isNotNull())), found
 
 
 def run_log(financials: DataFrame, errors: DataFrame, scraped: bool) -> DataFrame:

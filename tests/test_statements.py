@@ -130,3 +130,72 @@ def test_scanned_and_unmatched(spark):
     assert statements.scanned_docs(df).first()["is_scanned"] is True
     ex = statements.extract_lines(pages(spark, ["Cosa nueva   1\nCosa nueva   2\nOtra cosa   3"]))
     assert tuple(statements.unmatched_counts(ex.unmatched).first())[1:] == (3, 2)
+
+
+def test_a_report_on_one_page_is_many_tasks(spark):
+    # One table on one page: blocks are cut by rows, and the year columns reach rows far below their header.
+    rows = [(1, 0, 0, ["Concepto", "2023", "2024"])] + [(1, 0, i, [f"Partida rara {i}", str(10000 + i), str(20000 + i)]) for i in range(1, 5000)]
+    rows += [(1, 0, 5000, ["Efectivo", "7", "8"]), (1, 1, 0, ["Concepto", "2024", "2023"]), (1, 1, 1, ["Inventarios", "5", "6"])]
+    found_rows = {r["label"]: (r["value"], r["value_before"]) for r in statements.cell_rows(cells(spark, rows)).collect()}
+    assert found_rows["Efectivo"] == (8.0, 7.0) and found_rows["Inventarios"] == (5.0, 6.0)
+    assert all(found_rows[f"Partida rara {i}"] == (20000 + i, 10000 + i) for i in range(1, 5000, 7))
+
+
+def test_sections_across_blocks_of_pages(spark):
+    texts = ["nada"] * 70 + ["Balance General"] + ["nada"] * 200 + ["Efectivo   5", "Estado de Resultados\nVentas netas   9"]
+    ex = statements.extract_lines(pages(spark, texts))
+    assert {r["canonical"]: (r["page"], r["section"]) for r in ex.values.collect()} == {"cash": (272, "balance"), "revenue": (273, "income")}
+
+
+def test_scans_move_no_text_and_read_their_years_later(spark):
+    # The order of columns stands on the first page, the amounts on others.
+    texts = ["Informe\n2023   2024", "Ventas netas 1.000.000 2.000.000", "Ventas netas 3.000.000\nEfectivo 4.000 5.000"]
+    df = pages(spark, texts, 1)
+    scans = statements.extract_scans(df, "2026-01-01")
+    # Two amounts: the right one is of 2024, the left one of 2023. One amount is of the latest year.
+    assert found(scans) == {(2024, "revenue"): 3000000.0, (2023, "revenue"): 1000000.0, (2024, "cash"): 5000.0, (2023, "cash"): 4000.0}
+    plan = scans.values._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange")[1:]
+    assert below and all("text" not in part.split("\n")[0] for part in below)
+
+
+def test_reports_of_both_kinds_in_one_reading(spark):
+    schema_ = "doc string, country string, fiscal_year int, page int, text string, recognised string, n_images int"
+    mixed = spark.createDataFrame([
+        ("scan", "CO", 2024, 1, "", "Estado de Resultados 2022\nVentas netas 5.000.000 4.000.000", 1),
+        ("text", "CO", 2024, 1, "Balance General\nEfectivo   1.000\nInventarios   2.000\n" + "palabra " * 10, None, 0),
+        ("both", "CO", 2024, 1, "Efectivo   3\n" + "palabra " * 10, None, 0), ("none", "CO", 2024, 1, "palabra " * 10, None, 0)], schema_)
+    table = spark.createDataFrame([("both", "CO", 2024, 1, 0, 0, ["Efectivo", "4"]), ("both", "CO", 2024, 1, 0, 1, ["Rubro nuevo", "4"]),
+                                   ("bare", "CO", 2024, 1, 0, 0, ["Efectivo", "6"])], schema.CELLS)
+    ex = statements.read_reports(table, mixed, "2026-01-01")
+    got = {(r["doc"], r["fiscal_year"], r["canonical"]): (r["value"], r["section"]) for r in ex.values.collect()}
+    assert got == {("scan", 2022, "revenue"): (4000000.0, "income"), ("scan", 2021, "revenue"): (5000000.0, "income"),
+                   ("text", 2024, "cash"): (1000.0, "balance"), ("text", 2024, "inventory"): (2000.0, "balance"),
+                   ("both", 2024, "cash"): (4.0, "unknown"), ("bare", 2024, "cash"): (6.0, "unknown")}
+    assert {(r["doc"], r["fiscal_year"]) for r in ex.readings.filter("canonical IS NULL").collect()} == {
+        ("scan", 2022), ("text", 2024), ("both", 2024), ("none", 2024)}
+    assert [(r["doc"], r["label"]) for r in ex.unmatched.collect()] == [("both", "Rubro nuevo")]
+
+
+def test_the_last_report_gives_the_whole_row(spark):
+    old = schema.conform_financials(spark.createDataFrame([("a", 2022, 1.0, 5.0)], "ticker string, fiscal_year int, revenue double, cash double"))
+    new = spark.createDataFrame([
+        ("a", "x", 1, 2023, "revenue", 9.0), ("a", "x", 1, 2023, "cash", 9.0), ("a", "x", 1, 2023, "current_ratio", 1.5),
+        ("a", "y", 2, 2023, "revenue", 3.0), ("a", "y", 2, 2023, "current_ratio", 2.5), ("a", "z", 2, 2023, "cash", 4.0),
+        ("a", "w", 3, 2022, None, None), ("b", "v", 1, 2022, "cash", None)],
+        "ticker string, doc string, report_order int, fiscal_year int, canonical string, value double")
+    done = jobs.from_reports(old, new)
+    rows = {(r["ticker"], r["fiscal_year"]): (r["revenue"], r["cash"]) for r in done.financials.collect()}
+    # Of reports of one order the one with the larger name is the later; a report without values empties its year.
+    assert rows == {("a", 2023): (None, 4.0), ("a", 2022): (None, None), ("b", 2022): (None, None)}
+    kpi = {(r["ticker"], r["fiscal_year"]): r["current_ratio"] for r in done.kpis.collect()}
+    assert kpi["a", 2023] == 1.5
+
+
+def test_reports_of_several_companies(spark):
+    table = spark.createDataFrame([(d, "CO", y, 1, 0, i, c) for d, y, v in [("r1", 2023, "5"), ("r2", 2024, "6"), ("r3", 2024, "7")]
+                                   for i, c in enumerate([["Concepto", str(y), str(y - 1)], ["Efectivo", v, "1"]])], schema.CELLS)
+    whose = spark.createDataFrame([("r1", "a", 2), ("r2", "a", 1), ("r3", "b", 1)], "doc string, ticker string, report_order int")
+    result, _ = jobs.reports_to_financials(schema.empty(spark, schema.FINANCIALS), table, schema.empty(spark, schema.PAGES), "2026-01-01", reports=whose)
+    assert {(r["ticker"], r["fiscal_year"]): r["cash"] for r in result.financials.collect()} == {
+        ("a", 2023): 5.0, ("a", 2022): 1.0, ("a", 2024): 6.0, ("b", 2024): 7.0, ("b", 2023): 1.0}

@@ -154,13 +154,19 @@ SELECT CAST(o_custkey AS STRING) AS doc, 'PE' AS country, CAST(year(o_orderdate)
 FROM {orders}
 """
 LINES_SPARK, LINES_DUCK = _both(LINES)
-LINE_ROWS_CTES = f"""
-lp AS (SELECT doc, page, text, unnest(split(text, chr(10))) AS raw, generate_subscripts(split(text, chr(10)), 1) - 1 AS line FROM ({LINES_DUCK})),
+
+
+def line_rows_ctes(pages: str) -> str:
+    return f"""
+lp AS (SELECT doc, page, text, unnest(split(text, chr(10))) AS raw, generate_subscripts(split(text, chr(10)), 1) - 1 AS line FROM ({pages})),
 ls AS (SELECT doc, page, line, regexp_split_to_array(trim(raw), '\\s\\s+|\\t') AS parts FROM lp),
 line_rows AS (SELECT doc, page, line, trim(parts[1]) AS label, list_filter(list_transform(parts[2:], lambda c: {number_sql("c")}), lambda x: x IS NOT NULL)[-1] AS value
   FROM ls WHERE len(parts) >= 2),
 lr AS (SELECT * FROM line_rows WHERE value IS NOT NULL AND length(label) >= 4)
 """
+
+
+LINE_ROWS_CTES = line_rows_ctes(LINES_DUCK)
 LINE_VALUES_CTES = f"""{LINE_ROWS_CTES}, {mapping_ctes("SELECT label FROM lr")}, {sections_cte(LINES_DUCK)},
 lm AS (SELECT lr.*, m.canonical, s.section, row_number() OVER (PARTITION BY lr.doc, canonical ORDER BY lr.page, line) AS rk
   FROM lr LEFT JOIN mapped m USING (label) JOIN sections s ON s.doc = lr.doc AND s.page = lr.page),
@@ -176,28 +182,6 @@ def line_statements(spark, sf_dir):
     return statements.extract_lines(line_pages(spark, sf_dir)).values.select("doc", "canonical", "value", "page", "section")
 
 
-@query(f"""WITH {LINE_VALUES_CTES}, c AS (SELECT CAST(l_suppkey AS STRING) AS doc, count(DISTINCT CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 END) AS n_cells FROM lineitem GROUP BY 1),
-l AS (SELECT doc, count(*) AS n_lines FROM line_values GROUP BY 1)
-SELECT CAST(c_custkey AS STRING) AS doc, coalesce(n_lines, 0) > coalesce(n_cells, 0) AND coalesce(n_cells, 0) / 22e0 < 0.4 AS by_text,
-  CASE WHEN coalesce(n_lines, 0) > coalesce(n_cells, 0) AND coalesce(n_cells, 0) / 22e0 < 0.4 THEN coalesce(n_lines, 0) ELSE coalesce(n_cells, 0) END AS n_values
-FROM customer LEFT JOIN c ON c.doc = CAST(c_custkey AS STRING) LEFT JOIN l ON l.doc = CAST(c_custkey AS STRING)
-WHERE coalesce(n_lines, 0) + coalesce(n_cells, 0) > 0""")
-def reading_choice(spark, sf_dir):
-    """Cells here are one value per supplier and line number; text is read from the order pages."""
-    names = F.when(F.col("l_linenumber") == 1, "revenue").when(F.col("l_linenumber") == 2, "cogs").when(
-        F.col("l_linenumber") == 3, "current_assets").when(F.col("l_linenumber") == 4, "net_income")
-    lines = statements.extract_lines(line_pages(spark, sf_dir)).values
-    by_cells = (
-        load(spark, sf_dir, "lineitem").withColumn("canonical", names).filter("canonical IS NOT NULL")
-        .groupBy(F.col("l_suppkey").cast("string").alias("doc"), "canonical").agg(F.max("l_extendedprice").alias("value"))
-        .select("doc", F.lit("PE").alias("country"), F.lit(2001).alias("fiscal_year"), "canonical", "value", F.lit(1).cast("bigint").alias("page"),
-                F.lit("unknown").alias("section"), F.lit("cell_table").alias("method"), F.lit(False).alias("comparative")))
-    docs = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc"))
-    chosen = statements.choose_reading(by_cells.select(*lines.columns), lines, docs)
-    return chosen.groupBy("doc").agg(
-        F.bool_or(F.col("method") == "text_lines").alias("by_text"), F.count(F.lit(1)).alias("n_values"))
-
-
 # --- scans: report = order, two pages ---------------------------------------------------------------
 
 SCANS = """
@@ -215,8 +199,11 @@ FROM {orders}
 """
 SCANS_SPARK, SCANS_DUCK = _both(SCANS)
 MONEY = r"[-–]?\$?\s*\d{1,3}(?:\.\d{3})+(?:,\d{1,2})?|[-–]?\$?\s*\d{1,3}(?:,\d{3})+(?:\.\d{1,3})?"
-SCAN_CTES = f"""
-sp AS ({SCANS_DUCK}),
+
+
+def scan_rows_ctes(pages: str) -> str:
+    return f"""
+sp AS ({pages}),
 y1 AS (SELECT doc, list_reverse_sort(list_distinct(list_transform(regexp_extract_all(text, '\\b(20[12][0-9])\\b', 1), lambda s: CAST(s AS INT)))) AS ys,
    split(text, chr(10))[2] AS heads FROM sp WHERE page = 1),
 yy AS (SELECT doc, ys[1] AS y, CASE WHEN len(ys) > 1 THEN ys[2] ELSE ys[1] - 1 END AS y0,
@@ -227,12 +214,16 @@ sv AS (SELECT doc, page, line, y, y0, is_left, trim(regexp_replace(trim(split_pa
    {number_sql("replace(money[1], '$', '')")} AS a, {number_sql("replace(money[2], '$', '')")} AS b FROM sm WHERE len(money) > 0),
 sw AS (SELECT doc, page, line, y, y0, label, CASE WHEN is_left OR b IS NULL OR b = a THEN a ELSE b END AS value,
    CASE WHEN b <> a THEN CASE WHEN is_left THEN b ELSE a END END AS value_before
-  FROM sv WHERE length(label) >= 4 AND NOT contains(lower(label), 'no corriente')),
-{mapping_ctes("SELECT label FROM sw")},
+  FROM sv WHERE length(label) >= 4 AND NOT contains(lower(label), 'no corriente'))
+"""
+
+
+SX_CTE = """
 sx AS (SELECT sw.*, canonical, row_number() OVER (PARTITION BY doc, canonical ORDER BY abs(value) DESC, page, line) AS rk,
    row_number() OVER (PARTITION BY doc, canonical ORDER BY abs(value_before) DESC NULLS LAST, page, line) AS pk
   FROM sw JOIN mapped USING (label) WHERE canonical IS NOT NULL)
 """
+SCAN_CTES = f"{scan_rows_ctes(SCANS_DUCK)}, {mapping_ctes('SELECT label FROM sw')}, {SX_CTE}"
 
 
 @query(f"""WITH {SCAN_CTES} SELECT doc, y AS fiscal_year, canonical, value, page, CASE page WHEN 1 THEN 'income' ELSE 'balance' END AS section, false AS comparative FROM sx WHERE rk = 1
@@ -254,6 +245,94 @@ def scanned_reports(spark, sf_dir):
     return statements.scanned_docs(docs.unionByName(turns))
 
 
+# --- whole reports: cells, text pages and scans together --------------------------------------------
+
+# Suppliers' reports have cells, those whose number is a customer's also text pages; every order is a report of two
+# recognised pages. Each seventh of these has its text as well and so is no scan.
+REPORT_PAGES = """
+SELECT doc, country, 1998 AS fiscal_year, page, text, CAST(NULL AS STRING) AS recognised, n_images FROM ({lines_pages}) line_pages
+UNION ALL SELECT 'scan-' || doc, country, 1998, CAST(page AS BIGINT), CASE WHEN CAST(doc AS BIGINT) % 7 = 0 THEN text ELSE '' END, text, 1 FROM ({scan_pages}) scan_pages
+"""
+REPORT_PAGES_SPARK = REPORT_PAGES.replace("{lines_pages}", LINES_SPARK).replace("{scan_pages}", SCANS_SPARK)
+REPORT_PAGES_DUCK = REPORT_PAGES.replace("{lines_pages}", LINES_DUCK).replace("{scan_pages}", SCANS_DUCK)
+
+READING_CTES = f"""{CELL_ROWS_CTES}, rp AS MATERIALIZED ({REPORT_PAGES_DUCK}),
+dk AS (SELECT doc, count(*) FILTER (length(trim(text)) < 50 AND n_images > 0) > count(*) * 0.5 AS is_scanned FROM rp GROUP BY 1),
+{line_rows_ctes("SELECT doc, page, text FROM rp JOIN dk USING (doc) WHERE NOT is_scanned")},
+{scan_rows_ctes("SELECT doc, page, recognised AS text FROM rp JOIN dk USING (doc) WHERE is_scanned")},
+{mapping_ctes("SELECT label FROM cell_rows UNION SELECT label FROM lr UNION SELECT label FROM sw")},
+cc AS (SELECT r.*, canonical, row_number() OVER (PARTITION BY doc, canonical ORDER BY page, table_no, row_no) AS rk,
+    row_number() OVER (PARTITION BY doc, canonical, value_before IS NULL ORDER BY page, table_no, row_no) AS pk
+  FROM cell_rows r JOIN mapped USING (label) WHERE canonical IS NOT NULL),
+ll AS (SELECT lr.*, canonical, row_number() OVER (PARTITION BY doc, canonical ORDER BY page, line) AS rk FROM lr JOIN mapped USING (label) WHERE canonical IS NOT NULL),
+{SX_CTE},
+nc AS (SELECT doc, count(*) AS n_cells FROM cc WHERE rk = 1 GROUP BY 1),
+nl AS (SELECT doc, count(*) AS n_lines FROM ll WHERE rk = 1 GROUP BY 1),
+ch AS (SELECT doc, coalesce(n_cells, 0) / 22e0 < 0.4 AND coalesce(n_lines, 0) > coalesce(n_cells, 0) AS use_text FROM nc FULL JOIN nl USING (doc)),
+picked AS (
+  SELECT doc, 1998 AS fiscal_year, canonical, value, page, 'cell_table' AS method, false AS comparative FROM cc JOIN ch USING (doc) WHERE rk = 1 AND NOT use_text
+  UNION ALL SELECT doc, 1997, canonical, value_before, page, 'cell_table', true FROM cc WHERE pk = 1 AND value_before IS NOT NULL
+  UNION ALL SELECT doc, 1998, canonical, value, page, 'text_lines', false FROM ll JOIN ch USING (doc) WHERE rk = 1 AND use_text
+  UNION ALL SELECT doc, y, canonical, value, page, 'scan_lines', false FROM sx WHERE rk = 1
+  UNION ALL SELECT doc, y0, canonical, value_before, page, 'scan_lines', true FROM sx WHERE pk = 1 AND value_before IS NOT NULL)"""
+HEADS_CTE = f"""hd AS (SELECT DISTINCT doc, page, {section_sql("coalesce(recognised, text)")} AS section FROM rp WHERE section IS NOT NULL)"""
+
+
+def report_pages(spark, sf_dir):
+    return spark_sql(spark, sf_dir, REPORT_PAGES_SPARK)
+
+
+@query(f"""WITH {READING_CTES}, {HEADS_CTE},
+sections AS (SELECT p.doc, p.page, (CASE WHEN p.page >= h.page THEN h.section END) AS section FROM (SELECT DISTINCT doc, page FROM picked) p ASOF LEFT JOIN hd h ON p.doc = h.doc AND p.page >= h.page),
+known AS (SELECT DISTINCT doc, CAST(floor(page / 64) AS BIGINT) AS block FROM rp)
+SELECT k.doc, k.fiscal_year, k.canonical, k.value, k.page, k.method, k.comparative, CASE WHEN b.doc IS NULL THEN 'unknown' ELSE coalesce(s.section, 'unknown') END AS section
+FROM picked k JOIN sections s ON s.doc = k.doc AND s.page = k.page LEFT JOIN known b ON b.doc = k.doc AND b.block = CAST(floor(k.page / 64) AS BIGINT)""")
+def report_reading(spark, sf_dir):
+    """Every report by the reading that suits it: scans, cells, or the text where cells hold little."""
+    found = statements.read_reports(cells(spark, sf_dir), report_pages(spark, sf_dir), "2024-01-01")
+    return found.values.drop("country")
+
+
+CHOICE_CTES = f"""{CELL_ROWS_CTES}, {LINE_ROWS_CTES}, {mapping_ctes("SELECT label FROM cell_rows UNION SELECT label FROM lr")},
+cc AS (SELECT doc, count(DISTINCT canonical) AS n_cells, count(DISTINCT CASE WHEN value_before IS NOT NULL THEN canonical END) AS n_before FROM cell_rows JOIN mapped USING (label) GROUP BY 1),
+ll AS (SELECT doc, count(DISTINCT canonical) AS n_lines FROM lr JOIN mapped USING (label) GROUP BY 1),
+ch AS (SELECT doc, coalesce(n_cells, 0) AS n_cells, coalesce(n_before, 0) AS n_before, coalesce(n_lines, 0) AS n_lines FROM cc FULL JOIN ll USING (doc))"""
+
+
+@query(f"""WITH {CHOICE_CTES} SELECT doc, n_lines > n_cells AND n_cells / 22e0 < 0.4 AS by_text,
+  n_before + CASE WHEN n_lines > n_cells AND n_cells / 22e0 < 0.4 THEN n_lines ELSE n_cells END AS n_values FROM ch WHERE n_cells + n_lines > 0""")
+def reading_choice(spark, sf_dir):
+    """The cell reading and the text reading of every report, and what is taken of them."""
+    in_cells, pages = cells(spark, sf_dir), line_pages(spark, sf_dir)
+    chosen = statements.choose_reading(statements.extract_cells(in_cells).values, statements.extract_lines(pages).values,
+                                       in_cells.select("doc").unionByName(pages.select("doc")))
+    return chosen.groupBy("doc").agg(F.bool_or(F.col("method") == "text_lines").alias("by_text"), F.count(F.lit(1)).alias("n_values"))
+
+
+# Several reports of a company: their order is drawn from their number, so that years clash in every order.
+REPORT_TICKER = "CAST(CAST({number} AS BIGINT) % 1000 + 1 AS STRING)"
+NUMBER = "regexp_extract(doc, '[0-9]+', 0)"
+NEW_FIELDS = ", ".join(f"max(CASE WHEN canonical = '{f}' THEN value END) AS {f}" for f in STATEMENT_FIELDS)
+
+
+@query(f"""WITH {READING_CTES}, all_fin AS ({FIN}),
+rd AS (SELECT doc, fiscal_year, canonical, value FROM picked
+  UNION ALL SELECT DISTINCT doc, 1998, NULL, NULL FROM dk WHERE NOT is_scanned UNION ALL SELECT doc, coalesce(y, 2023), NULL, NULL FROM dk LEFT JOIN yy USING (doc) WHERE is_scanned),
+ro AS (SELECT *, {REPORT_TICKER.format(number=NUMBER)} AS ticker, CAST({NUMBER} AS BIGINT) * 7919 % 1009 AS report_order FROM rd),
+per AS (SELECT ticker, fiscal_year, report_order, doc, {NEW_FIELDS} FROM ro GROUP BY ALL),
+new AS (SELECT * EXCLUDE (report_order, doc) FROM per QUALIFY row_number() OVER (PARTITION BY ticker, fiscal_year ORDER BY report_order DESC, doc DESC) = 1),
+fin AS (SELECT * FROM new UNION ALL BY NAME SELECT * FROM all_fin WHERE (ticker, fiscal_year) NOT IN (SELECT (ticker, fiscal_year) FROM new))
+{REPAIRED}""")
+def report_financials(spark, sf_dir):
+    """Reports of all kinds, several for a company and year, into the stored financials."""
+    own, pages = cells(spark, sf_dir), report_pages(spark, sf_dir)
+    docs = own.select("doc").unionByName(pages.select("doc")).distinct()
+    number = F.expr(NUMBER.replace("'[0-9]+'", "'([0-9]+)'").replace(", 0)", ", 1)")).cast("bigint")
+    reports = docs.select("doc", (number % 1000 + 1).cast("string").alias("ticker"), (number * 7919 % 1009).alias("report_order"))
+    done, _ = jobs.reports_to_financials(financials(spark, sf_dir), own, pages, "2024-01-01", reports=reports)
+    return done.financials
+
+
 # --- report values into stored financials ------------------------------------------------------------
 
 SHARED = ["net_income", "total_assets", "total_liabilities", "total_equity", "gross_profit", "cogs", "operating_income",
