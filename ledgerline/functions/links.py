@@ -97,15 +97,33 @@ def relevance(url: Column, domain: Column, year: Column, size: Column) -> Column
     return F.when(F.length(url) > 0, F.least(total / F.lit(10.0), F.lit(1.0))).otherwise(0.0)
 
 
+def _resolved(path: Column) -> Column:
+    """A relative path without empty steps and with ``.`` and ``..`` walked: a stack folded over its segments."""
+    def walk(segments: Column) -> Column:
+        def step(stack: Column, segment: Column) -> Column:
+            above = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+            return F.when(segment == "..", above).when(segment == ".", stack).otherwise(F.concat(stack, F.array(segment)))
+
+        last = F.element_at(segments, -1)
+        inner = F.filter(F.slice(segments, F.lit(1), F.size(segments) - 1), lambda x: x != "")
+        # What ends in a step names a folder.
+        ending = F.when(last.isin(".", ".."), F.array(last, F.lit(""))).otherwise(F.array(last))
+        return F.aggregate(F.concat(inner, ending), F.array().cast("array<string>"), step)
+
+    return F.array_join(once(F.split(path, "/"), walk), "/")
+
+
 def absolute(href: Column, origin: Column) -> Column:
-    """Full address of a link found on a site. Steps such as ``../`` at the start are dropped."""
-    relative = F.regexp_replace(href, r"^(\.{1,2}/)+", "")
+    """Full address of a link found on a site. Relative paths start at the site's root; ``.`` and ``..`` are resolved anywhere."""
+    path = F.regexp_extract(href, r"^([^?#]*)", 1)
+    # A mark that nothing follows is left out.
+    rest = F.regexp_replace(F.substr(href, F.length(path) + 1), r"^\?(?=#|$)|#$", "")
     return (
         F.when(F.coalesce(href, F.lit("")) == "", "")
         .when(href.startswith("http"), href)
         .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("/"), F.concat(origin, href))
-        .otherwise(F.concat(origin, F.lit("/"), relative))
+        .otherwise(F.concat(origin, F.lit("/"), _resolved(path), rest))
     )
 
 

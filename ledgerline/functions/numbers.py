@@ -66,8 +66,14 @@ def strip_footnote(cell: Column) -> Column:
     return F.regexp_replace(strip(cell), r"[^0-9.,)(\-]+$", "")
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded to ``digits`` decimals on the exact value, halves to even; infinities and NaN stay."""
+    odd = F.isnan(c) | (F.abs(c) == float("inf"))
+    return F.when(odd, c).otherwise(fixed_point(c, digits).cast("double"))
+
+
 def billions(c: Column, digits: int = 3) -> Column:
-    return F.round(c / F.lit(1e9), digits)
+    return rounded(c / F.lit(1e9), digits)
 
 
 def clamp(c: Column, low: float, high: float) -> Column:

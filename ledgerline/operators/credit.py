@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline import fixed
-from ledgerline.functions.numbers import billions, clamp
-from ledgerline.operators.flags import latest_rows
-from ledgerline.windows import by_year
+from ledgerline.functions.numbers import billions, clamp, rounded
+from ledgerline.operators import company
 
 
 def dso_zone(dso: Column) -> Column:
@@ -38,34 +37,22 @@ def trend(delta: Column) -> Column:
         "decreciente")
 
 
-def mean_growth(kpis: DataFrame) -> DataFrame:
+def mean_growth() -> Column:
     """Mean yearly revenue growth within [-10 %, 40 %]; 10 % when there is none."""
-    mean = F.avg("revenue_growth_yoy")
+    mean = F.try_divide(F.col("growth")["total"], F.col("growth")["n"].cast("double"))
     bounded = F.when(F.isnan(mean), -0.10).otherwise(clamp(mean, -0.10, 0.40))
-    return kpis.groupBy("ticker").agg(F.coalesce(bounded, F.lit(0.10)).alias("avg_growth"))
+    return F.when(mean.isNull(), 0.10).otherwise(bounded)
 
 
-def last_change(kpis: DataFrame, kpi: str) -> DataFrame:
-    """Per company: change between the last two years that have the ratio."""
-    known = kpis.filter(F.col(kpi).isNotNull())
-    moved = known.select("ticker", "fiscal_year", (F.col(kpi) - F.lag(kpi).over(by_year())).alias("delta"))
-    return latest_rows(moved).select("ticker", "delta")
-
-
-def credit_context(kpis: DataFrame, financials: DataFrame) -> DataFrame:
-    """One row per company. All inputs are already exchanged by company, so the joins add none."""
-    k = latest_rows(kpis).select(
-        "ticker", "dso", "cash_conversion_cycle", "current_ratio", "debt_to_ebitda", "debt_to_equity",
-        "ebitda_margin")
+def of_companies(companies: DataFrame) -> DataFrame:
+    """One row per company whose ratios and statement are known; a map over its state (``company``)."""
     zero = F.lit(0.0)
-    f = latest_rows(financials).select(
-        "ticker", F.coalesce("revenue", zero).alias("revenue"), F.coalesce("receivables", zero).alias("receivables"),
-        (F.coalesce("long_term_debt", zero) + F.coalesce("short_term_debt", zero) - F.coalesce("cash", zero))
-        .alias("net_debt"))
-    base = (
-        k.join(f, "ticker").join(mean_growth(kpis), "ticker")
-        .join(last_change(kpis, "cash_conversion_cycle"), "ticker", "left")
-    )
+    k, f = F.col("k"), F.col("f")
+    both = companies.filter(k.isNotNull() & f.isNotNull()).select(
+        "ticker", *[k[c].alias(c) for c in ("dso", "cash_conversion_cycle", "current_ratio", "debt_to_ebitda", "debt_to_equity", "ebitda_margin")],
+        F.coalesce(f["revenue"], zero).alias("revenue"), F.coalesce(f["receivables"], zero).alias("receivables"),
+        (F.coalesce(f["long_term_debt"], zero) + F.coalesce(f["short_term_debt"], zero) - F.coalesce(f["cash"], zero)).alias("net_debt"),
+        mean_growth().alias("avg_growth"), (F.col("cycles")["now"] - F.col("cycles")["before"]).alias("delta"))
     dso, debt, margin = F.col("dso"), F.col("debt_to_ebitda"), F.col("ebitda_margin")
     revenue, receivables = F.col("revenue"), F.col("receivables")
     projected = F.when(dso.isNotNull() & (revenue > 0), revenue * (1 + F.col("avg_growth")))
@@ -73,50 +60,52 @@ def credit_context(kpis: DataFrame, financials: DataFrame) -> DataFrame:
     def bn(c: Column) -> Column:
         return billions(c, 1)
 
-    return base.select(
+    return both.select(
         "ticker",
-        F.round(dso, 1).alias("dso_days"),
+        rounded(dso, 1).alias("dso_days"),
         dso_zone(dso).alias("dso_zone"),
-        F.round("cash_conversion_cycle", 1).alias("ccc_days"),
+        rounded(F.col("cash_conversion_cycle"), 1).alias("ccc_days"),
         trend(F.col("delta")).alias("ccc_trend"),
-        F.round("current_ratio", 2).alias("current_ratio"),
+        rounded(F.col("current_ratio"), 2).alias("current_ratio"),
         bn(revenue).alias("revenue_mmm"),
         bn(receivables).alias("receivables_mmm"),
-        F.round(F.col("avg_growth") * 100, 1).alias("avg_growth_pct"),
+        rounded(F.col("avg_growth") * 100, 1).alias("avg_growth_pct"),
         bn(projected).alias("projected_revenue_mmm"),
         bn(dso / 365 * projected - receivables).alias("wc_gap_mmm"),
         bn(F.when(receivables > 0, receivables * 0.70)).alias("factoring_eligible_mmm"),
-        F.round(debt, 2).alias("debt_ebitda"),
+        rounded(debt, 2).alias("debt_ebitda"),
         debt_zone(debt).alias("debt_ebitda_zone"),
-        F.round("debt_to_equity", 2).alias("debt_equity"),
+        rounded(F.col("debt_to_equity"), 2).alias("debt_equity"),
         bn(F.col("net_debt")).alias("net_debt_mmm"),
-        F.round(margin * 100, 1).alias("ebitda_margin_pct"),
+        rounded(margin * 100, 1).alias("ebitda_margin_pct"),
         financing_rating(dso, debt, margin).alias("factoring_rating"),
     )
 
 
-def scenarios(kpis: DataFrame) -> DataFrame:
+def credit_context(kpis: DataFrame, financials: DataFrame) -> DataFrame:
+    """The same from stored ratios and statements."""
+    return of_companies(company.of_tables(kpis, financials))
+
+
+def scenarios_of(companies: DataFrame) -> DataFrame:
     """Best, worst and mean year of each company's history of at least two years.
 
     The measure is the ten-year growth where the latest year has it, else the EBITDA margin. The first
     year wins ties.
     """
-    latest = latest_rows(kpis).select(
-        "ticker", F.when(F.col("revenue_cagr_10y").isNotNull(), "revenue_cagr_10y").otherwise("ebitda_margin")
-        .alias("metric"))
-    joined = kpis.join(latest, "ticker")
-    value = F.when(F.col("metric") == "revenue_cagr_10y", F.col("revenue_cagr_10y")).otherwise(F.col("ebitda_margin"))
-    rows = joined.select("ticker", "metric", "fiscal_year", value.alias("v"))
-    known = F.when(F.col("v").isNotNull(), F.col("fiscal_year"))
-    return (
-        rows.groupBy("ticker", "metric").agg(
-            F.count(F.lit(1)).alias("years"),
-            F.max_by(known, F.when(F.col("v").isNotNull(), F.struct("v", (-F.col("fiscal_year")).alias("y"))))
-            .alias("best_year"),
-            F.max("v").alias("best"),
-            F.min_by(known, F.when(F.col("v").isNotNull(), F.struct("v", "fiscal_year"))).alias("worst_year"),
-            F.min("v").alias("worst"),
-            F.avg("v").alias("mean"))
-        .filter((F.col("years") >= 2) & F.col("best").isNotNull())
-        .drop("years")
-    )
+    growth = F.col("k")["revenue_cagr_10y"].isNotNull()
+    values = F.transform("years", lambda y: F.struct(
+        F.when(growth, y["revenue_cagr_10y"]).otherwise(y["ebitda_margin"]).alias("v"), y["fiscal_year"].alias("year")))
+    rows = companies.filter(F.size("years") >= 2).select(
+        "ticker", F.when(growth, "revenue_cagr_10y").otherwise("ebitda_margin").alias("metric"),
+        F.filter(values, lambda x: x["v"].isNotNull()).alias("known")).filter(F.size("known") > 0)
+    best = F.array_max(F.transform("known", lambda x: F.struct(x["v"].alias("v"), (-x["year"]).alias("y"))))
+    worst = F.array_min("known")
+    total = F.aggregate("known", F.lit(0.0), lambda s, x: s + x["v"])
+    return rows.select("ticker", "metric", (-best["y"]).alias("best_year"), best["v"].alias("best"), worst["year"].alias("worst_year"),
+                       worst["v"].alias("worst"), (total / F.size("known")).alias("mean"))
+
+
+def scenarios(kpis: DataFrame) -> DataFrame:
+    """The same from stored ratios."""
+    return scenarios_of(company.of_kpis(kpis))

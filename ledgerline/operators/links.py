@@ -6,19 +6,57 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerline.computed import computed
 from ledgerline.functions import links as L
+from ledgerline.functions.numbers import strip
 from ledgerline.functions.years import as_date, year_of_link
 
-ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
+# What is no markup of the page: comments, and elements whose content is not read as tags.
+SILENT = r"(?is)<!--.*?-->|<(script|style|template|textarea)\b.*?</\1\s*>"
+# Attributes up to the end of the tag; quoted values may hold any sign.
+ATTRIBUTES = r"""^([^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+)>"""
+ATTRIBUTE = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>]+)))?"""
+CLOSING = r"(?i)</a\s*>"
+# Where the text of a link that is never closed ends, if no other link begins before.
+BLOCK_END = r"(?i)</?(?:li|p|td|th|tr|div|ul|ol|dl|dd|dt|nav|h[1-6]|table|section|article|header|footer|main|body)\b"
+# Named character references of links and their texts; the ampersand comes last, so nothing is read twice.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": chr(0xA0), "&amp;": "&"}
+
+
+def plain_text(text: Column) -> Column:
+    """Character references, by number and by name, as the characters they stand for."""
+    def sign(number: Column) -> Column:
+        digits = F.substr(number, F.lit(2))
+        code = F.when(F.lower(number).startswith("x"), F.conv(digits, 16, 10).try_cast("long")).otherwise(number.try_cast("long"))
+        known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(chr(0xFFFD))
+
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(1)))
+    text = F.aggregate(numbers, text, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), sign(n)))
+    for name, plain in REFERENCES.items():
+        text = F.replace(text, F.lit(name), F.lit(plain))
+    return text
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """Every link of each page: ``page_id, url, ord, href, text`` (text without tags)."""
-    hrefs = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))
-    texts = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2))
-    both = F.arrays_zip(hrefs.alias("href"), texts.alias("text"))
-    return pages.select("page_id", "url", F.posexplode(both).alias("ord", "a")).select(
-        "page_id", "url", "ord", F.trim("a.href").alias("href"),
-        F.trim(F.regexp_replace("a.text", "<[^>]*>", "")).alias("text"))
+    """Every link of each page: ``page_id, url, ord, href, text`` (text without tags).
+
+    A page is cut where link tags begin. Of each piece the tag's attributes are read one by one, with double, single or no
+    quotes, and the first ``href`` counts; the text runs to the closing tag or, without one, to the end of its block or the
+    next link. Tags without ``href`` and what stands in comments or scripts are no links.
+    """
+    pieces = F.split(F.regexp_replace("html", SILENT, ""), r"(?i)<a(?=[\s/])")
+    cut = pages.select("page_id", "url", F.posexplode(pieces).alias("ord", "piece")).filter("ord > 0")
+    whole = F.col("piece").rlike(ATTRIBUTES)
+    # A quote that is never closed: the tag ends at the first bracket.
+    tags = computed(cut, {"attributes": F.when(whole, F.regexp_extract("piece", ATTRIBUTES, 1)).otherwise(F.regexp_extract("piece", "^([^>]*)>", 1))})
+    parts = [F.regexp_extract_all("attributes", F.lit(ATTRIBUTE), F.lit(i)) for i in range(1, 5)]
+    read = computed(tags, {"names": F.transform(parts[0], F.lower), "double": parts[1], "single": parts[2], "bare": parts[3]},
+                    where=lambda r: F.array_contains(r["names"], "href"))
+    at = F.array_position("names", "href").cast("int")
+    value = F.concat(*[F.element_at(c, at) for c in ("double", "single", "bare")])
+    rest = F.substr("piece", F.length("attributes") + 2)
+    inner = F.when(rest.rlike(CLOSING), F.get(F.split(rest, CLOSING, 2), F.lit(0))).otherwise(F.get(F.split(rest, BLOCK_END, 2), F.lit(0)))
+    return computed(read, {"href": strip(plain_text(value)), "text": strip(plain_text(F.regexp_replace(inner, "<[^>]*>", "")))},
+                    ["page_id", "url", "ord"])
 
 
 def scored(links: DataFrame, year: Column, extension: str = ".pdf", fragment: bool = True) -> DataFrame:
@@ -66,11 +104,13 @@ def first_hit(hits: DataFrame, extension: str = ".pdf") -> DataFrame:
 def snippets(hits: DataFrame, n: int = 3) -> DataFrame:
     """The first ``n`` results of each search as ``title: body``; of equal ranks the smaller text comes first.
 
-    Only the first ``n`` of a search survive in each task before they meet, so no search's results are sorted as a whole.
+    Outer colons and blanks are cut, so a missing title or body leaves no mark; a result without either takes its place but
+    gives no snippet. Only the first ``n`` of a search survive in each task before they meet.
     """
-    each = hits.select("query", "rank", F.concat_ws(": ", "title", "body").alias("snippet"))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    each = hits.select("query", "rank", F.trim(F.concat(said("title"), F.lit(": "), said("body")), F.lit(": ")).alias("snippet"))
     place = F.row_number().over(W.partitionBy("query").orderBy("rank", "snippet"))
-    return each.withColumn("place", place).where(F.col("place") <= n).select("query", "place", "snippet")
+    return each.withColumn("place", place).where(F.col("place") <= n).where("snippet <> ''").select("query", "place", "snippet")
 
 
 # --- remembered addresses ---------------------------------------------------------------------------

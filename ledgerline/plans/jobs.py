@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline import fixed
 from ledgerline.functions.numbers import usable
-from ledgerline.operators import cleaning, facts as facts_ops, flags as flag_ops, kpis as kpi_ops, state, statements
+from ledgerline.operators import cleaning, company, facts as facts_ops, flags as flag_ops, kpis as kpi_ops, state, statements
 from ledgerline.schema import STATEMENT_FIELDS, conform_financials
 
 REPORTED_KPIS = ["current_ratio", "dso", "dpo"]
@@ -71,8 +71,7 @@ def from_reports(existing: DataFrame, extracted: DataFrame) -> Result:
 
 def recompute(financials: DataFrame, rules: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Ratios and findings from stored financials, for companies that need no new data."""
-    kpis = kpi_ops.calculate_kpis(financials)
-    return kpis, flag_ops.evaluate_flags(kpis, financials, rules)
+    return kpi_ops.calculate_kpis(financials), flag_ops.of_companies(company.of_financials(financials), rules)
 
 
 def confirm_corrections(existing: DataFrame, corrections: DataFrame, kept: DataFrame | None = None) -> Result:

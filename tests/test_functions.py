@@ -172,3 +172,37 @@ def test_links(value):
 
 def test_dates_are_arguments(value):
     assert value(default_report_year(F.lit(datetime.date(2020, 8, 1)))) == 2019
+
+
+def test_relative_addresses_against_the_standard_library(spark):
+    import random
+    from urllib.parse import urljoin
+
+    rng = random.Random(8)
+    hrefs = ["/".join(rng.choice(["..", ".", "a", "b", "", "c.pdf"]) for _ in range(rng.randint(1, 6))) + rng.choice(["", "?x=1", "#t", "?x=/../y#z", "?", "#"])
+             for _ in range(600)]
+    hrefs = [h for h in hrefs if h and not h.startswith("/")]
+    df = spark.createDataFrame([(h,) for h in hrefs], "href string")
+    for r in df.select("href", L.absolute(F.col("href"), F.lit("https://h.co")).alias("full")).collect():
+        assert r["full"] == urljoin("https://h.co/", r["href"]), r["href"]
+
+
+def test_link_tags_in_every_form(spark):
+    from ledgerline.operators import links as ops
+
+    html = """<!-- <a href="/no">x</a> --><script>var a = '<a href="/no">';</script>
+    <A HREF=/one.pdf class=x>One</A><a title='a "quoted" > b' href = "/two.pdf?a=1&amp;b=2#&#x74;">Two <b>bold</b> &lt;&amp;lt;&gt;</a>
+    <a name=here>anchor</a><a\thref='/it"s' href="/second">three</a><li><a href="/four">four</li><li>after</li>
+    <abbr href="/no">no</abbr><a data-href="/no">no</a><a href>empty</a><a href="/five>broken</a><p><a href="/six/">six
+    <a href=/seven/>seven<p>text"""
+    rows = ops.anchors(spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", ""), (4, "u", "<a href=x" * 3)], "page_id int, url string, html string")).orderBy("page_id", "ord").collect()
+    assert [(r["page_id"], r["href"], r["text"]) for r in rows] == [
+        (1, "/one.pdf", "One"), (1, "/two.pdf?a=1&b=2#t", "Two bold <&lt;>"), (1, '/it"s', "three"), (1, "/four", "four"), (1, "", "empty"),
+        (1, "/five", "broken"), (1, "/six/", "six"), (1, "/seven/", "seven")]
+
+
+def test_character_references(spark, value):
+    from ledgerline.operators.links import plain_text
+
+    for text, plain in [("&#225;&#xE1;&#x1F600;", "áá😀"), ("&amp;#39;&amp;amp;", "&#39;&amp;"), ("&#0;&#xD800;&#9999999;", "�" * 3), ("a & b &copy;", "a & b &copy;")]:
+        assert value(plain_text(F.col("t")), t=text) == plain

@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline import fixed
-from ledgerline.operators import cleaning, credit, flags, kpis, views
+from ledgerline import fixed, schema
+from ledgerline.operators import cleaning, company, credit, flags, kpis, views
 from ledgerline.schema import FINANCIALS, STATEMENT_FIELDS, conform_financials
 
 
@@ -219,3 +219,56 @@ def test_a_failing_entry_of_the_registry_itself(spark, monkeypatch):
     monkeypatch.setitem(kpis.REGISTRY, "fails", fails)
     out = kpis.calculate_kpis(fin(spark, [{"fiscal_year": 2024, "revenue": 10.0, "net_income": 2.0}])).first()
     assert out["fails"] is None and sum(v is not None for v in out.asDict().values()) > 2
+
+
+def test_one_walk_over_the_years_reads_the_source_once(spark, tmp_path):
+    rows = [{"ticker": t, "fiscal_year": y, "revenue": 10.0 * y, "net_income": (-1.0) ** y, "operating_cash_flow": -1.0} for t in "ab" for y in (2021, 2022, 2023)]
+    fin(spark, rows).write.parquet(str(tmp_path / "fin"))
+    stored = schema.conform_financials(spark.read.parquet(str(tmp_path / "fin")))
+    states = company.of_financials(stored)
+    for out in (flags.of_companies(states), credit.of_companies(states), credit.scenarios_of(states), flags.checklist_of(states)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan") == 1 and "Join" not in plan
+        executed = out._jdf.queryExecution().executedPlan().toString()
+        assert executed.count("Exchange hashpartitioning") == 1
+
+
+def test_states_from_tables_and_from_statements_agree(spark):
+    rng = random.Random(3)
+    rows = [{"ticker": f"t{c}", "fiscal_year": 2000 + y, "revenue": rng.choice([None, 0.0, 100.0, 250.0]), "net_income": rng.choice([None, -5.0, 5.0]),
+             "operating_cash_flow": rng.choice([None, -5.0, 5.0]), "receivables": rng.choice([None, 20.0]), "inventory": 7.0, "cogs": rng.choice([None, 30.0]),
+             "accounts_payable": 3.0, "gross_profit": rng.choice([None, 40.0])} for c in range(40) for y in range(rng.randint(1, 6))]
+    f = fin(spark, rows)
+    k = kpis.calculate_kpis(f)
+    states = company.of_financials(f)
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(flags.of_companies(states)) == order(flags.evaluate_flags(k, f))
+    assert order(credit.of_companies(states)) == order(credit.credit_context(k, f))
+    assert order(credit.scenarios_of(states)) == order(credit.scenarios(k))
+    # Runs of losses, walked by hand.
+    margins = {}
+    for r in k.orderBy("ticker", "fiscal_year").collect():
+        margins.setdefault(r["ticker"], []).append((r["fiscal_year"], r["net_profit_margin"]))
+    want = {}
+    for t, years in margins.items():
+        run = longest = 0
+        last = None
+        for y, m in years:
+            if m is not None:
+                run = run + 1 if m < 0 else 0
+                longest, last = max(longest, run), y if m < 0 else last
+        if longest:
+            want[t] = (longest, last)
+    assert {r["ticker"]: (r["longest_run"], r["last_loss_year"]) for r in flags.loss_streaks(k).collect()} == want
+
+
+def test_rounding_is_of_the_exact_value(spark, value):
+    from ledgerline.functions.numbers import billions, rounded
+
+    for v, digits in [(2.675, 2), (0.25, 1), (0.35, 1), (-0.25, 1), (1e22 / 3, 1), (0.125, 2), (-2.5, 0), (1234567.0005, 3)]:
+        assert value(rounded(F.col("v"), digits), v=v) == round(v, digits)
+    assert value(rounded(F.col("v"), 1), v=float("inf")) == float("inf") and value(billions(F.col("v")), v=2500500000.0) == round(2.5005, 3)
+
+
+def test_growth_without_figures_is_ten_per_cent(spark):
+    assert credit.of_companies(company.of_financials(fin(spark, [{"fiscal_year": 2024, "revenue": 5.0}]))).first()["avg_growth_pct"] == 10.0

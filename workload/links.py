@@ -11,11 +11,23 @@ from workload.inputs import duck, load, spark_sql
 from workload.registry import query
 
 
-@query("""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a\\s*>', 1)) AS href,
-  unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a\\s*>', 2)) AS text FROM pages)
-SELECT page_id, trim(href) AS href, trim(regexp_replace(text, '<[^>]*>', '', 'g')) AS text, count(*) AS n FROM a GROUP BY 1, 2, 3""")
+# The pages' links in the forms that sites use: quoted either way or not at all, beside other attributes, with character
+# references, and never closed.
+ODD_PAGES = """SELECT page_id, url, CASE page_id % 5
+  WHEN 0 THEN html
+  WHEN 1 THEN replace(replace(html, '<a href="', '<A class=nav HREF='), '">', '>')
+  WHEN 2 THEN replace(replace(html, '<a href="', '<a title="more > less" data-x="1" href=\\''), '">', '\\'>')
+  WHEN 3 THEN replace(html, '<a href="/', '<a href="/p?a=1&amp;b=&#x2F;&#50;')
+  ELSE replace(html, '</a>', '') END AS html FROM {pages}"""
+
+
+# The check cuts the stored pages at their one form of link and writes out what each odd form adds to it.
+@query("""WITH a AS (SELECT page_id, unnest(string_split(html, '<a href="')[2:]) AS piece FROM pages),
+l AS (SELECT page_id, split_part(piece, '"', 1) AS href, split_part(substr(piece, strpos(piece, '>') + 1), '</a>', 1) AS text FROM a)
+SELECT page_id, CASE WHEN page_id % 5 = 3 THEN '/p?a=1&b=/2' || substr(href, 2) ELSE href END AS href, trim(text) AS text, count(*) AS n FROM l GROUP BY 1, 2, 3""")
 def page_links(spark, sf_dir):
-    return ops.anchors(load(spark, sf_dir, "pages")).groupBy("page_id", "href", "text").agg(F.count(F.lit(1)).alias("n"))
+    found = ops.anchors(spark_sql(spark, sf_dir, ODD_PAGES))
+    return found.groupBy("page_id", "href", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
 # One report link per order on the customer's site; names, texts and years from the order.
@@ -54,10 +66,10 @@ def best_yearly_link(spark, sf_dir):
 
 @query(f"""WITH {SCORED} SELECT ord, (CASE WHEN pr IN ('1-URGENT', '2-HIGH', '5-LOW', '3-MEDIUM') THEN 1 ELSE 0 END + CASE WHEN pr IN ('2-HIGH', '3-MEDIUM') OR pr = '1-URGENT' THEN 2 ELSE 0 END
   + CASE WHEN contains(href, '2016') OR contains(href, '2015') THEN 1 ELSE 0 END
-  + CASE WHEN pr <> '5-LOW' THEN 5 ELSE 0 END
-  + CASE WHEN st = 'F' THEN 1 ELSE 0 END) / 10e0 AS relevance FROM s WHERE pr <> '4-NOT SPECIFIED'""")
+  + CASE pr WHEN '5-LOW' THEN 0 WHEN '4-NOT SPECIFIED' THEN CASE WHEN contains(href, '2016') OR contains(href, '2015') THEN 5 ELSE 2 END ELSE 5 END
+  + CASE WHEN st = 'F' THEN 1 ELSE 0 END) / 10e0 AS relevance FROM s""")
 def link_relevance(spark, sf_dir):
-    links = spark_sql(spark, sf_dir, LINKS).filter(~F.col("href").contains("trimestral"))
+    links = spark_sql(spark, sf_dir, LINKS)
     full = L.absolute(F.col("href"), L.origin_of(F.col("url")))
     domain = F.concat(F.lit("https://site"), "page_id", F.lit(".com/"))
     size = F.when(F.col("text") == "Balance General", 250000).otherwise(F.lit(None))
@@ -75,7 +87,7 @@ def link_names(spark, sf_dir):
                         L.is_partial_year(href).alias("partial"), L.tier(href).alias("tier"))
 
 
-OLD_LINKS = "SELECT CAST(o_custkey AS STRING) AS slug, CAST(year(o_orderdate) AS INT) AS year, CAST(min(o_orderkey) AS STRING) AS url FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1, 2"
+OLD_LINKS = "SELECT CAST(o_custkey AS STRING) AS slug, CAST(year(o_orderdate) AS INT) AS year, CAST(min(o_orderkey) AS STRING) AS url FROM {orders} WHERE o_orderstatus <> 'O' GROUP BY 1, 2"
 NEW_LINKS = "SELECT CAST(o_custkey AS STRING) AS slug, CAST(year(o_orderdate) AS INT) AS year, CAST(min(o_orderkey) AS STRING) AS url FROM {orders} WHERE o_orderstatus = 'O' GROUP BY 1, 2"
 
 
@@ -87,6 +99,33 @@ def yearly_link_merge(spark, sf_dir):
     return kept.join(ops.merge_year_links(old, new, newer_wins=True).withColumnRenamed("url", "replaced"), ["slug", "year"])
 
 
+# Relative addresses with steps in every place, and what they lead to.
+STEPS = [("1-URGENT", "../a/./b/../{n}.pdf", "/a/{n}.pdf"), ("2-HIGH", "x/../../{n}//y/..?q=1#top", "/{n}/?q=1#top"), ("3-MEDIUM", "./docs/20{n}/..", "/docs/"),
+         ("4-NOT SPECIFIED", "/as/../is/{n}", "/as/../is/{n}"), ("5-LOW", "?p={n}", "/?p={n}")]
+
+
+def _steps(number: str, at: int) -> str:
+    whens = " ".join(f"WHEN '{s[0]}' THEN '" + s[at].replace("{n}", f"' || {number} || '") + "'" for s in STEPS)
+    return f"CASE o_orderpriority {whens} END"
+
+
+STEP_LINKS = f"""SELECT o_orderkey AS ord, 'https://www.site' || CAST(o_custkey AS STRING) || '.com/in/formes?x=1' AS url,
+  {_steps("CAST(o_orderkey AS STRING)", 1)} AS href, CAST(o_orderdate AS STRING) AS day FROM {{orders}}"""
+
+
+@query(f"""SELECT o_orderkey AS ord, 'https://www.site' || o_custkey || '.com' || {_steps("o_orderkey", 2)} AS address,
+  o_custkey = 7 AS own, 'r/' || year(o_orderdate) || '/f-' || year(o_orderdate) || '.pdf' AS dated,
+  substr(sha256('https://h/' || o_orderkey || '/download?x'), 1, 8) || '_download.pdf' AS file_name FROM orders""")
+def link_addresses(spark, sf_dir):
+    """Full addresses, whether they are of one site, stored patterns with a year put in, and names of nameless files."""
+    links = spark_sql(spark, sf_dir, STEP_LINKS)
+    full = L.absolute(F.col("href"), L.origin_of(F.col("url")))
+    nameless = F.concat(F.lit("https://h/"), F.col("ord").cast("string"), F.lit("/download?x"))
+    year = F.substring("day", 1, 4).cast("int")
+    return links.select("ord", full.alias("address"), L.on_domain(full, F.lit("site7.com")).alias("own"),
+                        L.url_for_year(F.lit("r/*/f-2001.pdf"), year).alias("dated"), L.safe_file_name(nameless).alias("file_name"))
+
+
 # Search results: a search per customer, a result per order.
 HITS = """SELECT CAST(o_custkey AS STRING) AS query, o_orderkey AS rank, o_orderpriority AS title, CAST(o_totalprice AS STRING) AS body,
   'http://h/' || CAST(o_orderkey AS STRING) || CASE o_orderstatus WHEN 'F' THEN '.pdf' WHEN 'O' THEN '.html' ELSE '.PDF?d=1' END AS href FROM {orders}"""
@@ -97,11 +136,14 @@ def first_pdf_hit(spark, sf_dir):
     return ops.first_hit(spark_sql(spark, sf_dir, HITS))
 
 
-@query(f"""SELECT query, CAST(place AS INT) AS place, snippet FROM (SELECT query, title || ': ' || body AS snippet,
-  row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM ({duck(HITS).replace("CAST(o_totalprice AS STRING)", "CAST(o_custkey AS STRING)")})) WHERE place <= 3""")
+TEXTS = HITS.replace("o_orderpriority AS title", "CASE o_orderstatus WHEN 'P' THEN '' ELSE o_orderpriority END AS title").replace(
+    "CAST(o_totalprice AS STRING) AS body", "CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN NULL WHEN o_orderpriority = '1-URGENT' THEN '' ELSE CAST(o_custkey AS STRING) END AS body")
+
+
+@query(f"""SELECT query, CAST(place AS INT) AS place, snippet FROM (SELECT query, CASE WHEN title = '' THEN coalesce(body, '') WHEN coalesce(body, '') = '' THEN title ELSE title || ': ' || body END AS snippet,
+  row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM ({duck(TEXTS)})) WHERE place <= 3 AND snippet <> ''""")
 def search_snippets(spark, sf_dir):
-    text = HITS.replace("CAST(o_totalprice AS STRING)", "CAST(o_custkey AS STRING)")
-    return ops.snippets(spark_sql(spark, sf_dir, text))
+    return ops.snippets(spark_sql(spark, sf_dir, TEXTS))
 
 
 # Narrative: a report per source, a page per document; the words are ones the texts hold.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline import fixed
-from ledgerline.operators import cleaning, credit, flags, kpis, views
+from ledgerline.operators import cleaning, company, credit, flags, kpis, views
 from ledgerline.operators.labels import critical_fields
 from ledgerline.schema import STATEMENT_FIELDS, conform_financials
 from workload.inputs import FINANCIALS, duck, financials, load
@@ -147,53 +147,56 @@ flags AS ({FLAG_ROWS}
 
 @query(FLAGS_SQL + "SELECT ticker, flag_id, severity, kpi, round(kpi_value, 9) AS kpi_value, CAST(fiscal_year AS INT) AS fiscal_year FROM flags")
 def red_flags(spark, sf_dir):
-    fin = financials(spark, sf_dir)
-    found = flags.evaluate_flags(kpis.calculate_kpis(fin), fin)
+    found = flags.of_companies(company.of_financials(financials(spark, sf_dir)))
     return found.select("ticker", "flag_id", "severity", "kpi", F.round("kpi_value", 9).alias("kpi_value"), "fiscal_year")
 
 
 @query(FLAGS_SQL + "SELECT severity, count(*) AS n, count(DISTINCT ticker) AS companies FROM flags GROUP BY 1")
 def red_flag_summary(spark, sf_dir):
-    fin = financials(spark, sf_dir)
-    found = flags.evaluate_flags(kpis.calculate_kpis(fin), fin)
+    found = flags.of_companies(company.of_financials(financials(spark, sf_dir)))
     return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("companies"))
 
 
 @query(f"WITH {KPI_CTES}, {RUNS} SELECT * FROM runs")
 def loss_streaks(spark, sf_dir):
-    return flags.loss_streaks(kpi_table(spark, sf_dir))
+    return company.of_financials(financials(spark, sf_dir)).filter("losses IS NOT NULL").select("ticker", "losses.*")
 
 
 @query(FLAGS_SQL + f""", rules AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{r['id']}')" for i, r in enumerate(fixed.RULES['sectors']['healthcare']))}) t(ord, flag_id))
 SELECT c.ticker, CAST(rules.ord AS INT) AS ord, rules.flag_id, coalesce(flags.severity, 'OK') AS severity
 FROM (SELECT DISTINCT ticker FROM fin) c CROSS JOIN rules LEFT JOIN flags ON flags.ticker = c.ticker AND flags.flag_id = rules.flag_id""")
 def rule_checklist(spark, sf_dir):
-    fin = financials(spark, sf_dir)
-    k = kpis.calculate_kpis(fin)
-    listed = flags.rule_checklist(fin.select("ticker").distinct(), flags.threshold_flags(k))
+    states = company.of_financials(financials(spark, sf_dir))
+    listed = flags.checklist_of(states)
     return listed.select("ticker", "ord", "flag_id", "severity")
 
 
+def exact(value: str, digits: int) -> str:
+    """The check's rounding: a decimal text of the exact value, halves to even."""
+    return f"CAST(format('{{{{:.{digits}f}}}}', {value}) AS DOUBLE)".replace("{{", "{").replace("}}", "}")
+
+
 CREDIT_SQL = f"""
 WITH {KPI_CTES}, {LAST}, {LAST_FIN},
 c2 AS (SELECT ticker, fiscal_year, cash_conversion_cycle - lag(cash_conversion_cycle) OVER (PARTITION BY ticker ORDER BY fiscal_year) AS delta,
    row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC) AS back FROM k WHERE cash_conversion_cycle IS NOT NULL),
-gr AS (SELECT ticker, coalesce(greatest(-0.10, least(avg(revenue_growth_yoy), 0.40)), 0.10) AS g FROM k GROUP BY 1),
+gr AS (SELECT ticker, CASE WHEN avg(revenue_growth_yoy) IS NULL THEN 0.10 ELSE greatest(-0.10, least(avg(revenue_growth_yoy), 0.40)) END AS g FROM k GROUP BY 1),
 x AS (
   SELECT last.*, coalesce(lf.revenue, 0) AS rev, coalesce(lf.receivables, 0) AS ar, gr.g AS g, c2.delta AS delta,
     coalesce(lf.long_term_debt, 0) + coalesce(lf.short_term_debt, 0) - coalesce(lf.cash, 0) AS nd
   FROM last JOIN lastfin lf USING (ticker) JOIN gr USING (ticker) LEFT JOIN c2 ON c2.ticker = last.ticker AND c2.back = 1)
-SELECT ticker, round(dso, 1) AS dso_days,
+SELECT ticker, {exact('dso', 1)} AS dso_days,
   CASE WHEN dso IS NULL THEN 'N/D' WHEN dso < 90 THEN 'Excelente' WHEN dso <= 120 THEN 'Bueno' WHEN dso <= 210 THEN 'Rango' ELSE 'Cartera' END AS dso_zone,
-  round(cash_conversion_cycle, 1) AS ccc_days,
+  {exact('cash_conversion_cycle', 1)} AS ccc_days,
   CASE WHEN delta IS NULL THEN 'N/D' WHEN abs(delta) < 5 THEN 'estable' WHEN delta > 0 THEN 'creciente' ELSE 'decreciente' END AS ccc_trend,
-  round(current_ratio, 2) AS current_ratio, round(g * 100, 1) AS avg_growth_pct,
-  round(debt_to_ebitda, 2) AS debt_ebitda,
+  {exact('current_ratio', 2)} AS current_ratio, {exact('g * 100', 1)} AS avg_growth_pct,
+  {exact('debt_to_ebitda', 2)} AS debt_ebitda,
   CASE WHEN debt_to_ebitda IS NULL THEN 'N/D' WHEN debt_to_ebitda < 3.5 THEN 'Saludable' WHEN debt_to_ebitda < 5 THEN 'Vigilancia' ELSE 'Estres' END AS debt_ebitda_zone,
-  round(debt_to_equity, 2) AS debt_equity, round(ebitda_margin * 100, 1) AS ebitda_margin_pct,
-  round(rev / 1e9, 1) AS revenue_mmm, round(nd / 1e9, 1) AS net_debt_mmm,
-  round(CASE WHEN dso IS NOT NULL AND rev > 0 THEN (dso / 365 * (rev * (1 + g)) - ar) / 1e9 END, 1) AS wc_gap_mmm,
-  round(CASE WHEN ar > 0 THEN ar * 0.7 / 1e9 END, 1) AS factoring_eligible_mmm,
+  {exact('debt_to_equity', 2)} AS debt_equity, {exact('ebitda_margin * 100', 1)} AS ebitda_margin_pct,
+  {exact('rev / 1e9', 1)} AS revenue_mmm, {exact('nd / 1e9', 1)} AS net_debt_mmm, {exact('ar / 1e9', 1)} AS receivables_mmm,
+  {exact('CASE WHEN dso IS NOT NULL AND rev > 0 THEN rev * (1 + g) END / 1e9', 1)} AS projected_revenue_mmm,
+  {exact('CASE WHEN dso IS NOT NULL AND rev > 0 THEN (dso / 365 * (rev * (1 + g)) - ar) / 1e9 END', 1)} AS wc_gap_mmm,
+  {exact('CASE WHEN ar > 0 THEN ar * 0.7 / 1e9 END', 1)} AS factoring_eligible_mmm,
   CASE WHEN dso > 150 AND debt_to_ebitda < 3.5 AND ebitda_margin > 0.08 THEN 'CANDIDATO PRIORITARIO'
        WHEN dso > 150 AND debt_to_ebitda IS NOT NULL AND ebitda_margin IS NOT NULL AND (debt_to_ebitda > 5 OR ebitda_margin < 0.05) THEN 'CANDIDATO CON RESTRICCIONES'
        WHEN debt_to_ebitda > 5 AND ebitda_margin <= 0 AND dso IS NOT NULL THEN 'NO RECOMENDADO'
@@ -205,10 +208,9 @@ FROM x
 
 @query(CREDIT_SQL)
 def credit_context(spark, sf_dir):
-    fin = financials(spark, sf_dir)
-    out = credit.credit_context(kpis.calculate_kpis(fin), fin)
+    out = credit.of_companies(company.of_financials(financials(spark, sf_dir)))
     first_word = {c: F.regexp_extract(c, "^(N/D|[A-Za-z]+)", 1) for c in ("dso_zone", "debt_ebitda_zone")}
-    return out.withColumns(first_word).drop("receivables_mmm", "projected_revenue_mmm")
+    return out.withColumns(first_word)
 
 
 @query(f"""WITH {KPI_CTES}, {LAST},
@@ -222,7 +224,7 @@ SELECT ticker, metric, max(CASE WHEN b = 1 THEN fiscal_year END) AS best_year, r
    max(CASE WHEN w = 1 THEN fiscal_year END) AS worst_year, round(min(v), 6) AS worst, round(avg(v), 6) AS mean
 FROM s WHERE years >= 2 GROUP BY 1, 2 HAVING max(v) IS NOT NULL""")
 def scenarios(spark, sf_dir):
-    out = credit.scenarios(kpi_table(spark, sf_dir))
+    out = credit.scenarios_of(company.of_financials(financials(spark, sf_dir)))
     return out.withColumns({c: F.round(c, 6) for c in ("best", "worst", "mean")})
 
 

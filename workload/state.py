@@ -161,7 +161,7 @@ EXTRACTED = """SELECT CAST(l_orderkey AS STRING) AS ticker, l_linenumber AS fisc
 KEPT = """SELECT CAST(o_orderkey AS STRING) AS ticker, CAST(month(o_orderdate) AS INT) AS fiscal_year, 'revenue' AS canonical, o_totalprice * 1.371377e5 AS value FROM {orders}"""
 
 
-@query(f"""SELECT e.ticker, e.fiscal_year, e.canonical, round(CASE WHEN coalesce(e.value, 0) = 0 AND k.value IS NOT NULL THEN k.value ELSE coalesce(e.value, 0) END / 1e9, 3) AS value_bn
+@query(f"""SELECT e.ticker, e.fiscal_year, e.canonical, CAST(format('{{:.3f}}', CASE WHEN coalesce(e.value, 0) = 0 AND k.value IS NOT NULL THEN k.value ELSE coalesce(e.value, 0) END / 1e9) AS DOUBLE) AS value_bn
 FROM ({duck(EXTRACTED)}) e LEFT JOIN ({duck(KEPT)}) k USING (ticker, fiscal_year, canonical)""")
 def form_defaults(spark, sf_dir):
     return state.form_defaults(spark_sql(spark, sf_dir, EXTRACTED), spark_sql(spark, sf_dir, KEPT))
