@@ -6,7 +6,8 @@ both raised by ``SHRINK``, so a bucket seen rarely says little. A document's sco
 is kept if no base rule fails and the score is ``THRESHOLD`` or more. Everything is a DataFrame operation.
 
 The raw counts cover every document, the target every trusted one; the ratios, one a bucket, reach the tasks as one array that a document's
-n-grams look up in place. Of the texts, only counts of buckets cross the network, unless trusted ids are too many to broadcast.
+n-grams look up in place. Counts of buckets cross the network, and the texts whose id falls on a spot of the map of trusted ids, which
+has a fixed size: trusted texts and few others meet their labels, in the same way at every size.
 
 Edge cases: null and empty texts have no words and fail the base rules. Documents without n-grams score zero. Without trusted
 documents all ratios are zero. Rows are scored one by one, so repeated rows and null ids keep their places. Labels that
@@ -23,6 +24,8 @@ from ledgerline.llm.durable import stored
 BUCKETS = 1 << 18
 #: Counts added to both sides of a ratio, and the least mean ratio that is kept.
 SHRINK, THRESHOLD = 10.0, -0.11
+#: Size of the map of trusted ids (1 MB of bits).
+MAP_BITS = 23
 #: Fixed values of the base rules.
 WORD, SYMBOL, WINDOW = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]", 5
 LEAST_WORDS, REPEATED_PERCENT = 10, 20
@@ -67,17 +70,39 @@ def base_counts(words: DataFrame) -> DataFrame:
     return found.select("id", "hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
 
+def _spot(id_: Column) -> tuple[Column, Column]:
+    """Page and bit of an id in a map of ids; bits beyond a page of 32768 are Spark's own pages."""
+    at = F.pmod(F.xxhash64(id_.cast("string")), F.lit(1 << MAP_BITS))
+    return F.shiftright(at, 15).cast("int"), at.bitwiseAND(32767)
+
+
+def ids_map(ids: DataFrame) -> Column:
+    """Which of 2 ** MAP_BITS spots hold an id: pages of bits, of fixed size whatever the number of ids."""
+    page, bit = _spot(F.col("id"))
+    pages = ids.select(page.alias("page"), bit.alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return pages.agg(F.map_from_entries(F.collect_list(F.struct("page", "bits"))).alias("pages")).scalar()
+
+
+def may_hold(pages: Column, id_: Column) -> Column:
+    """The id's spot is set: true for every id of the map, and for few others while the map is mostly empty."""
+    page, bit = _spot(id_)
+    byte = F.conv(F.hex(F.substr(F.try_element_at(pages, page), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+
+
 def ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
            shrink: float = SHRINK) -> DataFrame:
     """``bucket`` and ``ratio`` of every bucket that occurs."""
     good = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
             .groupBy("id").agg(F.min("label").alias("label")).where("label = 1").select("id", F.lit(1).alias("good")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # Null ids would all meet in one task of a join; they are never trusted.
-    marked = rows.where("id is not null").join(good, "id", "left").unionAll(rows.where("id is null").withColumn("good", F.lit(None).cast("int")))
-    hashed = with_words(marked.select(F.struct("id", "good").alias("marked"), "text"), "marked", "text")
-    each = hashed.select("id.good", F.explode(ngrams(F.col("hashes"))).alias("bucket"))
-    counts = stored(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")))
+    # Only texts whose id may be trusted meet the labels; the same join at every size. Null ids are never trusted.
+    marked = rows.where(F.col("id").isNotNull() & may_hold(ids_map(good), F.col("id")))
+    trusted = marked.join(good.withColumn("id", F.col("id").cast(dict(rows.dtypes)["id"])).hint("merge"), "id", "left_semi")
+    buckets = lambda texts, own: with_words(texts, "id", "text").select(
+        F.lit(own).alias("own"), F.explode(ngrams(F.col("hashes"))).alias("bucket"))
+    each = buckets(rows, 0).unionAll(buckets(trusted, 1))
+    counts = stored(each.groupBy("bucket").agg(F.count_if(F.col("own") == 0).alias("raw"), F.count_if(F.col("own") == 1).alias("target")))
     whole = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     share = (whole["target"] or 0) / (whole["raw"] or 1)
     return counts.select("bucket", F.log((F.col("target") + shrink) / (F.col("raw") * share + shrink)).alias("ratio"))

@@ -51,6 +51,50 @@ def test_quality_counts_and_odd_rows(spark, docs):
     assert {r.score for r in quality.assess(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_quality_scores_against_counting_by_hand(spark):
+    import math
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(vocabulary[:15] if i % 3 else vocabulary) for _ in range(rng.randint(0, 40))) for i in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, texts[3]), (900, None)]
+    labels = [(i, i % 3 != 0) for i in range(0, 150, 2)] + [(4, 0), (5000, 1), (None, 1)]
+    trusted = {i for i, q in labels if q and i is not None} - {i for i, q in labels if not q}
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+
+    def buckets(text):
+        hashes = [signed(xxh64_intdigest(w.encode(), 42)) for w in (text or "").split()]
+        two = [signed(xxh64_intdigest(struct.pack("<q", b), xxh64_intdigest(struct.pack("<q", a), 42))) for a, b in zip(hashes, hashes[1:])]
+        return [h % quality.BUCKETS for h in hashes + two]
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(buckets(t))
+        if i in trusted:
+            target.update(buckets(t))
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log((target[b] + quality.SHRINK) / (raw[b] * share + quality.SHRINK)) for b in raw}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(q)) for i, q in labels], "doc_id long, quality int")
+    for r in quality.assess(frame, known).collect():
+        text = texts[r.id] if r.id is not None and r.id < 200 else texts[3] if r.id is None else None
+        own = buckets(text)
+        score = sum(ratio[b] for b in own) / len(own) if own else 0.0
+        n, *_, repeated = counted(text or "")
+        assert r.score == pytest.approx(score, abs=1e-6) and r.kept == (n >= 10 and 100 * repeated <= 20 * n and r.score >= quality.THRESHOLD)
+
+
+def test_map_of_ids_misses_none(spark):
+    ids = spark.range(0, 30_000, 3).select(F.col("id"))
+    held = spark.range(30_000).withColumn("held", quality.may_hold(quality.ids_map(ids), F.col("id"))).where("held").select("id").collect()
+    found = {r.id for r in held}
+    assert found >= set(range(0, 30_000, 3)) and len(found) < 10_100
+    assert spark.range(5).where(quality.may_hold(quality.ids_map(ids.limit(0)), F.col("id"))).count() == 0
+
+
 def test_quality_prefers_what_resembles_the_trusted(spark):
     rng = random.Random(2)
     good = [" ".join(rng.choice(["tree", "river", "stone", "cloud", "road"]) for _ in range(40)) for _ in range(60)]
