@@ -66,6 +66,11 @@ def incomplete_years(financials: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def missing_critical_fields(financials: DataFrame, critical: Column) -> DataFrame:
-    """Per company: required fields that hold no value in any year. ``critical`` is an array column."""
-    counts = field_completeness(financials)
-    return counts.select("ticker", F.array_except(critical, F.col("fields_extracted")).alias("missing_critical"))
+    """Per company: required fields that hold no value in any year.
+
+    ``critical`` is an array column over ``financials``, the same in all years of a company.
+    """
+    present = F.array_compact(F.array(*[F.when(F.col(f"n_{f}") > 0, F.lit(f)) for f in STATEMENT_FIELDS]))
+    counts = financials.withColumn("_critical", critical).groupBy("ticker").agg(
+        F.first("_critical").alias("critical"), *[F.count(f).alias(f"n_{f}") for f in STATEMENT_FIELDS])
+    return counts.select("ticker", F.array_except("critical", present).alias("missing_critical"))

@@ -77,17 +77,18 @@ def companies_without_data(facts: DataFrame, companies: DataFrame) -> DataFrame:
 def profile(facts: DataFrame, companies: DataFrame) -> DataFrame:
     """Fiscal years of annual filings over all tags and units, with a reason when there are none.
 
-    The filing's own ``fy`` is used here. Distinct years are found before the exchange.
+    The filing's own ``fy`` is used here.
     """
     annual = (F.col("form") == "10-K") & (F.col("fp") == "FY") & F.col("fy").isNotNull()
-    years = facts.filter(annual).select("ticker", "fy").distinct().groupBy("ticker").agg(
-        F.count(F.lit(1)).cast("int").alias("fy_count"), F.min("fy").alias("earliest_fy"), F.max("fy").alias("latest_fy"))
-    any_fact = facts.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_facts"))
+    # The years of a company are few, so one aggregation over the facts finds both.
+    seen = facts.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_facts"), F.collect_set(F.when(annual, F.col("fy"))).alias("fys")).select(
+        "ticker", "n_facts", F.when(F.size("fys") > 0, F.size("fys")).alias("fy_count"),
+        F.array_min("fys").alias("earliest_fy"), F.array_max("fys").alias("latest_fy"))
     found = F.col("fy_count").isNotNull()
     reason: Column = F.when(found, None).when(F.col("n_facts").isNull(), "no facts found").otherwise(
         "no annual filing entries")
     return (
-        companies.select("ticker").join(any_fact, "ticker", "left").join(years, "ticker", "left")
+        companies.select("ticker").join(seen, "ticker", "left")
         .select("ticker", found.alias("ok"), F.coalesce("fy_count", F.lit(0)).alias("fy_count"),
                 "earliest_fy", "latest_fy", reason.alias("reason"))
     )

@@ -39,12 +39,13 @@ def to_usd(df: DataFrame, rates: DataFrame, amount: str = "amount", currency: st
            year: str = "fiscal_year") -> DataFrame:
     """Add ``rate`` and ``usd``. USD amounts stay as they are; without a rate ``usd`` is null.
 
-    Rates are one row for each currency and year, so a few thousand at most: they go to the amounts, which are not exchanged.
+    A currency and year has one rate (of several the smallest), so no amount is multiplied. Rates carry no broadcast hint:
+    Spark checks their size, and joins by exchange beyond its limit.
     """
-    r = rates.select(F.col("currency").alias("_currency"), F.col("year").alias("_year"), F.col("rate"))
+    r = rates.groupBy(F.col("currency").alias("_currency"), F.col("year").alias("_year")).agg(F.min("rate").alias("rate"))
     own = F.col(currency) == "USD"
     return (
-        df.join(F.broadcast(r), (F.col(currency) == F.col("_currency")) & (F.col(year) == F.col("_year")) & ~own, "left")
+        df.join(r, (F.col(currency) == F.col("_currency")) & (F.col(year) == F.col("_year")) & ~own, "left")
         .withColumn("usd", F.when(own, F.col(amount)).otherwise(F.col(amount) * F.col("rate")))
         .drop("_currency", "_year")
     )

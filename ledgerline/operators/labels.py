@@ -117,29 +117,45 @@ def candidates(seen: DataFrame) -> DataFrame:
 def companies_seen(seen: DataFrame) -> DataFrame:
     """Per label the distinct companies in order of first sighting, as an array for export.
 
-    The array is as long as the label has companies; use :func:`sightings` itself where that is large.
+    The array is as long as the label has companies; the store itself (:func:`merge_sightings`) holds them as rows.
     """
     ordered = F.array_sort(F.collect_list(F.struct("at", "company")))
     return seen.groupBy("key").agg(F.transform(ordered, lambda x: x["company"]).alias("companies_seen"))
 
 
+# The store of candidates has one row per label and company: ``key, company, seen, first, at, day`` as ``sightings`` gives
+# them, with the batch before the place in it. It grows by partial aggregation; no label's companies ever meet.
+
+def in_batch(seen: DataFrame, batch: int) -> DataFrame:
+    """Sightings of one run, placed after those of all runs with a smaller number."""
+    return seen.withColumn("at", F.struct(F.lit(batch).cast("bigint").alias("batch"), F.col("at").alias("at")))
+
+
+def merge_sightings(store: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The store with the sightings of another run: counts add up, the first sighting stays, the last day counts."""
+    return store.unionByName(fresh).groupBy("key", "company").agg(
+        F.sum("seen").alias("seen"), F.min_by("first", "at").alias("first"), F.min("at").alias("at"), F.max("day").alias("day"))
+
+
+def store_of(exported: DataFrame, batch: int = 0) -> DataFrame:
+    """Exported candidates (``schema.CANDIDATES``) as rows of a store; a label's count goes to its first company."""
+    first = F.struct(*[F.col(c) for c in SIGHTING])
+    rows = exported.select(label_key(F.col("label")).alias("key"), first.alias("first"), F.col("seen_count"), F.col("timestamp").alias("day"),
+                           F.posexplode(F.coalesce("companies_seen", F.array("company"))).alias("pos", "one"))
+    found = rows.select("key", F.col("one").alias("company"), F.when(F.col("pos") == 0, F.col("seen_count")).otherwise(0).cast("bigint").alias("seen"), "first",
+                        F.struct(F.col("pos").cast("bigint").alias("pos")).alias("at"), "day")
+    return in_batch(found, batch)
+
+
+def export_candidates(store: DataFrame) -> DataFrame:
+    """Candidates as they are written to a file, companies as an array in order of first sighting."""
+    listed = candidates(store).drop("n_companies").join(companies_seen(store), "key")
+    return listed.select(*SIGHTING, "seen_count", "companies_seen", "timestamp")
+
+
 def merge_candidates(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Add new sightings to stored candidates. Details of the stored row stay; counts and companies add up."""
-    both = (
-        stored.withColumn("key", label_key(F.col("label"))).withColumn("batch", F.lit(0))
-        .unionByName(new.select("key", *stored.columns).withColumn("batch", F.lit(1)))
-    )
-    details = F.struct(*[F.col(c) for c in SIGHTING])
-    return (
-        both.groupBy("key").agg(
-            F.min_by(details, "batch").alias("d"),
-            F.sum("seen_count").alias("seen_count"),
-            F.array_distinct(F.flatten(F.transform(
-                F.array_sort(F.collect_list(F.struct("batch", "companies_seen"))), lambda x: x["companies_seen"])))
-            .alias("companies_seen"),
-            F.max("timestamp").alias("timestamp"))
-        .select("d.*", "seen_count", "companies_seen", "timestamp")
-    )
+    """Exported candidates with those of another run. Details of the stored row stay; counts and companies add up."""
+    return export_candidates(merge_sightings(store_of(stored), store_of(new, 1)))
 
 
 def review_queue(cands: DataFrame, learned: DataFrame, min_seen: int = 2, force: list[str] | None = None,

@@ -70,6 +70,11 @@ def backfill_progress(plan: DataFrame) -> DataFrame:
         *[F.count_if(F.col("status") == s).alias(s) for s in states])
 
 
+def lacks_key_field(revenue: Column, total_assets: Column) -> Column:
+    """Neither reading is trusted without revenue and total assets."""
+    return (F.coalesce(revenue, F.lit(0.0)) == 0) | (F.coalesce(total_assets, F.lit(0.0)) == 0)
+
+
 def backfill_outcome(requests: DataFrame, results: DataFrame, stored: DataFrame) -> DataFrame:
     """Outcome of reading each requested year.
 
@@ -84,7 +89,7 @@ def backfill_outcome(requests: DataFrame, results: DataFrame, stored: DataFrame)
         F.struct(wrong_year.alias("w"), F.col("ord"))).alias("r"))
     have = stored.select("ticker", F.col("fiscal_year").alias("year")).distinct().withColumn("have", F.lit(True))
     joined = requests.join(have, ["ticker", "year"], "left").join(picked, ["ticker", "year"], "left")
-    no_key = (F.coalesce("r.revenue", F.lit(0.0)) == 0) | (F.coalesce("r.total_assets", F.lit(0.0)) == 0)
+    no_key = lacks_key_field(F.col("r.revenue"), F.col("r.total_assets"))
     sure = F.when(F.col("r").isNotNull(), F.when(F.col("r.wrong_year") | no_key, "Baja").otherwise(F.col("r.confidence")))
     skipped = F.coalesce("have", F.lit(False)) & ~F.col("forced")
     status = (
@@ -118,7 +123,7 @@ def merge_run_metadata(old: DataFrame, runs: DataFrame, now, message_length: int
     """Run metadata after a batch; ``message_length`` cuts stored error messages.
 
     ``runs``: ``ticker, scraped, status, fy_count, error_message, fields_missing array``. A run that did not
-    fetch, or failed, keeps the time of the last fetch; messages are cut to 500 characters.
+    fetch, or failed, keeps the time of the last fetch.
     """
     stamp = now if isinstance(now, Column) else F.lit(str(now)).cast("timestamp_ntz")
     before = old.select("ticker", F.col("last_downloaded").alias("_before"), F.lit(True).alias("_known"))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -59,7 +63,7 @@ def read_companies(spark: SparkSession, path: str) -> DataFrame:
 def read_ticker_ids(spark: SparkSession, path: str) -> DataFrame:
     """``(ticker, cik)`` from a JSON map of ``{"0": {"cik_str": .., "ticker": ..}, ..}``."""
     entry = "struct<cik_str:bigint,ticker:string,title:string>"
-    text = _read(spark, lambda: spark.read.option("wholetext", True).text(path), T.StructType().add("value", "string"))
+    text = _read(spark, lambda: spark.read.text(path, wholetext=True), T.StructType().add("value", "string"))
     rows = text.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("k", "v"))
     return rows.select(F.upper("v.ticker").alias("ticker"), F.lpad(F.col("v.cik_str").cast("string"), 10, "0").alias("cik"))
 
@@ -98,7 +102,7 @@ def read_learned(spark: SparkSession, path: str) -> DataFrame:
 
 def _json_map(spark: SparkSession, path: str, value_type: str) -> DataFrame:
     def load():
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
         return text.select(F.explode(F.from_json("value", f"map<string,{value_type}>")).alias("key", "value"))
 
     return _read(spark, load, f"key string, value {value_type}")
@@ -120,7 +124,7 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
         "doc_tier:int,failed_ddgs_queries:array<string>,historical_pdfs:map<string,string>,"
         "t2_pdfs:map<string,string>,notes:string>")
     def load():
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
         raw = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "json"))
         return raw.filter(~F.col("key").startswith("_")).select("key", F.from_json("json", fields).alias("value"))
 
@@ -139,34 +143,110 @@ def read_company_meta(spark: SparkSession, path: str) -> DataFrame:
     return read_json_table(spark, path, schema.COMPANY_META)
 
 
+FIRST_BYTES = 4
+
+
+def _starts(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first bytes of each file, by one ranged read each from whatever store its address names."""
+    for frame in paths:
+        out = []
+        for path in frame["path"]:
+            store, inner = (fs.LocalFileSystem(), path.split(":", 1)[-1]) if path.startswith(("file:", "/")) else fs.FileSystem.from_uri(quote(path, safe=":/"))
+            with store.open_input_file(re.sub("^//+", "/", inner)) as file:
+                out.append(file.read_at(min(FIRST_BYTES, file.size()), 0))
+        yield frame.assign(start=out)
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Report files with their size and whether they really are PDFs.
 
-    ``length`` comes from the file listing; the content is dropped again after its first bytes are tested.
+    Path and size come from the file listing, which reads no content; of each file only its first four bytes are read, and
+    tasks share out the files. Spark's listing leaves out empty files.
     """
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", is_pdf(F.col("content")).alias("is_pdf"))
+    listed = _read(spark, lambda: spark.read.format("binaryFile").load(path).select("path", "length"), "path string, length bigint")
+    starts = listed.mapInPandas(_starts, "path string, length bigint, start binary")
+    return starts.select("path", "length", is_pdf(F.col("start")).alias("is_pdf"))
+
+
+def _plain(text: str):
+    """A scalar or a ``{name: value, ...}`` of the rule file."""
+    text = text.strip()
+    if text.startswith("{") and text.endswith("}"):
+        pairs = [p.split(":", 1) for p in text[1:-1].split(",") if p.strip()]
+        return {k.strip().strip("\"'"): _plain(v) for k, v in pairs}
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
+        return text[1:-1]
+    if text in ("", "~", "null"):
+        return None
+    if text in ("true", "false"):
+        return text == "true"
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def _uncommented(line: str) -> str:
+    return re.match(r"""(?:[^"'#]|"[^"]*"|'[^']*'|(?<=\S)#)*""", line)[0].rstrip()
+
+
+def parse_rules(text: str) -> dict:
+    """The part of YAML that rule files use: maps by indentation, lists of maps, maps in braces, quoted texts and comments."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in map(_uncommented, text.splitlines()) if x.strip()]
+
+    def block(at: int, depth: int) -> tuple[object, int]:
+        out: dict | list | None = None
+        while at < len(lines) and lines[at][0] == depth:
+            line = lines[at][1]
+            if line.startswith("- ") or line == "-":
+                out = [] if out is None else out
+                # An entry is a block of its own that begins behind its dash.
+                inner = depth + len(line) - len(line[1:].lstrip()) if line != "-" else depth + 2
+                lines[at] = (inner, line[1:].lstrip())
+                if lines[at][1]:
+                    value, at = block(at, inner) if re.match(r"[^\s{\"'][^:]*:(\s|$)", lines[at][1]) else (_plain(lines[at][1]), at + 1)
+                else:
+                    value, at = block(at + 1, lines[at + 1][0]) if at + 1 < len(lines) and lines[at + 1][0] > depth else (None, at + 1)
+                out.append(value)
+                continue
+            out = {} if out is None else out
+            name, _, rest = line.partition(":")
+            name, at = name.strip().strip("\"'"), at + 1
+            if rest.strip():
+                out[name] = _plain(rest)
+            elif at < len(lines) and (lines[at][0] > depth or (lines[at][0] == depth and lines[at][1].startswith("-"))):
+                out[name], at = block(at, lines[at][0])
+            else:
+                out[name] = None
+        if at < len(lines) and lines[at][0] > depth:
+            raise ValueError(f"unexpected indentation: {lines[at][1]!r}")
+        return out, at
+
+    if not lines:
+        return {}
+    found, end = block(0, lines[0][0])
+    if end < len(lines) or not isinstance(found, dict):
+        raise ValueError(f"not a rule file, from: {lines[min(end, len(lines) - 1)][1]!r}")
+    return found
 
 
-def read_rules(path: str) -> dict:
-    """Threshold rules from JSON, or YAML where a YAML parser is installed; no file means no rules.
+def read_rules(path: str, spark: SparkSession | None = None) -> dict:
+    """Threshold rules from JSON or YAML, from any store Spark reads; an absent file means no rules.
 
-    Rules are configuration: they are read on the driver and become column expressions.
+    Rules are configuration of a few lines: they become column expressions.
     """
-    if not os.path.exists(path):
+    spark = spark or SparkSession.active()
+    found = _read(spark, lambda: spark.read.text(path, wholetext=True), T.StructType().add("value", "string")).first()
+    if found is None:
         return {}
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
-    if path.endswith((".yaml", ".yml")):
-        import yaml
-
-        raw = yaml.safe_load(text)
-    else:
-        raw = json.loads(text)
+    text = found["value"]
+    raw = json.loads(text) if text.lstrip().startswith("{") else parse_rules(text)
     sectors = {}
     for name, body in (raw.get("sectors") or {}).items():
-        specs = body.get("flags", []) if isinstance(body, dict) else body
+        specs = (body.get("flags") if isinstance(body, dict) else body) or []
         sectors[name] = [
-            {**{k: r[k] for k in ("id", "name", "kpi", "description")}, **r.get("thresholds", {}),
+            {**{k: r[k] for k in ("id", "name", "kpi", "description")}, **(r.get("thresholds") or {}),
              **{s: r[s] for s in fixed.SEVERITIES if s in r}} for r in specs]
     return {"default_sector": raw.get("default_sector", "healthcare"), "sectors": sectors}

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ledgerline.operators.fx import currency_of, is_approximated
+from ledgerline.schema import FX_RATES, conform
+from ledgerline.sources import readers
 
 
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
@@ -25,9 +31,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def append_new(df: DataFrame, path: str, keys: list[str], expected: StructType) -> None:
+    """Add the rows whose key is not stored yet; running it again adds nothing.
+
+    The stored keys are read by the same job that appends, and Spark commits its files together, so a job that fails
+    leaves the table as it was. Rows of ``df`` that share a key are one, the smallest.
+    """
+    stored = readers.read_table(df.sparkSession, path, expected, keys)
+    rest = [c for c in expected.fieldNames() if c not in keys]
+    once = conform(df, expected).groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    once.alias("a").join(stored.alias("b"), reduce(and_, same), "left_anti").select(*expected.fieldNames()).write.mode("append").parquet(path)
+
+
 def append_fx(new: DataFrame, path: str) -> None:
-    """Add rates; ``new`` must hold only years not stored yet (see ``fx.merge_rates``)."""
-    new.write.mode("append").parquet(path)
+    """Add rates of currencies and years not stored yet."""
+    append_new(new, path, ["currency", "year"], FX_RATES)
 
 
 def company_meta(companies: DataFrame, completeness: DataFrame, years: DataFrame, confidence: DataFrame,

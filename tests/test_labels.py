@@ -110,3 +110,28 @@ def test_confidence(spark, found, country, level):
     df = spark.createDataFrame([("d", country, 2024, c, "m") for c in found], "doc string, country string, fiscal_year int, canonical string, method string")
     row = labels.score_extractions(df).first()
     assert row["confidence"] == level and row["n_fields"] == len(found) and row["coverage"] == pytest.approx(len(found) / 22)
+
+
+def test_the_store_grows_run_by_run(spark):
+    import random
+
+    rng = random.Random(4)
+    columns = "label string, value double, page int, section string, company string, country string, pdf string, ord int, day string"
+    runs = [[(rng.choice(["Fondo X", "fondo x ", "Otro", "Cosa"]), float(i), 1, "s", rng.choice("abc"), "CO", f"f{run}-{i}", i, f"2026-0{run + 1}-{i:02d}")
+             for i in range(1, 13)] for run in range(3)]
+    store = None
+    for number, rows in enumerate(runs):
+        seen = labels.in_batch(labels.sightings(spark.createDataFrame(rows, columns), ["ord"], F.col("day")), number)
+        store = seen if store is None else labels.merge_sightings(store, seen)
+    want = {}
+    for rows in runs:
+        for label, value, *_, company, _, pdf, _, day in [(r[0], r[1], r[2], r[3], r[4], r[5], r[6], r[7], r[8]) for r in rows]:
+            entry = want.setdefault(label.strip().lower(), {"value": value, "n": 0, "companies": [], "day": ""})
+            entry["n"] += 1
+            entry["day"] = max(entry["day"], day)
+            if company not in entry["companies"]:
+                entry["companies"].append(company)
+    got = {r["label"].lower(): (r["value"], r["seen_count"], r["companies_seen"], r["timestamp"]) for r in labels.export_candidates(store).collect()}
+    assert got == {k: (v["value"], v["n"], v["companies"], v["day"]) for k, v in want.items()}
+    again = labels.export_candidates(labels.store_of(labels.export_candidates(store)))
+    assert sorted(map(str, again.collect())) == sorted(map(str, labels.export_candidates(store).collect()))

@@ -191,3 +191,114 @@ def test_entry_contract(spark):
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 60
     assert e.entry(spark).columns[:2] == ["ticker", "fiscal_year"]
+
+
+RULE_TEXT = """# thresholds
+version: "1.0"
+default_sector: "health # care"
+
+sectors:
+  "health # care":
+    flags:
+      # first
+      - id: F1
+        name: "Deuda: alta"     # a remark
+        kpi: debt_to_ebitda
+        description: 'más de #4'
+        thresholds:
+          Alta: { gt: 4.0 }
+          Media: { gt: 2.5, lte: 4.0 }
+      -
+        id: F2
+        name: Caja
+        kpi: "cash_ratio"
+        description: ""
+        thresholds:
+          Baja:
+            lt: -1
+            gte: 2e0
+  empty:
+    flags:
+  listed:
+  - {id: F3, name: n, kpi: roe, description: d}
+"""
+
+
+def test_rules_from_any_store(spark, tmp_path):
+    (tmp_path / "rules.yaml").write_text(RULE_TEXT)
+    rules = readers.read_rules(f"file://{tmp_path}/rules.yaml", spark)
+    assert rules == {"default_sector": "health # care", "sectors": {
+        "health # care": [
+            {"id": "F1", "name": "Deuda: alta", "kpi": "debt_to_ebitda", "description": "más de #4", "Alta": {"gt": 4.0}, "Media": {"gt": 2.5, "lte": 4.0}},
+            {"id": "F2", "name": "Caja", "kpi": "cash_ratio", "description": "", "Baja": {"lt": -1, "gte": 2.0}}],
+        "empty": [], "listed": [{"id": "F3", "name": "n", "kpi": "roe", "description": "d"}]}}
+    assert readers.read_rules(f"{tmp_path}/none.yaml", spark) == {} and readers.parse_rules("# nothing\n") == {}
+    (tmp_path / "empty.yaml").write_text("")
+    assert readers.read_rules(f"{tmp_path}/empty.yaml", spark) in ({}, {"default_sector": "healthcare", "sectors": {}})
+    for broken in ("a:\n  b: 1\n    c: 2", "- x\n- y", "plain"):
+        with pytest.raises(ValueError):
+            if readers.parse_rules(broken) == {"plain": None}:
+                raise ValueError
+
+
+def test_first_bytes_only(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b.pdf").write_bytes(b"%PDF" + b"x" * 3_000_000)
+    (tmp_path / "in" / "b.pdf").write_bytes(b"<ht")
+    (tmp_path / "in" / "c.pdf").write_bytes(b"")
+    found = readers.read_reports(spark, str(tmp_path / "in"))
+    assert {(r["path"].rsplit("/", 1)[-1], r["length"], r["is_pdf"]) for r in found.collect()} == {("a b.pdf", 3_000_004, True), ("b.pdf", 3, False)}
+    assert readers.read_reports(spark, str(tmp_path / "none")).count() == 0
+    # What is read of each file, counted where it is opened.
+    import pandas as pd
+
+    reads = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def size(self):
+            return self.file.size()
+
+        def read_at(self, n, at):
+            reads.append(n)
+            return self.file.read_at(n, at)
+
+    class Store:
+        def open_input_file(self, path):
+            return Counted(local.open_input_file(path))
+
+    local = readers.fs.LocalFileSystem()
+    monkeypatch.setattr(readers.fs, "LocalFileSystem", Store)
+    paths = sorted(str(p) for p in (tmp_path / "in").iterdir())
+    starts = pd.concat(readers._starts(iter([pd.DataFrame({"path": [f"file:{p}" for p in paths], "length": 1})])))
+    assert starts["start"].tolist() == [b"%PDF", b"<ht", b""] and reads == [4, 3, 0]
+
+
+def test_rates_are_added_once(spark, tmp_path):
+    path = str(tmp_path / "fx")
+    rates = spark.createDataFrame([("BRL", 2023, 0.2, False), ("BRL", 2023, 0.3, False), ("COP", 2023, 0.1, True)], schema.FX_RATES)
+    for _ in range(2):
+        writers.append_fx(rates, path)
+    writers.append_fx(spark.createDataFrame([("BRL", 2023, 9.0, False), ("BRL", 2024, 0.4, False)], "currency string, year int, rate double, approximated boolean"), path)
+    stored = readers.read_table(spark, path, schema.FX_RATES)
+    assert sorted(map(tuple, stored.collect())) == [("BRL", 2023, 0.2, False), ("BRL", 2024, 0.4, False), ("COP", 2023, 0.1, True)]
+    amounts = spark.createDataFrame([(1.0, "BRL", 2023), (1.0, "USD", 2023), (1.0, None, 2023)], "amount double, currency string, fiscal_year int")
+    doubled = stored.unionByName(stored)
+    assert sorted((r["usd"] is None, r["usd"]) for r in fx.to_usd(amounts, doubled).collect()) == [(False, 0.2), (False, 1.0), (True, None)]
+
+
+def test_printed_json_maps_are_read_whole(spark, tmp_path):
+    (tmp_path / "fx.json").write_text(json.dumps({"BRL_2023": 0.2, "ARS_2024": 0.001}, indent=2))
+    (tmp_path / "ids.json").write_text(json.dumps({"0": {"cik_str": 12, "ticker": "ab", "title": "t"}}, indent=2))
+    (tmp_path / "profiles.json").write_text(json.dumps({"_note": "x", "one": {"domain": "a.co", "historical_pdfs": {"2020": "u"}}}, indent=2))
+    assert {(r["currency"], r["year"], r["rate"]) for r in readers.read_fx(spark, str(tmp_path / "fx.json")).collect()} == {("BRL", 2023, 0.2), ("ARS", 2024, 0.001)}
+    assert [tuple(r) for r in readers.read_ticker_ids(spark, str(tmp_path / "ids.json")).collect()] == [("AB", "0000000012")]
+    assert [(r["slug"], r["domain"], r["historical_pdfs"]) for r in readers.read_profiles(spark, str(tmp_path / "profiles.json")).collect()] == [("one", "a.co", {2020: "u"})]

@@ -162,9 +162,31 @@ def label_companies(spark, sf_dir):
     return sightings(spark, sf_dir).select("key", "company")
 
 
-DECIDED = """SELECT 'fondo ' || CAST(c_custkey AS STRING) AS label,
+# Two runs: finished orders, then the others.
+STORE_CTES = CANDIDATES_CTES.replace("o_orderkey", "placed").replace(f"FROM ({SEEN_DUCK})".replace("o_orderkey", "placed"), f"FROM (SELECT s.*, (o_orderstatus <> 'F', s.o_orderkey) AS placed FROM ({SEEN_DUCK}) s JOIN orders USING (o_orderkey))")
+
+
+def candidate_store(spark, sf_dir):
+    seen = spark_sql(spark, sf_dir, SEEN).join(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    first, second = (ops.sightings(seen.filter(condition), ["o_orderkey"], F.col("day")) for condition in ("o_orderstatus = 'F'", "o_orderstatus <> 'F'"))
+    return ops.merge_sightings(ops.in_batch(first, 0), ops.in_batch(second, 1))
+
+
+@query(f"""WITH {STORE_CTES} SELECT key, company, count(*) AS seen, arg_min(pdf, placed) AS first_pdf, CAST(max(day) AS STRING) AS day FROM seen GROUP BY 1, 2""")
+def label_store(spark, sf_dir):
+    """Every unknown label and company after two runs, with the first sighting."""
+    return candidate_store(spark, sf_dir).select("key", "company", "seen", F.col("first.pdf").alias("first_pdf"), F.col("day").cast("string").alias("day"))
+
+
+@query(f"WITH {STORE_CTES} SELECT * FROM cand")
+def merged_candidates(spark, sf_dir):
+    return ops.candidates(candidate_store(spark, sf_dir)).select(
+        "key", "label", "value", "company", "seen_count", "n_companies", F.col("timestamp").cast("string").alias("timestamp"))
+
+
+DECIDED = """SELECT CASE WHEN c_acctbal < 3000 THEN 'fondo ' ELSE 'otra partida ' END || CAST(c_custkey AS STRING) AS label,
   CASE WHEN c_acctbal < 0 THEN '__rejected__' ELSE 'cash' END AS canonical, c_mktsegment AS approved_by, '2026-01-01' AS date
-  FROM {customer} WHERE c_acctbal < 3000"""
+  FROM {customer}"""
 
 
 @query(f"""WITH {CANDIDATES_CTES} SELECT key, label, seen_count FROM cand WHERE (seen_count >= 3 OR key = 'fondo 7')

@@ -260,10 +260,10 @@ def missing_critical_fields(spark, sf_dir):
     customers = load(spark, sf_dir, "customer")
     nation = F.col("c_nationkey")
     country = F.when(nation == 1, "CO").when(nation == 2, "PE").when(nation == 3, "CL").otherwise("XX")
-    done = cleaning.field_completeness(financials(spark, sf_dir))
-    joined = done.join(customers.select(F.col("c_custkey").cast("string").alias("ticker"), country.alias("country")), "ticker")
-    return joined.select("ticker", F.array_join(
-        F.array_except(critical_fields(F.col("country")), F.col("fields_extracted")), ",").alias("missing_critical"))
+    own = customers.select(F.col("c_custkey").cast("string").alias("ticker"), country.alias("country"))
+    fin = financials(spark, sf_dir).join(own, "ticker")
+    found = cleaning.missing_critical_fields(fin, critical_fields(F.col("country")))
+    return found.select("ticker", F.array_join("missing_critical", ",").alias("missing_critical"))
 
 
 # --- dashboard ---------------------------------------------------------------------------------------

@@ -13,9 +13,9 @@ from workload.registry import query
 
 NOW = "2002-03-15"
 
-# Stored: one row per customer and year from finished orders. New: open orders, of which the last one counts.
+# Stored: one row per customer and year from orders that are finished or under way. New: open orders, of which the last one counts.
 STORED = """SELECT CAST(o_custkey AS STRING) AS ticker, CAST(year(o_orderdate) AS INT) AS fiscal_year, 'stored' AS origin,
-  max(o_totalprice) AS amount FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1, 2, 3"""
+  max(o_totalprice) AS amount FROM {orders} WHERE o_orderstatus <> 'O' GROUP BY 1, 2, 3"""
 NEW = """SELECT CAST(o_custkey AS STRING) AS ticker, CAST(year(o_orderdate) AS INT) AS fiscal_year, o_orderpriority AS origin,
   o_totalprice AS amount, o_orderkey FROM {orders} WHERE o_orderstatus = 'O'"""
 
@@ -53,15 +53,16 @@ def backfill_progress(spark, sf_dir):
     return state.backfill_progress(plan).select("ticker", "done", "total", "pending")
 
 
-# A request per customer and year with orders; each order line of status F is a reading, of this year or the next.
+# A request per customer and year with orders, and one of a year without; each order is a reading, of this year or the next.
 REQUESTS = """SELECT CAST(o_custkey AS STRING) AS ticker, CAST(year(o_orderdate) AS INT) AS year, max(o_orderpriority) = '5-LOW' AS forced,
-  min(o_totalprice) > 20000 AS downloaded, CASE WHEN min(o_totalprice) < 5000 THEN 'timed out' END AS error FROM {orders} GROUP BY 1, 2"""
+  min(o_totalprice) > 20000 AS downloaded, CASE WHEN min(o_totalprice) < 5000 THEN 'timed out' END AS error FROM {orders} GROUP BY 1, 2
+  UNION ALL SELECT CAST(c_custkey AS STRING), 2003, false, c_acctbal > 0, NULL FROM {customer}"""
 READINGS = """SELECT CAST(o_custkey AS STRING) AS ticker, CAST(year(o_orderdate) AS INT) AS year, o_orderkey AS ord,
   CAST(year(o_orderdate) + CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS INT) AS fiscal_year,
   CASE WHEN o_totalprice > 250000 THEN 'Alta' ELSE 'Media' END AS confidence,
   CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0e0 ELSE o_totalprice END AS revenue, o_totalprice AS total_assets
-  FROM {orders} WHERE o_orderstatus <> 'P'"""
-HAVE = "SELECT DISTINCT CAST(o_custkey AS STRING) AS ticker, CAST(year(o_orderdate) AS INT) AS fiscal_year FROM {orders} WHERE o_totalprice > 400000"
+  FROM {orders}"""
+HAVE = "SELECT CAST(o_custkey AS STRING) AS ticker, CAST(year(o_orderdate) + CASE WHEN max(o_totalprice) > 400000 THEN 0 ELSE 100 END AS INT) AS fiscal_year FROM {orders} GROUP BY o_custkey, year(o_orderdate)"
 
 
 @query(f"""WITH q AS ({duck(REQUESTS)}), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, year ORDER BY fiscal_year <> year, ord) AS k FROM ({duck(READINGS)})),
@@ -77,7 +78,7 @@ def backfill_outcome(spark, sf_dir):
         spark_sql(spark, sf_dir, REQUESTS), spark_sql(spark, sf_dir, READINGS), spark_sql(spark, sf_dir, HAVE))
 
 
-LOADED = "SELECT CAST(o_custkey AS STRING) AS ticker, max(o_orderdate) AS last_downloaded FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1"
+LOADED = "SELECT CAST(o_custkey AS STRING) AS ticker, max(CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END) AS last_downloaded FROM {orders} GROUP BY 1"
 
 
 @query(f"""SELECT c.ticker, l.last_downloaded IS NULL OR NOT (year(last_downloaded) = 2001 AND quarter(last_downloaded) = 2) AS needs_update
@@ -89,10 +90,11 @@ def staleness(spark, sf_dir):
 
 RUN_RECORDS = """SELECT CAST(o_custkey AS STRING) AS ticker, max(o_orderdate) AS last_downloaded, max(o_orderdate) AS last_processed,
   CAST(count(*) AS INT) AS fy_count, 'success' AS status, CAST(NULL AS STRING) AS error_message, '' AS fields_missing
-  FROM {orders} WHERE o_totalprice > 200000 GROUP BY 1"""
+  FROM {orders} GROUP BY 1
+  UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING), NULL, NULL, CAST(s_nationkey AS INT), 'success', NULL, '' FROM {supplier}"""
 RUNS = """SELECT CAST(c_custkey AS STRING) AS ticker, c_acctbal > 5000 AS scraped, CASE WHEN c_acctbal < 0 THEN 'error' ELSE 'success' END AS status,
   CAST(c_nationkey AS INT) AS fy_count, CASE WHEN c_acctbal < 0 THEN {repeat}('balance below zero; ', 40) END AS error_message,
-  c_mktsegment AS segment FROM {customer} WHERE c_mktsegment <> 'MACHINERY'"""
+  c_mktsegment AS segment FROM {customer}"""
 
 
 @query(f"""WITH o AS ({duck(RUN_RECORDS)}), r AS ({duck(RUNS.replace("{repeat}", "repeat"))})
@@ -208,5 +210,5 @@ def report_years(spark, sf_dir):
 @query(f"""WITH fin AS ({FIN}) SELECT ticker, sum(CASE WHEN revenue IS NULL OR revenue = 0 OR total_assets IS NULL OR total_assets = 0 THEN 1 ELSE 0 END)::BIGINT AS low_years,
   count(*) AS years FROM fin GROUP BY 1""")
 def key_field_gate(spark, sf_dir):
-    no_key = (F.coalesce("revenue", F.lit(0.0)) == 0) | (F.coalesce("total_assets", F.lit(0.0)) == 0)
-    return financials(spark, sf_dir).groupBy("ticker").agg(F.count_if(no_key).alias("low_years"), F.count(F.lit(1)).alias("years"))
+    low = state.lacks_key_field(F.col("revenue"), F.col("total_assets"))
+    return financials(spark, sf_dir).groupBy("ticker").agg(F.count_if(low).alias("low_years"), F.count(F.lit(1)).alias("years"))
