@@ -165,12 +165,14 @@ def merge_company_meta(old: DataFrame, new: DataFrame, key: str = "slug") -> Dat
             continue
         value = F.coalesce(filled(F.col(f"b.{c}"), types[c]), F.col(f"a.{c}")) if c in new.columns else F.col(f"a.{c}")
         out.append(value.alias(c))
+    # What only the new record knows is taken as it is.
+    out += [F.col(f"b.{c}") for c in new.columns if c not in old.columns and c != key]
     return a.join(b, key, "full").select(key, *out)
 
 
 # --- corrections -------------------------------------------------------------------------------------
-# A correction row is ``slug, fiscal_year, field, original, corrected_bn, field_confidence``: one form field,
-# the value read (in units) and the value confirmed (in billions).
+# A correction row is ``slug, fiscal_year, field, original, corrected_bn, field_confidence``, with the report's ``page`` where
+# known: one form field, the value read (in units) and the value confirmed (in billions).
 
 def original_billions() -> Column:
     return F.coalesce("original", F.lit(0.0)) / F.lit(1e9)
@@ -197,17 +199,41 @@ def changed_fields(corrections: DataFrame) -> DataFrame:
         "slug", "fiscal_year", "field", o.alias("original_mmm"), F.col("corrected_bn").alias("corrected_mmm"))
 
 
+def _each_field(corrections: DataFrame) -> DataFrame:
+    """One row for each field of a report; of several the largest counts."""
+    known = [c for c in ("original", "corrected_bn", "field_confidence", "page") if c in corrections.columns]
+    return corrections.groupBy("slug", "fiscal_year", "field").agg(F.max(F.struct(*known)).alias("c")).select("slug", "fiscal_year", "field", "c.*")
+
+
 def correction_audit(corrections: DataFrame, now: str) -> DataFrame:
     """Per report: whether anything was changed, and the changes by field (at most 16 fields exist)."""
     o = original_billions()
     changed = F.abs(F.coalesce("corrected_bn", F.lit(0.0)) - o) > CENT
     entry = F.struct(F.col("field"), F.struct(
         o.alias("original_mmm"), F.col("corrected_bn").alias("corrected_mmm"), F.lit(now).alias("validated_at")))
-    return corrections.groupBy("slug", "fiscal_year").agg(
+    return _each_field(corrections).groupBy("slug", "fiscal_year").agg(
         F.bool_or(changed).alias("human_validated"),
         F.map_from_entries(F.collect_list(F.when(changed, entry))).alias("human_validated_fields"))
 
 
+def confirmation_record(corrections: DataFrame, now: str) -> DataFrame:
+    """What a confirmation adds to a company's record: the audit, and each field's confidence and page as read.
+
+    Merge it with :func:`merge_company_meta`; a later report of a company replaces an earlier one's entries.
+    """
+    page = F.col("page") if "page" in corrections.columns else F.lit(None).cast("int")
+    fields = _each_field(corrections)
+    if "page" not in fields.columns:
+        fields = fields.withColumn("page", page)
+    read = fields.groupBy("slug", "fiscal_year").agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "field_confidence"))).alias("confidence_scores"),
+        F.map_from_entries(F.collect_list(F.struct("field", "page"))).alias("source_pages"))
+    both = read.join(correction_audit(corrections, now), ["slug", "fiscal_year"])
+    rest = [c for c in both.columns if c != "slug"]
+    latest = both.groupBy("slug").agg(F.max_by(F.struct(*rest), "fiscal_year").alias("r")).select("slug", "r.*")
+    return latest.withColumn("confirmed_at", F.lit(now))
+
+
 def corrected_values(corrections: DataFrame) -> DataFrame:
     """Confirmed values in units as extracted rows ``ticker, fiscal_year, canonical, value``."""
     canonical = F.create_map(*[F.lit(x) for k, v in fixed.DISPLAY_NAMES.items() for x in (v, k)])

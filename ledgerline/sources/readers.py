@@ -29,20 +29,16 @@ def _read(spark: SparkSession, load, empty_schema: T.StructType | str) -> DataFr
         raise
 
 
-def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Facts of all companies from ``<path>/<TICKER>/facts.json`` (any printing of the JSON).
+def parse_facts(raw: DataFrame) -> DataFrame:
+    """Rows of facts (``schema.FACTS``) from ``ticker`` and ``json``, the text of a company's facts.
 
-    Tags and units are data, so they are read as map keys and never become columns. A file is one record:
-    the number of files, not of entries in one, sets the parallelism.
+    Tags and units are data, so they are read as map keys and never become columns.
     """
-    try:
-        raw = spark.read.schema(FACTS_JSON).option("multiLine", True).json(f"{path.rstrip('/')}/*/facts.json")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], FACT_ROWS)
-    ticker = F.upper(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-    tags = raw.select(ticker.alias("ticker"), F.explode(F.col("facts")["us-gaap"]).alias("tag", "t"))
+    return _fact_rows(raw.select(F.upper("ticker").alias("ticker"), F.from_json("json", FACTS_JSON)["facts"].alias("facts")))
+
+
+def _fact_rows(raw: DataFrame) -> DataFrame:
+    tags = raw.select("ticker", F.explode(F.col("facts")["us-gaap"]).alias("tag", "t"))
     units = tags.select("ticker", "tag", F.explode("t.units").alias("unit", "entries"))
     rows = units.select("ticker", "tag", "unit", F.posexplode("entries").alias("pos", "e"))
 
@@ -54,20 +50,43 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
         day("start").alias("start"), day("end").alias("end"), day("filed").alias("filed"), "e.val")
 
 
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Facts of all companies from ``<path>/<TICKER>/facts.json`` (any printing of the JSON).
+
+    A file is one record: the number of files, not of entries in one, sets the parallelism.
+    """
+    try:
+        raw = spark.read.schema(FACTS_JSON).option("multiLine", True).json(f"{path.rstrip('/')}/*/facts.json")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FACT_ROWS)
+    ticker = F.upper(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    return _fact_rows(raw.select(ticker.alias("ticker"), "facts"))
+
+
 def read_companies(spark: SparkSession, path: str) -> DataFrame:
     """Tickers that have a facts file, whether or not it can be used."""
     files = _read(spark, lambda: spark.read.format("binaryFile").load(f"{path.rstrip('/')}/*/facts.json").select("path"), T.StructType().add("path", "string"))
     return files.select(F.upper(F.element_at(F.split("path", "/"), -2)).alias("ticker"))
 
 
-def read_ticker_ids(spark: SparkSession, path: str) -> DataFrame:
-    """``(ticker, cik)`` from a JSON map of ``{"0": {"cik_str": .., "ticker": ..}, ..}``."""
+def parse_ticker_ids(text: DataFrame) -> DataFrame:
+    """``(ticker, cik)`` from texts (``value``) of ``{"0": {"cik_str": .., "ticker": ..}, ..}``."""
     entry = "struct<cik_str:bigint,ticker:string,title:string>"
-    text = _read(spark, lambda: spark.read.text(path, wholetext=True), T.StructType().add("value", "string"))
     rows = text.select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("k", "v"))
     return rows.select(F.upper("v.ticker").alias("ticker"), F.lpad(F.col("v.cik_str").cast("string"), 10, "0").alias("cik"))
 
 
+def _whole_text(spark: SparkSession, path: str) -> DataFrame:
+    """Each file of a path as one ``value``; none where there is no file."""
+    return _read(spark, lambda: spark.read.text(path, wholetext=True), T.StructType().add("value", "string"))
+
+
+def read_ticker_ids(spark: SparkSession, path: str) -> DataFrame:
+    return parse_ticker_ids(_whole_text(spark, path))
+
+
 def read_table(spark: SparkSession, path: str, expected: T.StructType, columns: list[str] | None = None) -> DataFrame:
     """Parquet conformed to the expected schema; older files may lack columns."""
     def load():
@@ -100,44 +119,41 @@ def read_learned(spark: SparkSession, path: str) -> DataFrame:
         (F.trim("label") != "") & (F.trim("canonical") != ""))
 
 
-def _json_map(spark: SparkSession, path: str, value_type: str) -> DataFrame:
-    def load():
-        text = spark.read.text(path, wholetext=True)
-        return text.select(F.explode(F.from_json("value", f"map<string,{value_type}>")).alias("key", "value"))
-
-    return _read(spark, load, f"key string, value {value_type}")
-
-
-def read_fx(spark: SparkSession, path: str) -> DataFrame:
-    """Rates from a JSON map ``{"CUR_YEAR": rate}``."""
-    rows = _json_map(spark, path, "double")
+def parse_fx(text: DataFrame) -> DataFrame:
+    """Rates (``schema.FX_RATES``) from texts (``value``) of ``{"CUR_YEAR": rate}``."""
+    rows = text.select(F.explode(F.from_json("value", "map<string,double>")).alias("key", "value"))
     currency = F.substring_index("key", "_", 1)
     return rows.select(
         currency.alias("currency"), F.substring_index("key", "_", -1).try_cast("int").alias("year"),
         F.col("value").alias("rate"), (~currency.isin(fixed.AVERAGED_CURRENCIES)).alias("approximated"))
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Site profiles from a JSON map by company; entries that describe the file itself are left out."""
+def read_fx(spark: SparkSession, path: str) -> DataFrame:
+    return parse_fx(_whole_text(spark, path))
+
+
+def parse_profiles(text: DataFrame) -> DataFrame:
+    """Site profiles (``schema.PROFILES``) from texts (``value``) of a JSON map by company; entries that describe the file are left out."""
     fields = (
         "struct<domain:string,last_success:string,strategy:string,pdf_url_pattern:string,nav_path:array<string>,"
         "doc_tier:int,failed_ddgs_queries:array<string>,historical_pdfs:map<string,string>,"
         "t2_pdfs:map<string,string>,notes:string>")
-    def load():
-        text = spark.read.text(path, wholetext=True)
-        raw = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "json"))
-        return raw.filter(~F.col("key").startswith("_")).select("key", F.from_json("json", fields).alias("value"))
-
-    rows = _read(spark, load, f"key string, value {fields}")
+    raw = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "json"))
+    rows = raw.filter(~F.col("key").startswith("_")).select("key", F.from_json("json", fields).alias("value"))
 
     def by_year(c: str):
-        return F.transform_keys(F.col(f"value.{c}"), lambda k, v: k.try_cast("int"))
+        dated = F.map_filter(F.col(f"value.{c}"), lambda k, v: k.try_cast("int").isNotNull())
+        return F.transform_keys(dated, lambda k, v: k.try_cast("int"))
 
     out = {f.name: F.col(f"value.{f.name}") for f in schema.PROFILES.fields if f.name != "slug"}
     out["historical_pdfs"], out["t2_pdfs"] = by_year("historical_pdfs"), by_year("t2_pdfs")
     return rows.select(F.col("key").alias("slug"), *[c.alias(n) for n, c in out.items()])
 
 
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    return parse_profiles(_whole_text(spark, path))
+
+
 def read_company_meta(spark: SparkSession, path: str) -> DataFrame:
     """Company records, one JSON object per file or line, below ``path``."""
     return read_json_table(spark, path, schema.COMPANY_META)
@@ -238,7 +254,7 @@ def read_rules(path: str, spark: SparkSession | None = None) -> dict:
     Rules are configuration of a few lines: they become column expressions.
     """
     spark = spark or SparkSession.active()
-    found = _read(spark, lambda: spark.read.text(path, wholetext=True), T.StructType().add("value", "string")).first()
+    found = _whole_text(spark, path).first()
     if found is None:
         return {}
     text = found["value"]

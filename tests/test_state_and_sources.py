@@ -302,3 +302,26 @@ def test_printed_json_maps_are_read_whole(spark, tmp_path):
     assert {(r["currency"], r["year"], r["rate"]) for r in readers.read_fx(spark, str(tmp_path / "fx.json")).collect()} == {("BRL", 2023, 0.2), ("ARS", 2024, 0.001)}
     assert [tuple(r) for r in readers.read_ticker_ids(spark, str(tmp_path / "ids.json")).collect()] == [("AB", "0000000012")]
     assert [(r["slug"], r["domain"], r["historical_pdfs"]) for r in readers.read_profiles(spark, str(tmp_path / "profiles.json")).collect()] == [("one", "a.co", {2020: "u"})]
+
+
+def test_confirmations_reach_the_record(spark):
+    rows = [("s", 2023, "ingresos", 5.2e9, 5.5, "Alta", 3), ("s", 2024, "ingresos", 5.2e9, 5.5, "Alta", 4), ("s", 2024, "ingresos", 5.2e9, 5.4, "Media", 4),
+            ("s", 2024, "cogs", 1e9, 1.0, None, None), ("t", 2024, "efectivo", 2e9, 2.0, "Baja", 1)]
+    df = spark.createDataFrame(rows, "slug string, fiscal_year int, field string, original double, corrected_bn double, field_confidence string, page int")
+    old = spark.createDataFrame([("s", "CO", 2022), ("u", "PE", 2020)], "slug string, country string, fiscal_year int")
+    got = {r["slug"]: r for r in state.merge_company_meta(old, state.confirmation_record(df, "now")).collect()}
+    s = got["s"]
+    assert (s["country"], s["fiscal_year"], s["human_validated"], s["confirmed_at"]) == ("CO", 2024, True, "now")
+    assert s["confidence_scores"] == {"ingresos": "Alta", "cogs": None} and s["source_pages"] == {"ingresos": 4, "cogs": None}
+    assert s["human_validated_fields"]["ingresos"]["corrected_mmm"] == 5.5 and set(s["human_validated_fields"]) == {"ingresos"}
+    assert got["t"]["human_validated"] is False and got["u"]["confirmed_at"] is None and got["u"]["fiscal_year"] == 2020
+    without = state.confirmation_record(df.drop("page"), "now").where("slug = 't'").first()
+    assert without["source_pages"] == {"efectivo": None}
+
+
+def test_contents_apart_from_files(spark):
+    texts = spark.createDataFrame([("a", '{"facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2023-12-31", "val": 5}, {"val": 6}]}}}}}'),
+                                   ("b", "broken"), ("c", None), ("d", '{"facts": {"dei": {}}}')], "ticker string, json string")
+    assert [(r["ticker"], r["pos"], str(r["end"]), r["val"]) for r in readers.parse_facts(texts).collect()] == [("A", 0, "2023-12-31", 5.0), ("A", 1, "None", 6.0)]
+    profiles = spark.createDataFrame([('{"one": {"historical_pdfs": {"2020": "u", "x": "y"}}, "_n": 1}',), (None,), ("broken",)], "value string")
+    assert [(r["slug"], r["historical_pdfs"]) for r in readers.parse_profiles(profiles).collect()] == [("one", {2020: "u"})]

@@ -4,7 +4,7 @@ import importlib
 
 from workload.registry import ORACLES, QUERIES
 
-for _part in ("ratios", "facts", "labels", "reports", "state", "links"):
+for _part in ("ratios", "facts", "labels", "reports", "state", "links", "records"):
     if importlib.util.find_spec(f"workload.{_part}"):
         importlib.import_module(f"workload.{_part}")
 
