@@ -34,9 +34,9 @@ SIMILARITY = 0.8
 #: Lines of a candidate set that one part holds.
 PART = 512
 #: Words a worker remembers the hash of, and words whose bits are counted at a time.
-REMEMBERED, SLICE = 150_000, 1 << 18
+REMEMBERED, SLICE = 60_000, 1 << 16
 #: Documents a task looks at together, and the size of the map of candidates.
-DOCUMENTS, MAP_BITS = 500, 20
+DOCUMENTS, MAP_BITS = 200, 20
 WORD = re.compile(r"\w+")
 
 

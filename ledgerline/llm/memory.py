@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 
+import pyarrow as pa
+
 _HELD: dict[str, dict] = {}
 
 
@@ -15,7 +17,8 @@ def memory(owner: str) -> dict:
         _HELD.pop(other).clear()
     if others:
         gc.collect()
-        # Many small objects leave the allocator's pages empty but held.
+        # Many small objects, and batches that are over, leave the allocators' pages empty but held.
+        pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:
             trim(0)

@@ -38,7 +38,7 @@ SHRINK, TELLING, RIDGE, STEPS, RATE = 6.0, 0.5, 0.02, 60, 0.1
 #: Pull of the intercept towards -1: without evidence a text counts as clean.
 LEAN = 0.05
 #: Words a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
