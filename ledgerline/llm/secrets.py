@@ -26,10 +26,14 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerline.llm.durable import stored
+
 DICTIONARY = 20_000
 TREES, DEPTH, SEED = 40, 6, 11
-#: Candidates longer than the first are described by one stretch, as long as the second; stretches overlap by half.
-LONG, STRETCH = 256, 64
+#: Candidates are looked at in stretches of this length, which overlap by half.
+STRETCH = 64
+#: Steps between a count and its double, by which words are ranked.
+STEPS = 64
 
 # Forms of candidates, and words that speak for or against one.
 KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
@@ -98,7 +102,10 @@ class Language:
 
     def __init__(self, words: dict[str, int]):
         self.words = {w for w in words if len(w) >= 3}
-        self.longest = max(map(len, self.words), default=0)
+        # Lengths of the words that begin with three letters, longest first.
+        self.lengths: dict[str, list[int]] = {}
+        for head, length in sorted({(w[:3], len(w)) for w in self.words}, key=lambda x: -x[1]):
+            self.lengths.setdefault(head, []).append(length)
         pairs: dict[str, int] = {}
         heads: dict[str, int] = {}
         for word, n in words.items():
@@ -116,14 +123,17 @@ class Language:
         """Share of the characters that dictionary words cover, taking the longest at each place, and the longest word."""
         low, covered, most, at = text.lower(), 0, 0, 0
         while at < len(low):
-            size = next((n for n in range(min(self.longest, len(low) - at, 20), 2, -1) if low[at:at + n] in self.words), 0)
+            size = next((n for n in self.lengths.get(low[at:at + 3], ()) if at + n <= len(low) and low[at:at + n] in self.words), 0)
             covered, most = covered + size, max(most, size)
             at += size or 1
         return covered / max(1, len(low)), most
 
 
 def telling(own: str, language: Language) -> str:
-    """The stretch of a long candidate that looks least like words and rulers: of even spread, changing kinds, uncovered."""
+    """The stretch of a candidate that looks least like words and rulers: of even spread, changing kinds, uncovered."""
+    if len(own) <= STRETCH:
+        return own
+
     def tells(part: str) -> float:
         kinds = [kind(c) for c in part]
         spread = -sum(n / len(part) * math.log2(n / len(part)) for n in Counter(part).values()) / math.log2(len(part))
@@ -134,10 +144,10 @@ def telling(own: str, language: Language) -> str:
 
 
 def describe(text: str, start: int, end: int, path: str | None, language: Language) -> list[float]:
-    """The values of ``FEATURES`` for one candidate. Of one above ``LONG`` characters, the length, the words around it and
-    its quote are of the whole, the rest is of the most telling stretch of it, wherever that lies."""
+    """The values of ``FEATURES`` for one candidate: the length, the words around it and its quote are of the whole, the rest
+    is of its most telling stretch, wherever that lies."""
     own = text[start:end]
-    seen = own if len(own) <= LONG else telling(own, language)
+    seen = telling(own, language)
     n = len(seen)
     kinds = [kind(c) for c in seen]
     counts = [c / n for c in Counter(seen).values()]
@@ -157,10 +167,19 @@ def describe(text: str, start: int, end: int, path: str | None, language: Langua
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> Language:
-    """The most frequent words of letters over all documents, with their counts."""
+    """The most frequent words of letters over all documents, with their counts: at most ``size``, without the words of a
+    rank that does not fit as a whole. Ranks are steps of the count's logarithm, so only their few sizes and the chosen words
+    reach the driver."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).collect()
-    return Language({r["word"]: r["count"] for r in top})
+    counts = stored(words.groupBy("word").count().withColumn("rank", F.floor(F.log2("count") * STEPS).cast("int")))
+    held, least = 0, None
+    for rank in counts.groupBy("rank").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("rank")).collect():
+        held += rank["words"]
+        if held > size:
+            break
+        least = rank["rank"]
+    chosen = [] if least is None else counts.where(F.col("rank") >= least).collect()
+    return Language({r["word"]: r["count"] for r in chosen})
 
 
 def labelled_findings(number: int = 600, seed: int = 3) -> list[tuple[str, int, int, str, int]]:

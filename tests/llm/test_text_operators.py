@@ -235,3 +235,33 @@ def test_mixing_reaches_the_targets(spark, docs):
     assert kept == pytest.approx(total, rel=0.1) and max(r._probability for r in got) == 1.0
     assert mixing.sampled(docs).columns == docs.columns
     assert len(mixing.mixed(docs).collect()) == len(ROWS) and mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_dictionary_against_counting(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "gamma", "delta", "ab", "x1y"]) + ("z" * (i % 3)) for _ in range(rng.randint(0, 30))) for i in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    every = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
+    whole = secrets.dictionary(docs)
+    assert whole.words == {w for w in every if len(w) >= 3}
+    few = secrets.dictionary(docs, size=5).words
+    ranked = sorted(every.values(), reverse=True)
+    assert len(few) <= 5 and all(every[w] >= ranked[4] for w in few)
+    assert secrets.dictionary(docs.limit(0)).words == set()
+
+
+def test_coverage_takes_the_longest_word_of_any_length():
+    long = "internationalisation" * 2
+    language = secrets.Language({"the": 5, "then": 3, long: 1, "ab": 9})
+    assert language.coverage("thenxthe") == (7 / 8, 4) and language.coverage("x" + long.upper()) == (40 / 41, 40) and language.coverage("ab") == (0.0, 0)
+
+
+def test_every_stretch_of_a_candidate_counts():
+    rng = random.Random(10)
+    language = secrets.Language({"the": 50, "and": 40, "ruler": 5})
+    for length in (65, 100, 255, 256, 257, 1000, 40_000):
+        secret = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+        at = rng.randint(0, length - 40)
+        own = "=" * at + secret + "=" * (length - 40 - at)
+        assert len(set(secrets.telling(own, language)) & set(secret)) > 12
+    assert secrets.telling("short", language) == "short"
