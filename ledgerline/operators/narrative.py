@@ -13,27 +13,29 @@ from ledgerline.functions.numbers import strip
 from ledgerline.functions.text import is_contents_page, mentions, opens_with
 
 ANYWHERE = ["objections", "portfolio"]
+# Fixed value: lines of a page among which a section's heading stands.
+FIRST_LINES = 8
 
 
-def content_pages(pages: DataFrame, words: dict[str, list[str]]) -> DataFrame:
-    """Pages with text that are not tables of contents, with a flag per section."""
+def content_pages(pages: DataFrame, words: dict[str, list[str]], first_lines: int = FIRST_LINES) -> DataFrame:
+    """Pages with text that are not tables of contents, with a flag per section, judged by their ``first_lines``."""
     text = F.col("text")
     flags = {}
     for name in words:
-        hit = opens_with(text, words[name])
+        hit = opens_with(text, words[name], first_lines)
         flags[name] = hit | mentions(text, words[name]) if name in ANYWHERE else hit
     content = pages.filter((strip(text) != "") & ~is_contents_page(text))
     return content.select("doc", "page", *[c.alias(n) for n, c in flags.items()])
 
 
-def section_pages(pages: DataFrame, words: dict[str, list[str]] | None = None) -> DataFrame:
+def section_pages(pages: DataFrame, words: dict[str, list[str]] | None = None, first_lines: int = FIRST_LINES) -> DataFrame:
     """Per report and section the one or two pages it is taken from.
 
     A section starts on the first page that announces it and runs over the next content page. Without such
     a page the introduction is the first two content pages and the conclusions the last two.
     """
     words = words or fixed.NARRATIVE_WORDS
-    content = content_pages(pages, words)
+    content = content_pages(pages, words, first_lines)
     page = F.col("page")
     firsts = content.groupBy("doc").agg(
         F.min(page).alias("head"), F.max(page).alias("tail"),
@@ -67,9 +69,9 @@ def section_pages(pages: DataFrame, words: dict[str, list[str]] | None = None) -
 
 
 def narrative_sections(pages: DataFrame, words: dict[str, list[str]] | None = None,
-                       lengths: dict[str, int] | None = None) -> DataFrame:
+                       lengths: dict[str, int] | None = None, first_lines: int = FIRST_LINES) -> DataFrame:
     """Text of each section; with ``lengths``, cut to the room each has (see ``fixed.NARRATIVE_LENGTHS``)."""
-    wanted = section_pages(pages, words).select("doc", "place", "section", F.explode("pages").alias("page"))
+    wanted = section_pages(pages, words, first_lines).select("doc", "place", "section", F.explode("pages").alias("page"))
     texts = wanted.join(pages.select("doc", "page", "text"), ["doc", "page"])
     # A section has at most two pages.
     joined = texts.groupBy("doc", "place", "section").agg(F.concat_ws(
