@@ -164,6 +164,7 @@ def lines_of(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
                     line=number, key=[keys[i] for i in at], simhash=simhashes(list(distinct))[at])
 
     def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memory("line texts")  # needs none: gives back what was remembered for hashing
         for frame in slices(frames):
             found = {key: words for _, _, words in each(frame) if wanted[spot(key := xxh3_128_digest(words.encode()))]}
             if found:
@@ -178,6 +179,7 @@ def lines_of(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
 def _verify(similarity: float, budget: int):
     """Forest links between lines of one task: rows (line, part, simhash, words), parts a and b of a candidate set."""
     def run(task: pd.DataFrame) -> pd.DataFrame:
+        memory("line pairs")
         task = task.sort_values("line", ignore_index=True)
         value = task["simhash"].to_numpy().view(np.uint64)
         words, line = task["words"].tolist(), task["line"].to_numpy()
@@ -235,6 +237,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, removed: pd.Series) -> pd.Series:
+        memory("line removal")
         return pd.Series([t if r is None else _without(t, r) for t, r in zip(texts, removed)], dtype=object)
 
     changed = joined.withColumn("rest", rest("text", "gone"))
