@@ -1,10 +1,12 @@
 """Intermediate results that outlive an executor.
 
-They go to the shared folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, a folder is made.
+They go to the shared folder of ``spark.checkpoint.dir``; only in a local session that has none, as in tests, a folder is made.
+Tables stay there until the folder is cleared; a job's are named ``ledgerline-`` and a random number.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ledgerline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
