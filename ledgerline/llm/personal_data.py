@@ -6,8 +6,8 @@ trained from a small labelled table and decoded by Viterbi, many word sequences
 where they overlap no other and look valid (digits, check sum); so phone numbers without a plus sign, spelled-out addresses
 and the like come in.
 
-Only words with a digit or an at sign, in any spelling, can begin a kind. The field is decoded on the words within ``REACH``
-of such a word; all others are outside by this constraint. Whole texts are read, whatever their length.
+Every word of every text is scored and may begin a kind, whatever the text's length. Viterbi runs on the stretches that a span
+of the likeliest labelling may touch; a bound proves all other words to be outside in it, so the labels are those of whole texts.
 
 Edge cases: null and empty texts have no spans. Rows are treated one by one, so repeated rows and null ids keep their
 places. An empty table gives an empty result. An empty labelled table leaves the patterns alone. Only id and text are read.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -25,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerline.llm.memory import memory
+
 # The kinds, and the patterns of the contract. A look behind keeps long runs of digits from being tried at each digit.
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -36,11 +39,17 @@ DIGIT = re.compile(r"[0-9]")
 
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 BUCKETS = 1 << 12
-#: Words around a telling word that are decoded with it.
-REACH = 3
 STEPS, RATE, RIDGE = 60, 0.15, 0.002
 WORD = re.compile(r"\S+")
-TELLING = re.compile(r"[0-9@]|^[(\[{<]?(?:at|AT)[)\]}>]$")
+LETTER = re.compile("[A-Za-z]")
+KNOWN = frozenset(("at", "dot", "com", "org", "net", "edu", "gov", "info"))
+PAUSES = frozenset(".,;:!?")
+#: Words without digits whose shape a worker remembers, more or less.
+REMEMBERED = 1 << 17
+MARKS = ".,;:!?()[]{}<>\"'"
+# An address in any spelling: local part, at, and a domain with a dot, each sign written out or not, in brackets or not.
+SPELLED = re.compile(r"""\W*[\w.%+-]+(?:\s+dot\s+[\w.%+-]+)*\s*[(\[{<]?\s*(?:@|\bat\b)\s*[)\]}>]?\s*
+    [\w-]+(?:(?:\.|\s*[(\[{<]?\s*\bdot\b\s*[)\]}>]?\s*)[\w-]+)+""", re.I | re.X)
 
 
 def luhn(digits: str) -> bool:
@@ -52,7 +61,7 @@ def valid(kind: str, text: str) -> bool:
     """Whether a span of the field can be of its kind."""
     digits = "".join(DIGIT.findall(text))
     if kind == "email":
-        return bool(re.search(r"[A-Za-z0-9]", text)) and bool(re.search(r"@|\bat\b", text, re.I)) and bool(re.search(r"\.|\bdot\b", text, re.I))
+        return SPELLED.fullmatch(text) is not None
     if kind == "ip":
         parts = DIGIT.sub("0", text).strip("[]().,") and re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -88,21 +97,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def shape(word: str) -> str:
     """Kinds of characters with their numbers: letters x and X, digits 0, others themselves."""
+    core = word[:-1] if word[-1:] in PAUSES else word
+    if core.isascii() and core.isalpha() and (core.islower() or core[1:].islower()):  # most words; the same as below
+        first, rest = ("x", core) if core[0].islower() else ("X", core[1:])
+        return (first if first == "X" else "") + ("x" if len(rest) == 1 else "x+") + word[len(core):]
     kinds = "".join("0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
     return re.sub(r"(.)\1+", lambda m: m[1] + (str(len(m[0])) if m[1] == "0" and len(m[0]) < 20 else "+"), kinds)
 
 
+def known_word(word: str) -> str:
+    """The word's letters, if they write out a sign or a domain's end; all other words with letters are one."""
+    core = word.strip(MARKS).lower()
+    return core if core in KNOWN else "*" if LETTER.search(word) else ""
+
+
 def features(words: list[str]) -> np.ndarray:
     """Buckets of the features of each word of a sequence, one row a word."""
     shapes = ["<", *map(shape, words), ">"]
-    plain = [re.sub(r"[^a-z]", "", w.lower()) for w in words]
     rows = []
     for i, word in enumerate(words):
         before, own, after = shapes[i:i + 3]
-        digits = min(20, sum(c.isdigit() for c in word))
-        values = (f"s{own}", f"b{before}", f"a{after}", f"ba{before}|{own}", f"aa{own}|{after}", f"d{digits}", f"w{plain[i]}" if digits == 0 else f"e{own[:2]}{own[-2:]}",
-                  f"p{plain[i - 1] if i else ''}", f"@{'@' in word}{'.' in word}{word[:1] == '+'}")
-        rows.append([crc32(v.encode()) % BUCKETS for v in values])
+        values = (*word_features(word, own), f"b{before}", f"a{after}", f"ba{before}|{own}", f"aa{own}|{after}", f"p{known_word(words[i - 1]) if i else ''}")
+        rows.append([crc32(v.encode("utf-8", "replace")) % BUCKETS for v in values])
     return np.array(rows, np.int32).reshape(len(words), -1)
 
 
@@ -166,70 +182,152 @@ def train(rows: list[tuple[list[str], list[str]]], steps: int = STEPS) -> Field:
     return Field(emit, np.where(follow, move, -1e9), np.where(begin, first, -1e9))
 
 
-def decode(field: Field, sequences: list[list[str]], batch: int = 20_000) -> list[np.ndarray]:
-    """The likeliest labels of each sequence, by Viterbi over batches of sequences of like length."""
-    out: list[np.ndarray] = [np.zeros(0, int)] * len(sequences)
-    order = sorted((i for i in range(len(sequences)) if sequences[i]), key=lambda i: len(sequences[i]))
+def word_features(word: str, own: str) -> tuple[str, str, str, str]:
+    """The features of a word that its neighbours have no part in; ``own`` is its shape."""
+    digits = min(20, sum(c.isdigit() for c in word)) if "0" in own else 0
+    return f"s{own}", f"d{digits}", f"w{known_word(word)}" if digits == 0 else f"e{own[:2]}{own[-2:]}", f"@{'@' in word}{'.' in word}{word[:1] == '+'}"
+
+
+def emissions(field: Field, sequences: list[list[str]]) -> np.ndarray:
+    """Sums of the weights of :func:`features` for every word of all sequences, one row a word.
+
+    Different words, and pairs of neighbours, are described once, then looked up.
+    """
+    def weights(values: list[str]) -> np.ndarray:
+        return field.emit[[crc32(v.encode("utf-8", "replace")) % BUCKETS for v in values]]
+
+    sizes = np.array([len(s) for s in sequences])
+    first = np.cumsum(sizes) - sizes
+    flat = np.empty(sizes.sum(), object)
+    flat[:] = [w for s in sequences for w in s]
+    code, words = pd.factorize(flat)
+    alike: dict[tuple, int] = {}  # words of the same features: of one shape and known word, those with digits apart
+    of, seen = [], memory("personal_data")
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    for w in words:
+        said = seen.get(w)
+        if said is None:
+            said = shape(w), known_word(w)
+            if "0" in said[0]:
+                said = *said, w
+            elif len(w) < 20:
+                seen[w] = said
+        of.append(alike.setdefault(said, len(alike)))
+    own, count = np.array(of)[code], len(alike)
+    described = [word_features(words[i], s) for (s, *_), i in zip(alike, np.unique(of, return_index=True)[1])]
+    kinds = [*((s, k) for s, k, *_ in alike), ("<", ""), (">", "")]
+    before, after = np.concatenate([[0], own[:-1]]), np.concatenate([own[1:], [0]])
+    before[first], after[first + sizes - 1] = count, count + 1
+    left, lefts = pd.factorize(before * len(kinds) + own)
+    right, rights = pd.factorize(own * len(kinds) + after)
+    pairs = [(kinds[p // len(kinds)], kinds[p % len(kinds)]) for p in lefts]
+    score = sum(weights([f[i] for f in described]) for i in range(4))[own]
+    score += (weights([f"b{a}" for (a, _), _ in pairs]) + weights([f"ba{a}|{b}" for (a, _), (b, _) in pairs]) + weights([f"p{k}" for (_, k), _ in pairs]))[left]
+    pairs = [(kinds[p // len(kinds)][0], kinds[p % len(kinds)][0]) for p in rights]
+    score += (weights([f"a{b}" for _, b in pairs]) + weights([f"aa{a}|{b}" for a, b in pairs]))[right]
+    return score
+
+
+def possible(field: Field, score: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words that a kind's span in a likeliest labelling may cover; all others are outside in every likeliest labelling.
+
+    Replacing a span by outside labels is always allowed. What a span gains over that is at most a part for its first word,
+    one for each further word and one for its end, so the best span over a word follows from running maxima. ``first``: where sequences begin.
+    """
+    move, apart = field.move, 1e6
+    out = np.zeros(len(score), bool)
+    for begin in range(1, len(LABELS), 2):
+        inner, follow = begin + 1, [0, *range(1, len(LABELS), 2)]
+        enter = max((move[:, begin] - move[:, 0]).max(), field.first[begin] - field.first[0])
+        stay = max(move[begin, inner], move[inner, inner]) - move[0, 0]
+        leave = max(0.0, *(move[x, n] - move[0, n] for x in (begin, inner) for n in follow))
+        more = score[:, inner] - score[:, 0] + stay
+        more[first] -= apart  # no span reaches into the next sequence
+        total = np.cumsum(more)
+        opened = np.maximum.accumulate(score[:, begin] - score[:, 0] + enter - total)
+        closed = np.maximum.accumulate(total[::-1])[::-1]
+        out |= opened + closed + leave >= -1e-3
+    return out
+
+
+def likeliest(field: Field, runs: list[tuple[np.ndarray, bool, bool]], batch: int) -> list[np.ndarray]:
+    """The likeliest labels of runs (scores, whether outside words stand before and after), by Viterbi over batches of like length."""
+    out: list[np.ndarray] = [np.zeros(0, int)] * len(runs)
+    order = sorted(range(len(runs)), key=lambda i: len(runs[i][0]))
     start = 0
     while start < len(order):
         end = start + 1
-        while end < len(order) and (end - start + 1) * len(sequences[order[end]]) <= batch:
+        while end < len(order) and (end - start + 1) * len(runs[order[end]][0]) <= batch:
             end += 1
-        own = order[start:end]
-        sizes = np.array([len(sequences[i]) for i in own])
+        own = [runs[i] for i in order[start:end]]
+        sizes = np.array([len(r[0]) for r in own])
         score = np.zeros((len(own), sizes.max(), len(LABELS)))
-        for row, i in enumerate(own):
-            score[row, :sizes[row]] = field.emit[features(sequences[i])].sum(1)
-        best, came = field.first + score[:, 0], np.zeros(score.shape, np.int8)
+        for row, r in enumerate(own):
+            score[row, :sizes[row]] = r[0]
+        best = np.where(np.array([r[1] for r in own])[:, None], field.move[0], field.first) + score[:, 0]
+        came = np.zeros(score.shape, np.int8)
         for t in range(1, sizes.max()):
             ways = best[:, :, None] + field.move
             came[:, t] = ways.argmax(1)
             best = np.where((t < sizes)[:, None], ways.max(1) + score[:, t], best)
-        for row, i in enumerate(own):
+        best = best + np.where(np.array([r[2] for r in own])[:, None], field.move[:, 0], 0)
+        for row in range(len(own)):
             label = int(best[row].argmax())
             path = [label]
             for t in range(sizes[row] - 1, 0, -1):
                 label = int(came[row, t, label])
                 path.append(label)
-            out[i] = np.array(path[::-1])
+            out[order[start + row]] = np.array(path[::-1])
         start = end
     return out
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """The words (start, end) within reach of a telling word, in stretches that do not touch."""
-    if "@" not in text and not DIGIT.search(text) and not re.search(r"\bat\b", text, re.I):
-        return []
-    words = [m.span() for m in WORD.finditer(text)]
-    out: list[list[tuple[int, int]]] = []
-    last = -1
-    for i, (a, b) in enumerate(words):
-        if TELLING.search(text[a:b]):
-            low = max(i - REACH, last + 1)
-            if not out or low > last + 1 or last < 0:
-                out.append([])
-            out[-1] += words[low:min(len(words), i + REACH + 1)] if last < i + REACH else []
-            last = max(last, min(len(words), i + REACH + 1) - 1)
+def decode(field: Field, sequences: list[list[str]], batch: int = 20_000, words: int = 200_000) -> list[np.ndarray]:
+    """The likeliest labels of each sequence, all its words regarded; some ``words`` of whole sequences at a time."""
+    out = [np.zeros(len(s), np.int8) for s in sequences]
+    filled = [i for i, s in enumerate(sequences) if s]
+    start = 0
+    while start < len(filled):
+        end, held = start, 0
+        while end < len(filled) and (end == start or held + len(sequences[filled[end]]) <= words):
+            held += len(sequences[filled[end]])
+            end += 1
+        own = filled[start:end]
+        sizes = np.array([len(sequences[i]) for i in own])
+        first = np.cumsum(sizes) - sizes
+        score = emissions(field, [sequences[i] for i in own])
+        maybe = possible(field, score, first)
+        begins = np.flatnonzero(maybe & ~np.concatenate([[False], maybe[:-1]]) | maybe & np.isin(np.arange(held), first))
+        ends = np.flatnonzero(maybe & ~np.concatenate([maybe[1:], [False]]) | maybe & np.isin(np.arange(held), first + sizes - 1)) + 1
+        of = np.searchsorted(first, begins, "right") - 1
+        found = likeliest(field, [(score[a:b], a > first[i], b < first[i] + sizes[i]) for a, b, i in zip(begins, ends, of)], batch)
+        for a, b, i, labels in zip(begins, ends, of, found):
+            out[own[i]][a - first[i]:b - first[i]] = labels
+        start = end
     return out
 
 
-def added_spans(text: str, stretches: list[list[tuple[int, int]]], labels: list[np.ndarray], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Valid spans of the decoded labels that overlap no span already taken."""
+def added_spans(text: str, words: list[tuple[int, int]], own: np.ndarray, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Valid spans of the decoded labels of a text's words that overlap no span already taken."""
+    merged: list[list[int]] = []
+    for _, a, b in sorted(taken, key=lambda s: s[1:]):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
     out: list[tuple[str, int, int]] = []
-    for words, own in zip(stretches, labels):
-        at = 0
-        while at < len(words):
-            name = LABELS[own[at]]
-            end = at + 1
-            if name[0] == "B":
-                while end < len(words) and LABELS[own[end]] == "I" + name[1:]:
-                    end += 1
-                start, stop = words[at][0], words[end - 1][1]
-                while stop > start and text[stop - 1] in ".,;:!?)]>\"'" and not (text[stop - 1] == ")" and "(" in text[start:stop - 1]):
-                    stop -= 1
-                if valid(name[2:], text[start:stop]) and all(stop <= a or start >= b for _, a, b in taken + out):
-                    out.append((name[2:], start, stop))
-            at = end
+    for at in np.flatnonzero(np.array([n[0] == "B" for n in LABELS])[own]):
+        kind, end = LABELS[own[at]][2:], at + 1
+        while end < len(words) and LABELS[own[end]] == "I-" + kind:
+            end += 1
+        start, stop = words[at][0], words[end - 1][1]
+        while stop > start and text[stop - 1] in ".,;:!?)]>\"'" and not (text[stop - 1] == ")" and "(" in text[start:stop - 1]):
+            stop -= 1
+        last = bisect_left(starts, stop) - 1  # the last one taken that begins before the span ends
+        if valid(kind, text[start:stop]) and (last < 0 or merged[last][1] <= start):
+            out.append((kind, start, stop))
     return out
 
 
@@ -264,6 +362,11 @@ def labelled_examples(number: int = 360, seed: int = 5) -> list[tuple[list[str],
         before, own, after = plain(), middle.split(), plain()
         marks = [f"B-{kind}", *[f"I-{kind}"] * (len(own) - 1)] if kind else ["O"] * len(own)
         out.append((before + own + after, ["O"] * len(before) + marks + ["O"] * len(after)))
+    # Running prose, in which at and dot are words like others.
+    small = ["at", "dot", "to", "of", "the", "in", "and", "on"]
+    for _ in range(number // 20):
+        prose = [w + rng.choice(["", "", "", ",", "."]) for w in (rng.choice(small) if rng.random() < 0.3 else rng.choice(plain()) for _ in range(rng.randint(6, 14)))]
+        out.append((prose, ["O"] * len(prose)))
     return out
 
 
@@ -287,11 +390,9 @@ def find(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
                 continue
             texts = [t or "" for t in frame["text"]]
             base = [base_spans(t) for t in texts]
-            where = [windows(t) for t in texts]
-            labels = iter(decode(sent.value, [[texts[i][a:b] for a, b in words] for i, own in enumerate(where) for words in own]))
             spans = []
-            for text, own, stretches in zip(texts, base, where):
-                new = added_spans(text, stretches, [next(labels) for _ in stretches], own)
+            for text, own, labels in zip(texts, base, decode(sent.value, [t.split() for t in texts])):
+                new = added_spans(text, [m.span() for m in WORD.finditer(text)], labels, own) if labels.any() else []
                 every = [(*s, True) for s in own] + [(*s, False) for s in new]
                 spans.append([dict(zip(("kind", "start", "end", "base"), s)) for s in sorted(every, key=lambda s: (KINDS.index(s[0]), *s[1:3]))])
             yield pd.DataFrame({"id": frame["id"], "spans": spans})

@@ -265,3 +265,31 @@ def test_every_stretch_of_a_candidate_counts():
         own = "=" * at + secret + "=" * (length - 40 - at)
         assert len(set(secrets.telling(own, language)) & set(secret)) > 12
     assert secrets.telling("short", language) == "short"
+
+
+def test_personal_data_field_reads_every_word(spark):
+    field = personal_data.train(personal_data.labelled_examples())
+    rng = random.Random(3)
+    some = [w for words, _ in personal_data.labelled_examples(60, seed=12) for w in words] + ["", "+", "Ab", "aB.", "é,", "٣x", "a@b", "\ud800"]
+    texts = [[w for w in (rng.choice(some) for _ in range(rng.randint(0, 60))) if w] for _ in range(120)] + [["word"] * 300]
+
+    def plain(words):
+        best, came = None, []
+        for scores in field.emit[personal_data.features(words)].sum(1) if words else []:
+            if best is None:
+                best = field.first + scores
+                continue
+            ways = best[:, None] + field.move
+            came.append(ways.argmax(0))
+            best = ways.max(0) + scores
+        path = [] if best is None else [int(best.argmax())]
+        for step in came[::-1]:
+            path.append(int(step[path[-1]]))
+        return path[::-1]
+
+    assert [x.tolist() for x in personal_data.decode(field, texts, words=500)] == [plain(t) for t in texts]
+    # Found far from digits, at signs and brackets, and not where prose only has the same words.
+    frame = spark.createDataFrame([(1, "we met there " * 40 + "write to mario at libro dot com " + "and so on " * 40), (2, "we met at noon. then " * 50)], "doc_id long, text string")
+    got = {r.id: [(s["kind"], s["start"], s["end"]) for s in r.spans] for r in personal_data.find(frame, personal_data.examples_table(spark)).collect()}
+    begin = len("we met there " * 40 + "write to ")
+    assert got == {1: [("email", begin, begin + len("mario at libro dot com"))], 2: []}
