@@ -21,15 +21,17 @@ def carry_forward(
     page, table and every thousand rows. One task holds the rows of one block, or the summaries of one group.
     """
     names = list(values)
-    whole = F.struct(*(df.columns if keep is None else keep))
+    # A struct in an array: of a bare struct Spark would keep other fields for each of the two readers of the exchange, and
+    # prepare it twice.
+    whole = F.array(F.struct(*(df.columns if keep is None else keep)))
     # Group and block are one column, so that rows without a group keep together and every step finds the same dealing.
     dealt = df.select(
         F.struct(*group, block.alias("block")).alias("_key"), F.struct(*order).alias("_at"),
         F.struct(*[c.alias(n) for n, c in values.items()]).alias("_own"), whole.alias("_row")).repartition("_key")
 
-    # Summaries look at the whole row as well; asking for less would make Spark prepare the exchange a second time.
+    # Summaries ask for the row as well; with less Spark would prepare the exchange a second time.
     last = [F.max_by(F.col("_own")[n], F.when(F.col("_own")[n].isNotNull(), F.col("_at"))).alias(n) for n in names]
-    ends = dealt.groupBy("_key").agg(*last, F.max(F.xxhash64("_row")).alias("_seen")).filter("_seen IS NOT NULL").drop("_seen")
+    ends = dealt.groupBy("_key").agg(*last, F.max(F.size("_row")).alias("_seen")).filter("_seen IS NOT NULL").drop("_seen")
     earlier = Window.partitionBy(*[F.col("_key")[c] for c in group]).orderBy(F.col("_key")["block"]).rowsBetween(Window.unboundedPreceding, -1)
     over = ends.select("_key", F.struct(*[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in names]).alias("_over"))
     over = over.filter(F.coalesce(*[F.col("_over")[n].cast("string") for n in names]).isNotNull())
@@ -37,4 +39,4 @@ def carry_forward(
     so_far = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     inside = dealt.select("_key", "_row", F.struct(*[F.last(F.col("_own")[n], ignorenulls=True).over(so_far).alias(n) for n in names]).alias("_in"))
     return inside.join(over, "_key", "left").select(
-        "_row.*", *[F.coalesce(F.col("_in")[n], F.col("_over")[n]).alias(n) for n in names])
+        F.inline("_row"), *[F.coalesce(F.col("_in")[n], F.col("_over")[n]).alias(n) for n in names])

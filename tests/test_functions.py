@@ -206,3 +206,19 @@ def test_character_references(spark, value):
 
     for text, plain in [("&#225;&#xE1;&#x1F600;", "áá😀"), ("&amp;#39;&amp;amp;", "&#39;&amp;"), ("&#0;&#xD800;&#9999999;", "�" * 3), ("a & b &copy;", "a & b &copy;")]:
         assert value(plain_text(F.col("t")), t=text) == plain
+
+
+def test_numbers_of_a_list_are_read_as_one_by_one(spark):
+    from ledgerline.functions.numbers import parse_number, parse_numbers
+
+    texts = ["1.234,5", "(1.000)", "(-5)", "1,5", "1.234.567", "12.5", "1,234.567", "1,234.56", "x", "", None, "()", "(7", "7)", "-(3)", " 4 5 ", "1e3", ".5", "(.500)", "1.2.3", "(1,5", "((2))", ".(01"]
+    want = [1234.5, -1000.0, 5.0, 1.5, 1234567.0, 12.5, 1234567.0, 1234.56, None, None, None, None, 7.0, 7.0, None, 45.0, 1000.0, 0.5, -500.0, None, 1.5, -2.0, None]
+    df = spark.createDataFrame([(texts,)], "t array<string>").select("t", parse_numbers(F.col("t")).alias("v"))
+    assert df.first()["v"] == want
+    assert [r["v"] for r in df.select(F.explode("t").alias("t")).select(parse_number(F.col("t")).alias("v")).collect()] == want
+
+
+def test_header_years_where_years_stand_in_longer_words(value):
+    text = "Informe 2024\n20245 2023\n2023-A2024 2023\n2023 y 2024\n2024 2023"
+    assert tuple(value(header_years(X, "2026-02-02"), x=text)) == (2024, 2023, False)
+    assert tuple(value(header_years(X, "2026-02-02"), x="al 2024\nal 2023")) == (2024, 2023, True)

@@ -199,3 +199,30 @@ def test_reports_of_several_companies(spark):
     result, _ = jobs.reports_to_financials(schema.empty(spark, schema.FINANCIALS), table, schema.empty(spark, schema.PAGES), "2026-01-01", reports=whose)
     assert {(r["ticker"], r["fiscal_year"]): r["cash"] for r in result.financials.collect()} == {
         ("a", 2023): 5.0, ("a", 2022): 1.0, ("a", 2024): 6.0, ("b", 2024): 7.0, ("b", 2023): 1.0}
+
+
+def test_cells_are_parsed_once_and_no_text_moves(spark):
+    table = cells(spark, [(1, 0, 0, ["Concepto", "2024", "2023"]), (2, 0, 1, ["Efectivo", "5 *", "4"])]).repartition(2, "row_no")
+    # Fewer columns than the rows hold: the two readers of the exchange must still ask for the same ones.
+    rows = statements.cell_rows(table).drop("country", "fiscal_year")
+    assert [(r["label"], r["value"]) for r in rows.collect()] == [("Efectivo", 5.0)]
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
+    assert all("cells" not in part.split("\n")[0] for part in plan.split("Exchange hashpartitioning(_key")[1:])
+
+
+def test_costly_columns_are_compiled(spark):
+    # An explode that held a higher-order function had every column beside it interpreted.
+    for made in (statements.cell_rows(cells(spark, [(1, 0, 0, ["Efectivo", "5"])])), statements.extract_scans(pages(spark, ["Efectivo 7.000"], 1), "2026-01-01").values):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        steps = [line for line in plan.split("\n") if "Generate explode" in line and "_computed" in line]
+        assert steps and all("_made" in line and "transform(" not in line and "rlike" not in line.lower() for line in steps)
+
+
+def test_lines_without_digits_are_left_early(spark):
+    texts = ["Estado de Resultados 2024\nsin valor\nEfectivo   x\nVentas netas   1.000\nInventarios\t(٣)"]
+    assert found(statements.extract_lines(pages(spark, texts))) == {(2024, "revenue"): 1000.0}
+    assert found(statements.extract_scans(pages(spark, texts, 1), "2026-01-01")) == {(2024, "revenue"): 1000.0}
+    rows = statements._kind_rows(pages(spark, texts), "2026-01-01", ("text_lines",), None, None)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(raw" in plan
