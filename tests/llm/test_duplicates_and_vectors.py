@@ -134,6 +134,62 @@ def test_line_groups(spark, part):
         assert kept.get(d) == (left if alive else None)
 
 
+def test_lines_of_whole_texts():
+    odd = ["", "\n\n", "A-b_c  D\tE\r\n\u2028x\x85y", "ΟΔΟΣ\nΑΣ. Σ\nİstanbul ßẞ", "naïve café—№ 5 ½ x²\n\x1c中文、字 e\u0301 \U0001d7d9\U0001f600z", "'t is 1,5!\n_"]
+    for text in [*odd, *(c.join("ab") for c in map(chr, range(1, 0x3000)) if c != "\n")]:
+        assert line_dedup.normalised_lines(text) == [line_dedup.normalised(x) for x in text.split("\n")]
+
+
+def test_simhashes_over_slices(monkeypatch):
+    monkeypatch.setattr(line_dedup, "SLICE", 500)
+    rng = random.Random(6)
+    lines = [" ".join(f"w{rng.randrange(900)}é" for _ in range(rng.choice([1, 2, 30, 254, 256, 1200]))) for _ in range(60)]
+    for line, got in zip(lines, line_dedup.simhashes(lines)):
+        values = [xxh64_intdigest(w.encode()) for w in set(line.split(" "))]
+        assert int(got) % 2 ** 64 == sum(1 << bit for bit in range(64) if 2 * sum(v >> bit & 1 for v in values) > len(values))
+    assert len(line_dedup.simhashes([])) == 0
+
+
+@pytest.mark.parametrize("crowd", [line_dedup.CROWD, 100])
+def test_block_links(spark, crowd):
+    rng = random.Random(7)
+    values = [rng.getrandbits(64) for _ in range(150)]
+    values += [0xABCD << 48 | rng.getrandbits(48) for _ in range(400)]  # more in one block than are compared pair by pair
+    for bits in (1, 2, 3, 3, 4, 4):
+        for v in rng.sample(values, 80):
+            for bit in rng.sample(range(64), bits):
+                v ^= 1 << bit
+            values.append(v)
+    values = np.unique(np.array(values, np.uint64))
+    frame = spark.createDataFrame(pd.DataFrame({"fp": values.view(np.int64)}))
+    got = {r.node: r.component for r in C.components(line_dedup.block_links(frame, "fp", 3, crowd), "a", "b").collect()}
+    root = joined(len(values), [(i, int(j)) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= 3)])
+    groups = {}
+    for v, r in zip(values.view(np.int64).tolist(), root):
+        groups.setdefault(r, []).append(v)
+    assert got == {v: min(g) for g in groups.values() if len(g) > 1 for v in g}
+
+
+def test_verified_links_of_cut_frames():
+    words = ["one two three four five six seven"[:k] + "x" for k in (27, 29, 30, 31)] + ["other words", "other wordz"]
+    rows = pd.DataFrame([(s, 0, p, n, 0, w) for s in range(4) for p in range(2) for n, w in enumerate(words[: 6 - s])],
+                        columns=["set", "part_a", "part_b", "line", "simhash", "words"])
+    run = line_dedup._verify(0.8, 3)
+    whole = pd.concat(list(run(iter([rows]))))
+    for size in (1, 4, 7):
+        cut = pd.concat(list(run(rows.iloc[i:i + size] for i in range(0, len(rows), size))))
+        assert cut.to_numpy().tolist() == whole.to_numpy().tolist()
+    assert len(whole) == 2 * (4 + 3 + 3 + 2) and not list(run(iter([])))
+
+
+def test_single_lines_are_joined_to_nothing(spark):
+    frame = spark.createDataFrame([(1, "one line\nother words here"), (2, "one line\nonly this")], "doc_id long, text string")
+    found = line_dedup.occurrences(frame)
+    assert "GreaterThan(copies,1)" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.line): (r.first["id"], r.first["line"], r.kept) for r in found.collect()} == {
+        (1, 0): (1, 0, True), (1, 1): (1, 1, True), (2, 0): (1, 0, False), (2, 1): (2, 1, True)}
+
+
 def test_lines_of_odd_rows(docs):
     got = line_dedup.without_repeats(docs, length_col="n_chars")
     assert got.columns == docs.columns and got.count() == len(ROWS)
