@@ -226,3 +226,63 @@ def test_lines_without_digits_are_left_early(spark):
     rows = statements._kind_rows(pages(spark, texts), "2026-01-01", ("text_lines",), None, None)
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE(raw" in plan
+
+
+def moved(df):
+    """Rows written by all exchanges of a finished plan."""
+    def total(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return total(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return total(node.plan())
+        if name == "ReusedExchangeExec":
+            return 0
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(total(node.children().apply(i)) for i in range(node.children().size()))
+
+    df.collect()
+    return total(df._jdf.queryExecution().executedPlan())
+
+
+def many_tables(n):
+    """A report with a header every hundred tables, each table of one row."""
+    return [(t // 50, t, t % 7, ["Concepto", "2024", "2023"] if t % 100 == 0 else ["", "dic 23", "dic 24"] if t % 250 == 0 else [f"Efectivo {t}", str(t), str(-t)])
+            for t in range(n)]
+
+
+def test_rows_of_a_short_report_move_once(spark):
+    # Summaries of blocks, one for nearly every row, went to the report and back before.
+    rows = statements.cell_rows(cells(spark, many_tables(2000)))
+    assert 1980 <= moved(rows) <= 2010
+    got = {r["label"]: (r["value"], r["value_before"]) for r in rows.collect()}
+    turned = lambda t: t % 500 >= 250 and t // 100 == (t // 250 * 250) // 100
+    assert all(got[f"Efectivo {t}"] == ((-t, t) if turned(t) else (t, -t)) for t in range(1, 2000) if t % 100 and t % 250)
+    # A filter on a column of the key would have kept the two readers of the exchange from sharing it.
+    assert moved(statements.cell_rows(cells(spark, many_tables(2000))).filter("doc = 'd' AND page >= 0")) <= 2010
+
+
+def test_long_reports_are_cut(spark, monkeypatch):
+    table = cells(spark, many_tables(700)).unionByName(
+        spark.createDataFrame([(None, "CO", 2024, 1, 0, i, c) for i, c in enumerate([["Concepto", "2023", "2024"]] + [["Efectivo", "5", "6"]] * 300)], schema.CELLS))
+    short = sorted(map(str, statements.cell_rows(table).collect()))
+    monkeypatch.setattr("ledgerline.operators.carry.SHORT", 200)
+    long = statements.cell_rows(table)
+    assert sorted(map(str, long.collect())) == short and len(short) == 692 + 300
+    plan = long._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin [coalesce(doc" in plan and "ReusedExchange" in plan
+
+
+def test_lines_and_pages_of_reports_move_once(spark):
+    # Two aggregations, a window, the headings and a join moved them up to five times before.
+    scans = [(f"s{i}", "CO", 2024, p, "", "Estado de Resultados 2022\nVentas netas 5.000 4.000\nCosa nueva 9.000", 1) for i in range(100) for p in (1, 2)]
+    texts = [(f"t{i}", "CO", 2024, p, "Balance General\nEfectivo   1.000\n" + "palabra " * 10, None, 0) for i in range(50) for p in (1, 70)]
+    df = spark.createDataFrame(scans + texts, "doc string, country string, fiscal_year int, page int, text string, recognised string, n_images int")
+    found_values = statements.read_reports(cells(spark, []), df, "2026-01-01").values
+    assert moved(found_values) <= 2 * (200 + 100) + 20  # a row for each page and each line of a known field
+    assert {(r["method"], r["section"]) for r in found_values.collect()} == {("scan_lines", "income"), ("text_lines", "balance")} and found_values.count() == 250
+
+
+def test_first_line_of_a_text_counts_whatever_its_amount(spark):
+    df = pages(spark, ["Efectivo   1e999\n" + "palabra " * 10, "Efectivo   5"])
+    assert found(statements.read_reports(cells(spark, []), df, "2026-01-01")) == {(2024, "cash"): float("inf")}
