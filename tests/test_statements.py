@@ -283,6 +283,27 @@ def test_lines_and_pages_of_reports_move_once(spark):
     assert {(r["method"], r["section"]) for r in found_values.collect()} == {("scan_lines", "income"), ("text_lines", "balance")} and found_values.count() == 250
 
 
+def test_sections_found_beside_the_values(spark):
+    # Against the look-up by block of pages, on pages at the ends of blocks, with two headings, gaps, two countries and no number.
+    rng = random.Random(11)
+    heads = ["Balance General", "Estado de Resultados", "Flujos de caja", "nada"]
+    numbers = [0, 1, 5, 62, 63, 64, 65, 127, 128, 191, 192, 400, 1000, -1, -64, -65, None]
+    text = lambda: rng.choice(heads) + "\n" + rng.choice(["Efectivo   5\nInventarios   6", "Ventas netas   9", "Total activos   4", "x"]) + "\n" + "palabra " * 10
+    rows = [(f"d{d}", rng.choice(["CO", "CO", "PE"]), 2024, p, text(), 0) for d in range(40) for p in rng.sample(numbers, rng.randint(1, 8)) * rng.choice([1, 1, 2])]
+    df = spark.createDataFrame(rows, schema.PAGES).localCheckpoint()
+    table = spark.createDataFrame([(f"d{d}", "CO", 2024, rng.choice(numbers), 0, 0, [rng.choice(["Efectivo", "Total pasivos"]), "7"]) for d in range(0, 60, 2)], schema.CELLS)
+    values = statements.read_reports(table, df, "2026-01-01").values
+    by_blocks = statements._with_sections(values.drop("section"), df).select(*values.columns)
+    assert values.count() > 60 and {r["section"] for r in values.collect()} == {"balance", "income", "cashflow", "unknown"}
+    # A field on two rows of one page is read from either, so sections are compared by place.
+    places = lambda x: sorted(set(map(str, x.select("doc", "page", "section").collect())))
+    assert places(values) == places(by_blocks)
+    scans = df.withColumn("n_images", F.lit(1))
+    cut = statements.extract_scans(scans.withColumn("text", F.regexp_replace("text", "   ([0-9])", " $1.000")), "2026-01-01", max_pages=127).values
+    kept = statements._with_sections(cut.drop("section"), df.filter("page <= 127")).select(*cut.columns)
+    assert cut.count() > 30 and places(cut) == places(kept)
+
+
 def test_first_line_of_a_text_counts_whatever_its_amount(spark):
     df = pages(spark, ["Efectivo   1e999\n" + "palabra " * 10, "Efectivo   5"])
     assert found(statements.read_reports(cells(spark, []), df, "2026-01-01")) == {(2024, "cash"): float("inf")}
